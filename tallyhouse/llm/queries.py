@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import langid, neardup
+from tallyhouse.llm import langid, neardup, quality, secrets
 from tallyhouse.llm.common import crc_mod, prepare
 from tallyhouse.sources.tables import table
 
@@ -26,5 +26,22 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_near_duplicates": op2_near_duplicates}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of a learned decision list for every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rules = quality.learn_rules(quality.labelled_sample(docs, labels))
+    judged = quality.apply_rules(quality.text_statistics(docs.select("doc_id", "text")), rules)
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, through a ledger that starts empty."""
+    found = secrets.scan_ledger(table(spark, sf_dir, "documents"))
+    spans = F.col("spans")
+    of = lambda no: F.size(F.filter(spans, lambda s: s["no"] == no)).cast("long")
+    base = secrets.span_text(F.filter(spans, lambda s: s["no"] < secrets.BASE_KINDS))
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), secrets.span_text(spans).alias("spans"))
+
+
+QUERIES = {"op1_language_id": op1_language_id, "op2_near_duplicates": op2_near_duplicates, "op6_quality_rules": op6_quality_rules, "op9_secret_scan": op9_secret_scan}
 ORACLE_SQL: dict[str, str] = {}
