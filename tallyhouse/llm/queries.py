@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import langid, neardup, quality, secrets
+from tallyhouse.llm import langid, neardup, packing, pieces, quality, secrets
 from tallyhouse.llm.common import crc_mod, prepare
 from tallyhouse.sources.tables import table
 
@@ -26,6 +26,33 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """The installed vocabulary file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, packed into sequences of at most 4096 tokens."""
+    prepare(spark)
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Token pieces of ``docs``, packed; the other capacities bind no sooner than the tokens do."""
+    params = packing.PackParams()
+    path = tokenizer_file("word_bpe_49k.json")
+    cut = packing.token_pieces(docs, lambda: packing.ChunkTokenizer(path), 1, params.tokens)
+    return packing.pack(cut, params)
+
+
+def op7_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's SentencePiece ids and of the text decoded from them."""
+    prepare(spark)
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of a learned decision list for every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -43,5 +70,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), secrets.span_text(spans).alias("spans"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_near_duplicates": op2_near_duplicates, "op6_quality_rules": op6_quality_rules, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op1_language_id": op1_language_id, "op2_near_duplicates": op2_near_duplicates, "op4_best_fit_packing": op4_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op7_piece_codes": op7_piece_codes, "op9_secret_scan": op9_secret_scan}
 ORACLE_SQL: dict[str, str] = {}
