@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import langid, neardup, packing, pieces, quality, secrets
+from tallyhouse.llm import langid, neardup, packing, pieces, quality, secrets, toxicity
 from tallyhouse.llm.common import crc_mod, prepare
 from tallyhouse.sources.tables import table
 
@@ -61,6 +61,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned from the labels that are not held out."""
+    prepare(spark)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    weight = toxicity.learn_toxicity(docs.select("doc_id", "text"), labels.where(~held).select("doc_id", "toxic"))
+    scored = toxicity.toxicity_scores(docs.select("doc_id", held.alias("held_out"), "text"), weight)
+    score = F.col("toxic_score")
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, through a ledger that starts empty."""
     found = secrets.scan_ledger(table(spark, sf_dir, "documents"))
@@ -70,5 +81,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), secrets.span_text(spans).alias("spans"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_near_duplicates": op2_near_duplicates, "op4_best_fit_packing": op4_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op7_piece_codes": op7_piece_codes, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op1_language_id": op1_language_id, "op2_near_duplicates": op2_near_duplicates, "op4_best_fit_packing": op4_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op7_piece_codes": op7_piece_codes, "op8_toxicity": op8_toxicity, "op9_secret_scan": op9_secret_scan}
 ORACLE_SQL: dict[str, str] = {}
