@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import langid, neardup, packing, pieces, quality, secrets, toxicity
+from tallyhouse.llm import chat, langid, neardup, neighbours, packing, pieces, quality, secrets, toxicity
 from tallyhouse.llm.common import crc_mod, prepare
 from tallyhouse.sources.tables import table
 
@@ -53,6 +53,19 @@ def op7_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered: length and digest of each rendered text."""
+    done = chat.format_conversations(table(spark, sf_dir, "conversations"))
+    text = F.col("rendered")
+    return done.select("conv_id", "n_turns", "n_same", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("sha256"))
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every row whose vec_id is divisible by 20."""
+    prepare(spark)
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of a learned decision list for every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -81,5 +94,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), secrets.span_text(spans).alias("spans"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_near_duplicates": op2_near_duplicates, "op4_best_fit_packing": op4_best_fit_packing, "op6_quality_rules": op6_quality_rules, "op7_piece_codes": op7_piece_codes, "op8_toxicity": op8_toxicity, "op9_secret_scan": op9_secret_scan}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_chat_format": op5_chat_format,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_piece_codes": op7_piece_codes,
+    "op8_toxicity": op8_toxicity,
+    "op9_secret_scan": op9_secret_scan,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
+}
+
 ORACLE_SQL: dict[str, str] = {}
