@@ -208,5 +208,8 @@ def apply_rules(stats: DataFrame, rules: DecisionList) -> DataFrame:
     base_failed: fewer than 10 words, or over 20 % of words in repeated windows. Equal texts get equal
     verdicts; an empty table gives an empty result.
     """
+    # A filter on kept must run on the finished counts: pushed below, it would compute each of them again for
+    # every use. Spark pushes no filter through a projection that holds a non-deterministic column.
+    stats = stats.withColumn("_q_row", F.monotonically_increasing_id())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return stats.withColumn("base_failed", failed).withColumn("rule", rules.verdict()).withColumn("kept", ~failed & (F.col("rule") == 0))
+    return stats.withColumn("base_failed", failed).withColumn("rule", rules.verdict()).withColumn("kept", ~failed & (F.col("rule") == 0) & (F.col("_q_row") >= 0)).drop("_q_row")
