@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, langid, neardup, neighbours, packing, pieces, quality, secrets, toxicity
+from tallyhouse.llm import chat, langid, lm, neardup, neighbours, packing, pieces, quality, secrets, toxicity
 from tallyhouse.llm.common import crc_mod, prepare
 from tallyhouse.sources.tables import table
 
@@ -26,6 +26,13 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and context-mixing score of every document."""
+    prepare(spark)
+    held = F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False))
+    return lm.score_texts(table(spark, sf_dir, "documents"), ~held)
+
+
 def tokenizer_file(name: str) -> str:
     """The installed vocabulary file of a public tokenizer."""
     import public_tokenizers
@@ -97,6 +104,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_context_mixing": op3_context_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
