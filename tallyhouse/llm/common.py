@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python at once; long documents make larger batches than Spark's 10,000 rows could bear.
-BATCH_ROWS = 512
+BATCH_ROWS = 2048
 #: UTF-8 bytes that one numpy pass handles; a single longer text is still taken whole.
 BLOCK_BYTES = 1 << 20
 #: Marks the end of a document between joined texts; no UTF-8 text holds this byte.
@@ -32,7 +32,7 @@ def prepare(spark: SparkSession) -> None:
     """Bound what Spark hands to a Python worker at once, and let local workers find this package."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def scratch_dir(spark: SparkSession) -> str:
