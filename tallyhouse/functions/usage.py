@@ -1,0 +1,152 @@
+"""Scalar functions of usage counters, names, dates and text, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tallyhouse.profile import Profile
+
+#: Authority ranks, weakest first.
+AUTHORITY = ("estimated", "reconstructed", "tool", "provider")
+#: Largest counter that is accepted.
+SAFE = 2**53 - 1
+
+
+def day_of(ts: Column, p: Profile) -> Column:
+    """Calendar day of a UTC instant in the profile's zone."""
+    return F.to_date(F.from_utc_timestamp(ts.cast("timestamp"), p.timezone))
+
+
+def week_start(day: Column) -> Column:
+    """The Sunday on or before a day."""
+    return F.date_sub(day, F.dayofweek(day) - 1)
+
+
+def headline_inclusive(i: Column, c: Column, o: Column) -> Column:
+    """Tokens where cached input is counted inside input."""
+    return F.greatest(F.lit(0).cast("bigint"), F.coalesce(i, F.lit(0)) - F.coalesce(c, F.lit(0))) + F.coalesce(o, F.lit(0))
+
+
+def headline_exclusive(i: Column, w: Column, o: Column) -> Column:
+    """Tokens where the cache is counted outside input: input, cache writes and output."""
+    return F.coalesce(i, F.lit(0)) + F.coalesce(w, F.lit(0)) + F.coalesce(o, F.lit(0))
+
+
+def table_tokens(i: Column, o: Column, total: Column, reads: Column, convention: str | None) -> Column:
+    """Tokens of a ledger-table row; null if the convention leaves it undecided."""
+    cached = F.coalesce(reads, F.lit(0)) > 0
+    plain = F.coalesce(i, F.lit(0)) + F.coalesce(o, F.lit(0))
+    known = {"inclusive": headline_inclusive(i, reads, o), "exclusive": plain}.get(convention or "", F.lit(None).cast("bigint"))
+    return F.when(i.isNull() & o.isNull(), F.when(~cached, total)).when(cached, known).otherwise(plain)
+
+
+def task_tokens(i: Column, o: Column, w: Column, r: Column, convention: str | None) -> Column:
+    """Tokens of a task message, its counting convention told from its own counters where possible."""
+    legacy, inclusive = i + w + o, F.greatest(F.lit(0).cast("bigint"), i - r) + o
+    given = {"inclusive": inclusive, "legacy": legacy}.get(convention or "", F.lit(None).cast("bigint"))
+    return F.when((w == 0) & (r == 0), i + o).when(i < r + w, legacy).otherwise(given)
+
+
+def response_tokens(prompt: Column, completion: Column, total: Column) -> tuple[Column, Column]:
+    """Tokens of a captured response, and whether its total contradicts its parts."""
+    parts = prompt + completion
+    return F.greatest(parts, F.coalesce(total, parts)), F.coalesce(total < parts, F.lit(False))
+
+
+def source_of(model: Column, provider: Column) -> Column:
+    """Local models by family, hosted ones by provider."""
+    m = F.lower(model)
+    family = F.when(m.rlike("llama"), "local_llama").when(m.rlike("qwen"), "local_qwen").when(m.rlike("mistral|mixtral"), "local_mistral").when(m.rlike("gemma"), "local_gemma").otherwise("local_other")
+    return F.when(F.lower(provider).isin("ollama", "local"), family).otherwise(F.concat(F.lit("hosted_"), slug(provider, "_")))
+
+
+def model_of_config(name: Column) -> Column:
+    """Model name inside a configuration's name; null if none is known."""
+    found = F.regexp_extract(F.lower(name), "(opus|sonnet|haiku|gpt-[0-9a-z.]+|gemini[0-9a-z.-]*)", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def slug(text: Column, joiner: str = "-") -> Column:
+    """Lower-case letters and digits, other runs as one joiner, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", joiner), f"^{joiner}+|{joiner}+$", "")
+
+
+def origin_kind(origin: Column) -> Column:
+    """machine, account or unattributed."""
+    return F.when(origin.startswith("machine/"), "machine").when(origin.startswith("account/"), "account").otherwise("unattributed")
+
+
+def is_calendar_date(text: Column) -> Column:
+    """True for YYYY-MM-DD text that names a real day."""
+    shape = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return F.coalesce(shape & F.try_to_date(F.when(shape, text), "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+def to_instant(number: Column) -> Column:
+    """Seconds or milliseconds since the epoch as a timestamp."""
+    return F.when(number > 1e10, F.timestamp_millis(number.cast("bigint"))).otherwise(F.timestamp_seconds(number))
+
+
+def request_key(text: Column) -> Column:
+    """One-way key of a request identity."""
+    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+
+
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 code units."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def js_round(x: Column) -> Column:
+    """Half up, towards positive infinity."""
+    return F.floor(x + 0.5)
+
+
+def format_tokens(n: Column) -> Column:
+    """1.2M, 3.4K or the plain number."""
+    tenth = lambda d: F.concat(F.floor(n * 10 / d / 10).cast("string"), F.lit("."), (F.floor(n * 10 / d) % 10).cast("string"))
+    return F.when(n >= 1_000_000, F.concat(tenth(1_000_000), F.lit("M"))).when(n >= 1_000, F.concat(tenth(1_000), F.lit("K"))).otherwise(n.cast("string"))
+
+
+def share_text(value: Column, total: Column) -> Column:
+    """A share in per cent as text: 0%, <1%, or rounded."""
+    percent = 100.0 * value / F.nullif(total, F.lit(0))
+    return F.when(percent.isNull() | (percent == 0), "0%").when(percent < 1, "<1%").otherwise(F.concat(js_round(percent).cast("bigint").cast("string"), F.lit("%")))
+
+
+def delta_percent(now: Column, before: Column) -> Column:
+    """Rounded change in per cent; null if either is missing or the earlier one is zero."""
+    return js_round(100.0 * (now - before) / F.nullif(before, F.lit(0))).cast("bigint")
+
+
+def source_label(source: Column) -> Column:
+    """A readable label: title case of the id."""
+    return F.initcap(F.regexp_replace(source, "_", " "))
+
+
+def authority_rank(authority: Column) -> Column:
+    """1 (estimated) to 4 (provider); null if missing."""
+    out = F.lit(None).cast("int")
+    for i, a in enumerate(AUTHORITY, 1):
+        out = F.when(authority == a, i).otherwise(out)
+    return out
+
+
+def authority_name(rank: Column) -> Column:
+    """The authority of a rank."""
+    out = F.lit(None).cast("string")
+    for i, a in enumerate(AUTHORITY, 1):
+        out = F.when(rank == i, a).otherwise(out)
+    return out
+
+
+def sum_if_complete(c: Column) -> Column:
+    """Sum, but null unless every contributor has the value."""
+    return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
+
+
+def weakest_authority(authority: Column) -> Column:
+    """The weakest authority; null unless every contributor has one."""
+    rank = authority_rank(authority)
+    return authority_name(F.when(F.count(rank) == F.count(F.lit(1)), F.min(rank)))

@@ -1,16 +1,37 @@
-"""All queries of the library and their SQL twins, gathered from the operator modules."""
+"""All queries of the library and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+import importlib
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+_MODULES = ("usage_queries", "ledger_queries", "analytics_queries", "stream_queries")
+
+
+def register(name: str, query: Query, sql: str | None = None) -> None:
+    """Add a query; without SQL it is only run."""
+    _queries[name] = query
+    if sql is not None:
+        _sql[name] = sql
+
+
+def _load() -> None:
+    for module in _MODULES:
+        importlib.import_module(f"tallyhouse.plans.{module}")
+
+
+def queries() -> dict[str, Query]:
     """Name -> (spark, sf_dir) -> DataFrame."""
-    return dict(QUERIES)
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return dict(SQL)
+    _load()
+    return dict(_sql)
