@@ -82,7 +82,7 @@ def _round(rows: DataFrame, z: np.ndarray, n: np.ndarray, p: ToxicParams) -> tup
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(z[i] - z0[i]), pa.array(n[i] - n0[i])], names=["i", "z", "n"])
 
     change = rows.repartition(p.shards, "shard").mapInArrow(run, "i long, z double, n double").groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
-    found = change.toPandas()
+    found = change.toArrow().to_pandas()
     state.unpersist()
     return found["i"].to_numpy(), found["z"].to_numpy(), found["n"].to_numpy()
 
