@@ -131,7 +131,7 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", par
     share = counted.withColumn("share", F.col("df") / drawn_sizes[F.col("lang")]).where((F.col("share") >= params.least_share) & (F.col("df") >= 2))
     best = share.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("found"))
     kept = best.select("gram", F.explode("found").alias("x"), "best").where(F.col("x.share") >= params.relative * F.col("best"))
-    found = kept.select("gram", "x.lang").toPandas()
+    found = kept.select("gram", "x.lang").toArrow().to_pandas()
     bits = np.zeros((params.slots, (len(languages) + 63) // 64), U64)
     for lang_no, part in found.groupby("lang"):
         for rows_of in slots_of(part["gram"].to_numpy(np.int64).view(U64), params):

@@ -114,9 +114,9 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, vec_id: str = "vec_i
         return spark.createDataFrame([], schema)
     dim = dims["d"]
     rows = rows.where(F.size("e") == dim)
-    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit("lists")), F.lit(1 << 20)) < min(1.0, p.sample_rows / dims["count"]) * (1 << 20)).select("e").limit(2 * p.sample_rows).toPandas()
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit("lists")), F.lit(1 << 20)) < min(1.0, p.sample_rows / dims["count"]) * (1 << 20)).select("e").limit(2 * p.sample_rows).toArrow().to_pandas()
     if not len(drawn):
-        drawn = rows.select("e").limit(p.lists).toPandas()
+        drawn = rows.select("e").limit(p.lists).toArrow().to_pandas()
     centre = fit_centroids(np.stack(drawn["e"].to_numpy()), p)
     turn = np.linalg.qr(np.random.default_rng(p.seed).standard_normal((dim, dim)))[0]
     probes = min(p.probes, len(centre))
