@@ -45,11 +45,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; every secret is replaced by a mask, and n_chars follows."""
     found = secrets.scan_ledger(docs)
-    hit = stored(found.where(F.size("spans") > 0).select("blob", F.lit(True).alias("_hit")).distinct())
-    rows = docs.withColumn("blob", secrets.blob_of(F.col("text"))).join(small(hit, secrets.BROADCAST_ROWS // 4), "blob", "left")
-    text = F.when(F.col("_hit"), secrets.redacted(F.col("text"))).otherwise(F.col("text"))
+    hit = stored(found.where(F.size("spans") > 0).select(F.col("blob").alias("_secret_blob"), F.lit(True).alias("_hit")).distinct())
+    rows = docs.withColumn("_secret_blob", secrets.blob_of(F.col("text"))).join(small(hit, secrets.BROADCAST_ROWS // 4), "_secret_blob", "left")
+    rows = secrets.redacted(rows, where=F.coalesce(F.col("_hit"), F.lit(False)))
     size = F.when(F.col("_hit"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumn("text", text).withColumn("n_chars", size).select(*docs.columns)
+    return rows.withColumn("n_chars", size).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,14 +116,18 @@ def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["no"]), s["start"], s["end"])), ",")
 
 
-def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The text with every secret replaced by MASK, one rule after the other."""
+def redacted(docs: DataFrame, text: str = "text", where: Column | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every secret of ``text`` replaced by MASK, one rule after the other, in rows of ``where``.
+
+    Each rule is a projection of its own: nested in one expression, the text would be repeated at every level.
+    """
+    chosen = F.lit(True) if where is None else where
+    t = F.col(text)
     for rule in rules:
-        gap, whole, group = _matches(text, rule)
-        zipped = F.arrays_zip(gap.alias("gap"), whole.alias("whole"), group.alias("group"))
-        pieces = F.transform(zipped, _masked(rule))
-        text = F.when(text.rlike(rule.pattern), F.array_join(pieces, "")).otherwise(text)
-    return text
+        gap, whole, group = _matches(t, rule)
+        pieces = F.transform(F.arrays_zip(gap.alias("gap"), whole.alias("whole"), group.alias("group")), _masked(rule))
+        docs = docs.withColumn(text, F.when(chosen & t.rlike(rule.pattern), F.array_join(pieces, "")).otherwise(t))
+    return docs
 
 
 def _masked(rule: Rule) -> Callable[[Column], Column]:
