@@ -114,4 +114,33 @@ QUERIES = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _spans_of(no: int, rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""select doc_id, {no} as no, '{rule.kind}' as kind, unnest(range(1, len(w) + 1)) as i, w, g, parts from (
+        select doc_id, regexp_extract_all(t, '{pattern}', 0) as w, regexp_extract_all(t, '{pattern}', {rule.group}) as g, string_split_regex(t, '{pattern}') as parts from docs where regexp_matches(t, '{pattern}'))"""
+
+
+def secret_scan_sql() -> str:
+    """op9 in SQL: positions from the lengths of matches and of what lies between."""
+    every = " union all ".join(_spans_of(no, r) for no, r in enumerate(secrets.RULES))
+    least = "case no " + " ".join(f"when {no} then {r.least}" for no, r in enumerate(secrets.RULES)) + " end"
+    total = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    text = "coalesce(string_agg(span, ',' order by start, no){}, '')"
+    return f"""with docs as (select doc_id, coalesce(text, '') as t from documents), m as ({every}),
+        s as (select doc_id, no, kind, cast({total.format("parts[1:i]")} + {total.format("w[1:i-1]")} as bigint) as start, length(w[i]) as size from m where length(g[i]) >= {least}),
+        f as (select doc_id, no, start, kind || ':' || start || ':' || (start + size) as span from s)
+        select doc_id, count(case when no = 0 then 1 end) as n_assign, count(case when no = 1 then 1 end) as n_access, count(case when no = 2 then 1 end) as n_hex,
+        sha256({text.format(f" filter (no < {secrets.BASE_KINDS})")}) as base_sha256, {text.format(" filter (no is not null)")} as spans
+        from docs left join f using (doc_id) group by doc_id"""
+
+
+CHAT_SQL = """with c as (select conv_id, count(*) as n, list({'r': role, 'x': text} order by turn, role, text) as l from conversations where conv_id is not null group by 1),
+    k as (select min(conv_id) as conv_id, n as n_turns, count(*) as n_same, l from c group by n, l),
+    m as (select * from k a where not exists (select 1 from c b where b.n > a.n_turns and b.l[1:a.n_turns] = a.l)),
+    o as (select conv_id, n_turns, n_same, array_to_string(list_transform(l, lambda s: '<|' || coalesce(s.r, '') || '|>' || chr(10) || coalesce(s.x, '') || '<|end|>' || chr(10)), '') as t from m)
+    select conv_id, n_turns, n_same, length(t) as n_chars, sha256(t) as sha256 from o"""
+
+#: The other queries learn, sketch or run a library's tokenizer; tests hold them against brute force instead.
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": CHAT_SQL, "op9_secret_scan": secret_scan_sql()}
