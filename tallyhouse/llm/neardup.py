@@ -57,9 +57,10 @@ def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.
         return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
     code, full = np.zeros(n, U64), np.ones(n, bool)
     for i in range(size):
+        m = max(0, n - i)
         there = np.zeros(n, bool)
-        there[: n - i] = doc[i:] == doc[: n - i]
-        code[: n - i] += np.where(there[: n - i], mix(word[i:] + U64(i * 2 + 1)), U64(0))
+        there[:m] = doc[n - m :] == doc[:m]
+        code[:m] += np.where(there[:m], mix(word[n - m :] + U64(i * 2 + 1)), U64(0))
         full &= there
     whole = np.bincount(doc, minlength=len(texts)) < size
     first = np.concatenate([[True], doc[1:] != doc[:-1]])
