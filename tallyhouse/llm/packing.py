@@ -11,6 +11,10 @@ each group is packed on its own. A group leaves at most a few bins unfilled, out
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import stored, utf8
 
-#: Only these characters are cut at; whatever else a tokenizer takes as white space stays inside a chunk.
-_CUTS = str.maketrans("\t\n\r", "   ")
+#: What a chunk may not hold to be lower-cased and cut here. Chunks end at blanks, tabs and line ends only;
+#: whatever else a tokenizer takes as white space stays inside a chunk.
+_OTHER = re.compile("[^\x20-\x7e\xa1-\u012f\u0131-\u017f]")
 
 
 @dataclass(frozen=True)
@@ -41,32 +46,59 @@ class PackParams:
     group_bins: int = 4000
 
 
+class _Table(dict):
+    """A dict that makes and keeps a missing key's value, and begins anew at ``most`` keys."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class ChunkTokenizer:
-    """Token ids of whole texts by a tokenizer that drops white space, a distinct chunk at a time.
+    """Token ids of whole texts by a lower-casing byte-level BPE that drops white space, a distinct chunk at a time.
 
-    Chunks between blanks are encoded once and remembered, at most ``most`` of them.
+    Chunks between blanks and their words are encoded once and remembered, at most ``most`` of each. Texts of Latin
+    letters and printable ASCII, whose normal form is just their lower case, go word by word to the
+    tokenizer's BPE model, cut by the tokenizer's own pattern; all others, and texts that may hold a
+    special token, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
+        import regex
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.encoder = Tokenizer.from_file(path)
-        self.most = most
-        self.ids: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [t.translate(_CUTS).split(" ") if not t.isascii() or "\t" in t or "\r" in t else t.replace("\n", " ").split(" ") for t in texts]
-        new = list({c for one in chunks for c in one if c not in self.ids})
-        if len(self.ids) + len(new) > self.most:
-            self.ids = {"": b""}
-            new = list({c for one in chunks for c in one if c})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for c, e in zip(part, self.encoder.encode_batch(part, add_special_tokens=False)):
-                self.ids[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.ids.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        self.words = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        # bytes as the byte-level alphabet writes them: printable ones as themselves, others from code point 256
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.alphabet = {b: b if b in own else next(rest) for b in range(256)}
+        self.known, self.chunks = _Table(self._word, most), _Table(self._chunk, most + most // 2)
+
+    def _word(self, word: str) -> bytes:
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.encoder.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if _OTHER.search(chunk) or "<|" in chunk:
+            ids = self.encoder.encode(chunk, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.known.__getitem__, self.words(chunk.lower())))
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 def token_pieces(docs: DataFrame, tokenizer: Callable[[], ChunkTokenizer], end_id: int, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,7 +113,7 @@ def token_pieces(docs: DataFrame, tokenizer: Callable[[], ChunkTokenizer], end_i
         for batch in batches:
             texts = [t.decode("utf-8", "replace") for t in utf8(batch.column("text"))]
             rows: list[tuple] = []
-            for no, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
+            for no, ids in zip(batch.column("doc_id").to_pylist(), map(encoder.encode, texts)):
                 ids += end
                 rows += [(no, k, at // 4, (min(len(ids), at + step) - at) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
             cols = list(zip(*rows)) or [()] * 5
