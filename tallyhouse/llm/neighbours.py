@@ -2,9 +2,9 @@
 
 Vectors fall into lists by their nearest centroid (fitted on a bounded sample); a query probes the lists of
 the most promising centroids. Inside a list, vectors are turned by one random rotation and scanned in
-column blocks: after each block a hypothesis test compares the partial inner product, plus a multiple of
-the spread that the unseen dimensions can have under a random rotation, with the query's k-th best score
-so far, and abandons the candidate if it falls short. Survivors are scored exactly on original vectors.
+column blocks. Under a random rotation the first d of D dimensions hold d/D of an inner product, give or
+take a known spread; after each block a hypothesis test abandons the candidates whose partial product is
+too small for the whole to reach the query's k-th best score so far. Survivors are scored exactly on original vectors.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from tallyhouse.llm.common import stored
 @dataclass(frozen=True)
 class SearchParams:
     """k: neighbours a query. lists, probes: of the index. sample_rows: expected rows the centroids are
-    fitted on. columns: dimensions of a block. spread: deviations of the test (3.5: one true neighbour in
-    4,000 is lost a test). rows_at_once, block: candidates scanned between two updates, and in a task.
-    query_block: queries in a task.
+    fitted on. columns: dimensions of a block. spread: deviations of the test (2.5: a neighbour that
+    just reaches the bar is lost with chance 0.006 a test). sparse: share of live pairs below which single
+    pairs are followed instead of whole blocks. rows_at_once, block: candidates scanned between two updates, and in a task.
+    query_block: queries in a task. first_look: sampled candidates that a query meets at first; the k-th best
+    of them bounds its k-th best of all from below, and none gets fewer than k neighbours.
     """
 
     k: int = 20
@@ -32,9 +34,11 @@ class SearchParams:
     probes: int = 29
     sample_rows: int = 20_000
     columns: int = 16
-    spread: float = 3.5
+    spread: float = 2.5
+    sparse: float = 0.1
     rows_at_once: int = 512
     block: int = 8192
+    first_look: int = 2048
     query_block: int = 4096
     seed: int = 7
 
@@ -63,27 +67,38 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return ((centre**2).sum(axis=1) - 2 * x @ centre.T).argmin(axis=1)
 
 
-def scan_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, turn: np.ndarray, p: SearchParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, vec_id, score) of each query's best k candidates among the rows of ``x``."""
+def scan_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, bar: np.ndarray, turn: np.ndarray, p: SearchParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, vec_id, score) of each query's best k candidates among the rows of ``x``.
+
+    ``bar``: a score that each query's k-th best candidate of all is known to reach.
+    """
     dim = x.shape[1]
     cuts = [*range(0, dim, p.columns), dim]
     xt, qt = x @ turn, q @ turn
-    left = lambda m: np.sqrt(np.maximum(0, (m**2).sum(axis=1)[:, None] - np.cumsum(m**2, axis=1)[:, np.array(cuts[1:]) - 1]))
-    x_left, q_left = left(xt), left(qt)
-    bar = np.full(len(q), -np.inf)
+    size = np.sqrt((q**2).sum(axis=1))[:, None] * np.sqrt((x**2).sum(axis=1))[None, :]
+    bar = bar.copy()
+
+    def least(d: int, bar: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """What the first d of the turned dimensions give at least, if the whole product reaches the bar."""
+        return bar * (d / dim) - (p.spread * np.sqrt(d * (1 - d / dim)) / dim + 1e-9) * size
+
     best_q, best_i, best_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     for lo in range(0, len(x), p.rows_at_once):
         hi = min(len(x), lo + p.rows_at_once)
-        part = qt[:, : cuts[1]] @ xt[lo:hi, : cuts[1]].T
-        room = p.spread / np.sqrt(max(1, dim - cuts[1])) * q_left[:, :1] * x_left[lo:hi, 0][None, :]
-        qi, xi = np.nonzero((part + room + 1e-9 >= bar[:, None]) & (ids[lo:hi][None, :] != query_ids[:, None]))
+        live = ids[lo:hi][None, :] != query_ids[:, None]
+        part, b = np.zeros(live.shape), 0
+        while b < len(cuts) - 1 and (b == 0 or live.mean() > p.sparse):
+            part += qt[:, cuts[b] : cuts[b + 1]] @ xt[lo:hi, cuts[b] : cuts[b + 1]].T
+            b += 1
+            live &= part >= least(cuts[b], bar[:, None], size[:, lo:hi])
+        qi, xi = np.nonzero(live)
         part, xi = part[qi, xi], xi + lo
-        for b in range(1, len(cuts) - 1):
+        while b < len(cuts) - 1 and len(qi):
             c0, c1 = cuts[b], cuts[b + 1]
             for s in range(0, len(qi), 65536):
                 part[s : s + 65536] += (qt[qi[s : s + 65536], c0:c1] * xt[xi[s : s + 65536], c0:c1]).sum(axis=1)
-            room = p.spread / np.sqrt(max(1, dim - c1)) * q_left[qi, b] * x_left[xi, b]
-            go_on = part + room + 1e-9 >= bar[qi]
+            b += 1
+            go_on = part >= least(c1, bar[qi], size[qi, xi])
             qi, xi, part = qi[go_on], xi[go_on], part[go_on]
         score = np.concatenate([(q[qi[s : s + 65536]] * x[xi[s : s + 65536]]).sum(axis=1) for s in range(0, len(qi), 65536)] or [np.empty(0)])
         best_q, best_i, best_s = np.concatenate([best_q, qi]), np.concatenate([best_i, ids[xi]]), np.concatenate([best_s, score])
@@ -92,7 +107,8 @@ def scan_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndar
         place = np.arange(len(best_q)) - np.searchsorted(best_q, best_q)
         keep = place < p.k
         best_q, best_i, best_s, place = best_q[keep], best_i[keep], best_s[keep], place[keep]
-        bar[best_q[place == p.k - 1]] = best_s[place == p.k - 1]
+        last = place == p.k - 1
+        bar[best_q[last]] = np.maximum(bar[best_q[last]], best_s[last])
     return best_q, best_i, best_s
 
 
@@ -120,7 +136,20 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, vec_id: str = "vec_i
     centre = fit_centroids(np.stack(drawn["e"].to_numpy()), p)
     turn = np.linalg.qr(np.random.default_rng(p.seed).standard_normal((dim, dim)))[0]
     probes = min(p.probes, len(centre))
-    index = spark.sparkContext.broadcast((centre, turn))
+    look = rows.where(F.pmod(F.xxhash64("id", F.lit("look")), F.lit(1 << 20)) < min(1.0, p.first_look / dims["count"]) * (1 << 20)).limit(2 * p.first_look).toArrow().to_pandas()
+    seen = np.stack(look["e"].to_numpy()) if len(look) else np.empty((0, dim))
+    index = spark.sparkContext.broadcast((centre, turn, seen, look["id"].to_numpy()))
+
+    @F.pandas_udf("bar double, ids array<long>, scores array<double>")
+    def met(ids: pd.Series, v: pd.Series) -> pd.DataFrame:
+        """The best k of the sampled candidates, scored exactly; the k-th score, or none below k of them."""
+        _, _, seen, seen_ids = index.value
+        q, k = np.stack(v.to_numpy()) if len(v) else np.empty((0, dim)), min(p.k, max(0, len(seen) - 1))
+        rough = np.where(seen_ids[None, :] == ids.to_numpy()[:, None], -np.inf, q @ seen.T)
+        top = np.argsort(-rough, axis=1, kind="stable")[:, :k]
+        score = (q[:, None, :] * seen[top]).sum(axis=2)
+        bar = score.min(axis=1) if k == p.k else np.full(len(q), -np.inf)
+        return pd.DataFrame({"bar": bar, "ids": list(seen_ids[top]), "scores": list(score)})
 
     @F.pandas_udf("int")
     def list_of(v: pd.Series) -> pd.Series:
@@ -140,17 +169,20 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, vec_id: str = "vec_i
     cell = F.pmod(F.xxhash64("id", F.lit("cell")), F.col("cells")).cast("int")
     cells = F.broadcast(sizes)  # one row a list
     cand = listed.join(cells, "list").select("list", cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("turn"), "id", "e")
-    asked = asking.select("asker", "v", deal.alias("deal"), F.explode(probed("v")).alias("list")).join(cells, "list")
-    asked = asked.select(F.col("list").alias("of"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("part"), "deal", "asker", "v")
+    asking = stored(asking.withColumn("met", met("asker", "v")))
+    asked = asking.select("asker", "v", F.col("met.bar").alias("bar"), deal.alias("deal"), F.explode(probed("v")).alias("list")).join(cells, "list")
+    asked = asked.select(F.col("list").alias("of"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("part"), "deal", "asker", "v", "bar")
 
     def search(c: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(a):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         names = a["asker"].to_numpy()
-        qi, found, score = scan_block(c["id"].to_numpy(), np.stack(c["e"].to_numpy()), names, np.stack(a["v"].to_numpy()), index.value[1], p)
+        qi, found, score = scan_block(c["id"].to_numpy(), np.stack(c["e"].to_numpy()), names, np.stack(a["v"].to_numpy()), a["bar"].to_numpy(), index.value[1], p)
         return pd.DataFrame({"query_id": names[qi], "vec_id": found, "score": score})
 
     found = cand.groupBy("list", "cell", "turn").cogroup(asked.groupBy("of", "part", "deal")).applyInPandas(search, "query_id long, vec_id long, score double")
+    first = asking.select(F.col("asker").alias("query_id"), F.explode(F.arrays_zip(F.col("met.ids").alias("i"), F.col("met.scores").alias("s"))).alias("x")).select("query_id", F.col("x.i").alias("vec_id"), F.col("x.s").alias("score")).where(F.col("vec_id") != F.col("query_id"))
+    found = found.union(first).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k)
     return ranked.select("query_id", "rank", "vec_id", "score")
