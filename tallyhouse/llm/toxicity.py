@@ -2,8 +2,9 @@
 
 Features are the presence of words, pairs of neighbouring words and pairs with one word between, hashed
 into 2^bits coordinates. Each coordinate has its own learning rate; L1 makes most weights zero. Training
-rows are dealt to shards; in each round every shard runs FTRL over its rows from the common state, and
-the mean of the shards' changes, summed by Spark, moves that state.
+rows are dealt once to shards (tasks); in each round every task runs FTRL over its rows from the common
+state, and the mean of the tasks' changes, summed by Spark, moves that state. A task hands on only the
+coordinates that moved by a part of the L1 bound; smaller moves could not make a weight.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from tallyhouse.llm.common import LOWER, NOT_ALNUM, U64, blocks, joined, mix, sp
 @dataclass(frozen=True)
 class ToxicParams:
     """bits: coordinates are 2^bits. alpha, beta, l1, l2: FTRL-proximal. shards, rounds: of training.
-    sample_rows: expected number of labelled rows that are learned from.
+    least_change: of a coordinate's z in a task and round for it to be handed on. sample_rows: expected number of labelled rows that are learned from.
     """
 
     bits: int = 20
@@ -33,6 +34,7 @@ class ToxicParams:
     l2: float = 0.01
     shards: int = 8
     rounds: int = 5
+    least_change: float = 0.5
     sample_rows: int = 40_000
 
 
@@ -57,7 +59,7 @@ def weights(z: np.ndarray, n: np.ndarray, p: ToxicParams) -> np.ndarray:
 
 
 def _round(rows: DataFrame, z: np.ndarray, n: np.ndarray, p: ToxicParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coordinates that changed, and the sums of the shards' changes of z and n."""
+    """Coordinates that changed, and the means of the tasks' changes of z and n."""
     state = rows.sparkSession.sparkContext.broadcast((z, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,15 +78,19 @@ def _round(rows: DataFrame, z: np.ndarray, n: np.ndarray, p: ToxicParams) -> tup
                     grown = n[x] + g * g
                     z[x] += g - (np.sqrt(grown) - np.sqrt(n[x])) / p.alpha * w
                     n[x] = grown
-        moved = np.flatnonzero(n != n0)
+        moved = np.flatnonzero(np.abs(z - z0) > p.least_change)
+        if (n != n0).any():  # one row tells that this task took part
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0.0]), pa.array([1.0])], names=["i", "z", "n"])
         for lo in range(0, len(moved), 100_000):
             i = moved[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(z[i] - z0[i]), pa.array(n[i] - n0[i])], names=["i", "z", "n"])
 
-    change = rows.repartition(p.shards, "shard").mapInArrow(run, "i long, z double, n double").groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
+    change = rows.mapInArrow(run, "i long, z double, n double").groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
     found = change.toArrow().to_pandas()
     state.unpersist()
-    return found["i"].to_numpy(), found["z"].to_numpy(), found["n"].to_numpy()
+    tasks = max(1.0, found.loc[found["i"] < 0, "n"].sum())
+    found = found[found["i"] >= 0]
+    return found["i"].to_numpy(), found["z"].to_numpy() / tasks, found["n"].to_numpy() / tasks
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> np.ndarray:
@@ -97,12 +103,12 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = Tox
     rate = min(1.0, p.sample_rows / max(1, found.count()))
     drawn = found.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < rate * (1 << 20))
     shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(p.shards)).alias("shard")
-    rows = stored(docs.where("text is not null").join(F.broadcast(drawn), "doc_id").select(shard, F.col("label").cast("double").alias("label"), "text"))
+    rows = stored(docs.where("text is not null").join(F.broadcast(drawn), "doc_id").select(shard, F.col("label").cast("double").alias("label"), "text").repartition(p.shards, "shard"))
     z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
     for _ in range(p.rounds):
         i, dz, dn = _round(rows, z, n, p)
-        z[i] += dz / p.shards
-        n[i] += dn / p.shards
+        z[i] += dz
+        n[i] += dn
     return weights(z, n, p).astype(np.float32)
 
 
