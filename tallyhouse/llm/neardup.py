@@ -1,12 +1,13 @@
 """Near-duplicate classes by ProbMinHash signatures, banding, exact verification and components.
 
-A text is the weighted set of its five-word shingles. Every shingle draws arrival times from a Poisson
-process whose rate is its weight; each arrival goes to one of the signature's registers, and a register
-keeps the shingle that arrived there first. Two texts agree in a register with their probability Jaccard
-similarity. Drawing ends for a shingle as soon as its next arrival is later than every register's.
+A text is the set of its five-word shingles; how often one occurs does not count. Every shingle draws
+arrival times from a Poisson process of rate one; each arrival goes to one of the signature's registers,
+and a register keeps the shingle that arrived there first. Two texts agree in a register with the Jaccard
+similarity of their sets, which is what is verified. Drawing ends for a shingle as soon as its next
+arrival is later than every register's.
 
 Texts that agree on all registers of some band are candidates. Candidates are verified on whole shingle
-sets, never on signatures. Within one band value, texts are first compared with a hub (the text that
+sets, never on signatures; only pairs whose set sizes alone rule out the threshold are skipped. Within one band value, texts are first compared with a hub (the text that
 shares most band values with others), so that a large group of copies costs one comparison a text.
 Only where a band value still holds several classes are the remaining pairs compared, in blocks, and
 of those only links between different classes are emitted; no link that could join two classes is lost.
@@ -30,15 +31,13 @@ from tallyhouse.llm.common import LOWER, U64, blocks, joined, mix, small, span_h
 class NearDupParams:
     """shingle: words. threshold: least Jaccard similarity of shingle sets. bands x rows: registers of a
     signature; a pair at the threshold is missed with probability (1 - threshold^rows)^bands, 5e-5 here.
-    least_estimate: share of equal registers below which a pair is not verified, four deviations under the
-    threshold. block: texts compared at once. broadcast_rows: largest id table sent to every executor.
+    block: texts compared at once. broadcast_rows: largest id table sent to every executor.
     """
 
     shingle: int = 5
     threshold: float = 0.8
     bands: int = 25
     rows: int = 5
-    least_estimate: float = 0.65
     block: int = 256
     broadcast_rows: int = 2_000_000
 
@@ -130,8 +129,8 @@ def _signed(texts: DataFrame, p: NearDupParams) -> DataFrame:
         for batch in batches:
             ids, all_texts = batch.column("id").to_numpy(), utf8(batch.column("text"))
             for lo, hi in blocks(all_texts):
-                code, doc, count = shingles(all_texts[lo:hi], p.shingle)
-                sig = signatures(code, doc, 1.0 + np.log2(count), hi - lo, registers)
+                code, doc, _ = shingles(all_texts[lo:hi], p.shingle)
+                sig = signatures(code, doc, np.ones(len(code)), hi - lo, registers)
                 key = np.zeros((hi - lo, p.bands), U64)
                 for r in range(p.rows):
                     key = mix(key + sig[:, r :: p.rows] + U64(r))
@@ -145,7 +144,7 @@ def _signed(texts: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def _sets(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, set): the low 32 bits of each text's sorted shingle hashes."""
+    """(id, set, size): the low 32 bits of each text's sorted shingle hashes, and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,29 +152,27 @@ def _sets(texts: DataFrame, p: NearDupParams) -> DataFrame:
             for lo, hi in blocks(all_texts):
                 code, doc, _ = shingles(all_texts[lo:hi], p.shingle)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                sets = [np.unique(code[cut[i] : cut[i + 1]].astype(np.uint32)).tobytes() for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(sets, pa.binary())], names=["id", "set"])
+                sets = [np.unique(code[cut[i] : cut[i + 1]].astype(np.uint32)) for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.size for x in sets], pa.int64())], names=["id", "set", "size"])
+
+    return texts.mapInArrow(run, "id long, set binary, size long")
 
-    return texts.mapInArrow(run, "id long, set binary")
 
+def _verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar enough.
 
-def _verified(pairs: DataFrame, signed: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
+    Similarity is at most the smaller size by the larger; pairs that this rules out need no sets.
+    """
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([jaccard(np.frombuffer(i, np.uint32), np.frombuffer(j, np.uint32)) >= p.threshold for i, j in zip(x, y)], dtype=bool)
 
-    @F.pandas_udf("boolean")
-    def maybe(x: pd.Series, y: pd.Series) -> pd.Series:
-        least = p.least_estimate * p.bands * p.rows
-        return pd.Series([np.count_nonzero(np.frombuffer(i, np.uint32) == np.frombuffer(j, np.uint32)) >= least for i, j in zip(x, y)], dtype=bool)
-
     def sides(df: DataFrame, other: DataFrame, value: str) -> DataFrame:
         left, right = other.select(F.col("id").alias("a"), F.col(value).alias("x")), other.select(F.col("id").alias("b"), F.col(value).alias("y"))
         return df.join(left, "a").join(right, "b")
 
-    likely = stored(sides(pairs, signed, "sig").where(maybe("x", "y")).select("a", "b"))
+    likely = stored(sides(pairs, sets, "size").where(F.least("x", "y") / F.greatest("x", "y") >= p.threshold).select("a", "b").distinct())
     return sides(likely, sets, "set").where(near("x", "y")).select("a", "b")
 
 
@@ -200,6 +197,10 @@ def _links_in_blocks(mixed: DataFrame, p: NearDupParams) -> DataFrame:
             sig = [np.stack([np.frombuffer(s, np.uint32) for s in g["sig"]]) for g in (left, right)]
             ids, cls = [g["id"].to_numpy() for g in (left, right)], [g["class_id"].to_numpy() for g in (left, right)]
             sets = [[np.frombuffer(s, np.uint32) for s in g["set"]] for g in (left, right)]
+            size = [np.array([x.size for x in each]) for each in sets]
+            _, code = np.unique(np.concatenate(sets[0] + sets[1]), return_inverse=True)
+            codes = np.split(code.astype(np.int32), np.cumsum(np.concatenate(size))[:-1])
+            mark = np.zeros(len(code), np.int32)
             band = int(group["band_no"].iloc[0])
             top: dict[int, int] = {}
 
@@ -212,12 +213,18 @@ def _links_in_blocks(mixed: DataFrame, p: NearDupParams) -> DataFrame:
             for i in range(len(left)):
                 same = sig[1] == sig[0][i]
                 shared = same.reshape(len(right), p.bands, p.rows).all(axis=2)
-                ok = (same.sum(axis=1) >= p.least_estimate * same.shape[1]) & (cls[1] != cls[0][i]) & (shared.argmax(axis=1) == band)
+                ok = (np.minimum(size[1], size[0][i]) / np.maximum(size[1], size[0][i]) >= p.threshold) & (cls[1] != cls[0][i]) & (shared.argmax(axis=1) == band)
                 if low == high:
                     ok &= ids[1] > ids[0][i]
-                for j in np.flatnonzero(ok):
+                other = np.flatnonzero(ok)
+                if not len(other):
+                    continue
+                mark[codes[i]] = 1
+                common = np.add.reduceat(mark[np.concatenate([codes[len(left) + j] for j in other])], np.cumsum(size[1][other]) - size[1][other])
+                mark[codes[i]] = 0
+                for j in other[common / (size[0][i] + size[1][other] - common) >= p.threshold]:
                     a, b = find(int(cls[0][i])), find(int(cls[1][j]))
-                    if a != b and jaccard(sets[0][i], sets[1][j]) >= p.threshold:
+                    if a != b:
                         top[a] = b
                         found.append((int(ids[0][i]), int(ids[1][j])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -252,11 +259,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cand = small(starred.select("id").distinct().transform(stored), p.broadcast_rows)
     sets = stored(_sets(texts.join(cand, "id", "left_semi"), p))
     pairs = starred.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    near = stored(_verified(pairs, signed, sets, p))
+    near = stored(_verified(pairs, sets, p))
     label = components(near)
     labelled = stored(starred.join(label, "id", "left").select("band", "band_no", "n", "id", F.coalesce("class_id", "id").alias("class_id")))
     split = labelled.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("band")
-    mixed = labelled.join(split, "band").join(signed.select("id", "sig"), "id").join(sets, "id")
+    mixed = labelled.join(split, "band").join(signed.select("id", "sig"), "id").join(sets.select("id", "set"), "id")
     late = stored(_links_in_blocks(mixed, p))
     if not late.isEmpty():
         near = stored(near.union(late))

@@ -1,0 +1,15 @@
+"""Cases in which an operator once did less than its whole job."""
+
+import random
+
+from tallyhouse.llm import neardup
+
+
+def test_near_copies_with_unequal_repeat_counts(llm):
+    """A line repeated in one copy only changes the counts of shingles, hardly the set."""
+    rng, rows = random.Random(1), []
+    for k in range(20):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[:40] * 50))]
+    got = neardup.near_duplicates(llm.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
