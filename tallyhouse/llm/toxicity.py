@@ -3,8 +3,8 @@
 Features are the presence of words, pairs of neighbouring words and pairs with one word between, hashed
 into 2^bits coordinates. Each coordinate has its own learning rate; L1 makes most weights zero. Training
 rows are dealt once to shards (tasks); in each round every task runs FTRL over its rows from the common
-state, and the mean of the tasks' changes, summed by Spark, moves that state. A task hands on only the
-coordinates that moved by a part of the L1 bound; smaller moves could not make a weight.
+state, and the mean of the tasks' changes, summed by Spark, moves that state. A task hands on all its
+changes, as packed float32 segments of coordinates that Spark's tasks add up segment by segment.
 """
 
 from __future__ import annotations
@@ -21,10 +21,14 @@ from pyspark.sql.types import StructType
 from tallyhouse.llm.common import LOWER, NOT_ALNUM, U64, blocks, joined, mix, span_hash, stored, utf8, words
 
 
+#: Coordinates that are handed on and added up together.
+SEGMENT = 1 << 12
+
+
 @dataclass(frozen=True)
 class ToxicParams:
     """bits: coordinates are 2^bits. alpha, beta, l1, l2: FTRL-proximal. shards, rounds: of training.
-    least_change: of a coordinate's z in a task and round for it to be handed on. sample_rows: expected number of labelled rows that are learned from.
+    sample_rows: expected number of labelled rows that are learned from.
     """
 
     bits: int = 20
@@ -34,7 +38,6 @@ class ToxicParams:
     l2: float = 0.01
     shards: int = 8
     rounds: int = 5
-    least_change: float = 0.5
     sample_rows: int = 40_000
 
 
@@ -78,19 +81,41 @@ def _round(rows: DataFrame, z: np.ndarray, n: np.ndarray, p: ToxicParams) -> tup
                     grown = n[x] + g * g
                     z[x] += g - (np.sqrt(grown) - np.sqrt(n[x])) / p.alpha * w
                     n[x] = grown
-        moved = np.flatnonzero(np.abs(z - z0) > p.least_change)
-        if (n != n0).any():  # one row tells that this task took part
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([0.0]), pa.array([1.0])], names=["i", "z", "n"])
-        for lo in range(0, len(moved), 100_000):
-            i = moved[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(z[i] - z0[i]), pa.array(n[i] - n0[i])], names=["i", "z", "n"])
-
-    change = rows.mapInArrow(run, "i long, z double, n double").groupBy("i").agg(F.sum("z").alias("z"), F.sum("n").alias("n"))
-    found = change.toArrow().to_pandas()
+        if not (n != n0).any():
+            return
+        yield packed(-1, np.zeros(0, np.int64), np.zeros((2, 0), np.float32))  # tells that this task took part
+        moved = np.flatnonzero((n != n0) | (z != z0))
+        change = np.stack([z[moved] - z0[moved], n[moved] - n0[moved]]).astype(np.float32)
+        edge = np.searchsorted(moved, np.arange(0, len(z) + SEGMENT, SEGMENT))
+        for s in np.flatnonzero(np.diff(edge)):
+            yield packed(s, moved[edge[s] : edge[s + 1]] - s * SEGMENT, change[:, edge[s] : edge[s + 1]])
+
+    def packed(segment: int, at: np.ndarray, change: np.ndarray, tasks: int = 1) -> pa.RecordBatch:
+        made = [pa.array([segment], pa.int32()), pa.array([tasks], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([change.astype(np.float32).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(made, names=["segment", "tasks", "at", "change"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        tasks: dict[int, int] = {}
+        for batch in batches:
+            for s, k, at, x in zip(*(batch.column(c).to_pylist() for c in ("segment", "tasks", "at", "change"))):
+                sums = held.setdefault(s, np.zeros((2, SEGMENT)))
+                tasks[s] = tasks.get(s, 0) + k
+                sums[:, np.frombuffer(at, np.uint16)] += np.frombuffer(x, np.float32).reshape(2, -1)
+        for s, sums in held.items():
+            at = np.flatnonzero(sums.any(axis=0))
+            yield packed(s, at, sums[:, at], tasks[s])
+
+    schema = "segment int, tasks int, at binary, change binary"
+    found = rows.mapInArrow(run, schema).repartition("segment").mapInArrow(total, schema).toArrow().to_pylist()
     state.unpersist()
-    tasks = max(1.0, found.loc[found["i"] < 0, "n"].sum())
-    found = found[found["i"] >= 0]
-    return found["i"].to_numpy(), found["z"].to_numpy() / tasks, found["n"].to_numpy() / tasks
+    tasks = sum(r["tasks"] for r in found if r["segment"] < 0)
+    found = [r for r in found if r["segment"] >= 0]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    i = np.concatenate([np.frombuffer(r["at"], np.uint16).astype(np.int64) + r["segment"] * SEGMENT for r in found])
+    dz, dn = np.concatenate([np.frombuffer(r["change"], np.float32).reshape(2, -1) for r in found], axis=1).astype(np.float64) / tasks
+    return i, dz, dn
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> np.ndarray:

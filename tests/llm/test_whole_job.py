@@ -2,7 +2,9 @@
 
 import random
 
-from tallyhouse.llm import neardup
+import numpy as np
+
+from tallyhouse.llm import neardup, toxicity
 
 
 def test_near_copies_with_unequal_repeat_counts(llm):
@@ -13,3 +15,14 @@ def test_near_copies_with_unequal_repeat_counts(llm):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words + words[:40] * 50))]
     got = neardup.near_duplicates(llm.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_small_changes_are_handed_on(llm):
+    """A common state at which no row moves a coordinate by 0.5: every task's changes of z and n arrive whole."""
+    p = toxicity.ToxicParams(bits=10)
+    rows = llm.createDataFrame([(0.0, f"word{i} clean") for i in range(8)], "label double, text string").repartition(2)
+    z, n = np.zeros((1 << p.bits) + 1), np.full((1 << p.bits) + 1, 1.0)
+    z[-1] = 8.0  # a bias of about -16 / (1 + 1): small gradients
+    i, dz, dn = toxicity._round(rows, z, n, p)
+    seen, _ = toxicity.features([f"word{k} clean".encode() for k in range(8)], p.bits)
+    assert set(i.tolist()) == {*seen.tolist(), 1 << p.bits} and (dn > 0).all() and (dz != 0).all() and abs(dz).max() < 0.5
