@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.usage import authority_name, authority_rank, week_start
+from tallyhouse.sources.scratch import shared_dir
 
 
 def counter_relation(old_tokens: Column, old_calls: Column, tokens: Column, calls: Column) -> Column:
@@ -212,3 +213,21 @@ def limit_findings(errors: DataFrame, n: int, by: str, order: list[str]) -> Data
     w = Window.partitionBy(by)
     rows = errors.withColumns({"place": F.row_number().over(w.orderBy(*order)), "total": F.count("*").over(w)})
     return rows.where(F.col("place") <= n)
+
+
+def order_ledger(entries: DataFrame, by: list[str], place: str = "place") -> DataFrame:
+    """All entries with their place (from 1) in the order of ``by``; ties are broken by an entry's canonical form.
+
+    A sort by ranges and the sizes of the ranges before give the place; no task sees the whole table.
+    """
+    names = entries.columns
+    form = F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"})
+    keys = [*by, "_form"]
+    dealt = entries.withColumn("_form", form).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*names, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_pos"))
+    path = shared_dir(entries.sparkSession, "order")  # written, so that counts and places see the same ranges
+    dealt.write.parquet(path)
+    rows = entries.sparkSession.read.schema(dealt.schema).parquet(path)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_pos") + 1).alias(place), *names)

@@ -5,6 +5,8 @@ import random
 import numpy as np
 
 from tallyhouse.llm import neardup, toxicity
+from tallyhouse.operators import ledger
+from tallyhouse.plans import registry
 
 
 def test_near_copies_with_unequal_repeat_counts(llm):
@@ -26,3 +28,13 @@ def test_small_changes_are_handed_on(llm):
     i, dz, dn = toxicity._round(rows, z, n, p)
     seen, _ = toxicity.features([f"word{k} clean".encode() for k in range(8)], p.bits)
     assert set(i.tolist()) == {*seen.tolist(), 1 << p.bits} and (dn > 0).all() and (dz != 0).all() and abs(dz).max() < 0.5
+
+
+def test_ledger_order_has_every_entry(llm):
+    rows = [(f"s{i % 3}", f"r{i * 7919 % 500:03}", i) for i in range(500)] + [("s1", "r0", None), ("s1", "r0", 4)]
+    df = llm.createDataFrame(rows, "scope string, request_id string, v long").repartition(7)
+    got = sorted(ledger.order_ledger(df, ["scope", "request_id"]).collect())
+    assert [r.place for r in got] == list(range(1, 503))
+    assert [(r.scope, r.request_id) for r in got] == sorted((a, b) for a, b, _ in rows)
+    all_keys = registry.queries()["t1_ledger_order_all"](llm, "/root/testdata/sf0.001")
+    assert all_keys.count() == all_keys.select("place").distinct().count() > 100
