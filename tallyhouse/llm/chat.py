@@ -22,14 +22,14 @@ def rendered_turn(role: Column, text: Column) -> Column:
 def collapse_snapshots(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, n_turns, n_same) of the maximal conversations; n_same counts the equal ones it stands for.
 
-    Turns are taken in order of turn, role and text (nulls first), so ties and repeated rows have a defined
+    Turns are taken in order of turn, role and whole text (nulls last, as in the SQL twin), so ties and repeated rows have a defined
     place; null and empty roles or texts are told apart. Turns without a conversation id are dropped: they
     belong to none. An empty table gives an empty result.
     """
     rows = turns.where(F.col(conv).isNotNull()).select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
     code = lambda seed: F.xxhash64(F.lit(seed), F.col("r").isNull(), F.coalesce("r", F.lit("")), F.col("x").isNull(), F.coalesce("x", F.lit("")))
-    rows = stored(rows.select("c", "t", "r", F.substring("x", 1, 64).alias("head"), code(11).alias("a"), code(23).alias("b")))
-    by = Window.partitionBy("c").orderBy("t", "r", "head", "a", "b")
+    rows = rows.select("c", "t", "r", "x", code(11).alias("a"), code(23).alias("b"))
+    by = Window.partitionBy("c").orderBy(*[F.col(o).asc_nulls_last() for o in ("t", "r", "x")])
     placed = rows.withColumn("k", F.row_number().over(by))
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
     prefix = placed.select("c", "k", F.bit_xor(F.xxhash64("k", "a")).over(upto).alias("p"), F.bit_xor(F.xxhash64("k", "b")).over(upto).alias("q"), F.count("*").over(Window.partitionBy("c")).alias("n"))
@@ -46,7 +46,6 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     """
     kept = stored(collapse_snapshots(turns, conv, turn, role, text))
     rows = turns.select(F.col(conv), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x")).join(kept, conv)
-    head = F.substring("x", 1, 64)
-    part = F.struct("t", "r", head.alias("head"), F.xxhash64(F.lit(11), F.col("r").isNull(), F.coalesce("r", F.lit("")), F.col("x").isNull(), F.coalesce("x", F.lit(""))).alias("a"), rendered_turn(F.col("r"), F.col("x")).alias("out"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["out"]), "")
+    part = F.struct(*[v for o in ("t", "r", "x") for v in (F.col(o).isNull().alias(f"no_{o}"), F.col(o))])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: rendered_turn(s["r"], s["x"])), "")
     return rows.groupBy(conv, "n_turns", "n_same").agg(joined.alias("rendered"))

@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from tallyhouse.llm import neardup, toxicity
+from tallyhouse.llm import chat, neardup, queries, toxicity
 from tallyhouse.operators import ledger
 from tallyhouse.plans import registry
 
@@ -38,3 +40,16 @@ def test_ledger_order_has_every_entry(llm):
     assert [(r.scope, r.request_id) for r in got] == sorted((a, b) for a, b, _ in rows)
     all_keys = registry.queries()["t1_ledger_order_all"](llm, "/root/testdata/sf0.001")
     assert all_keys.count() == all_keys.select("place").distinct().count() > 100
+
+
+def test_turns_that_agree_on_64_characters(llm):
+    """Order within a turn and role is that of whole texts, nulls last, as in SQL."""
+    head = "h" * 64
+    turns = [(c, 1, "u", head + x) for c in range(6) for x in random.Random(c).sample("abcdefgh", 8)]
+    turns += [(7, None, "u", "a"), (7, 1, None, "b"), (7, 1, "u", None), (7, 1, "u", "c"), (7, 1, None, None), (8, 1, "u", "c"), (8, 1, "u", None)]
+    done = chat.format_conversations(llm.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = done.select("conv_id", "n_turns", "n_same", F.length("rendered").alias("n_chars"), F.sha2("rendered", 256).alias("sha256")).collect()
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", turns)
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.CHAT_SQL).fetchall())
