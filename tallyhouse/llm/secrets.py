@@ -9,7 +9,7 @@ come from split and regexp_extract_all with running sums of lengths; no Python r
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,20 +19,27 @@ from tallyhouse.llm.common import scratch_dir, small, stored
 
 @dataclass(frozen=True)
 class Rule:
-    """kind, pattern, and the group that must have at least ``least`` characters for a match to count."""
+    """kind, pattern, and the group that must have at least ``least`` characters for a match to count.
+
+    mask: pattern of what is masked, where that is more than the span that tells the secret.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    mask: str | None = None
+
 
+#: A private key to its END line; without one, the lines of base64 that follow.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,64}+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{40,}+){0,400}+(?:(?:\s|\\[nr])+[A-Za-z0-9+/]*={1,2})?)"
 
 # The three base rules, in their listed order, then the added ones.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", mask=PEM),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("forge", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -119,11 +126,13 @@ def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def redacted(docs: DataFrame, text: str = "text", where: Column | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret of ``text`` replaced by MASK, one rule after the other, in rows of ``where``.
 
-    Each rule is a projection of its own: nested in one expression, the text would be repeated at every level.
+    Rules with a mask go first, while their texts are whole. Each rule is a projection of its own: nested in one
+    expression, the text would be repeated at every level.
     """
     chosen = F.lit(True) if where is None else where
     t = F.col(text)
-    for rule in rules:
+    for rule in sorted(rules, key=lambda r: r.mask is None):
+        rule = replace(rule, pattern=rule.mask or rule.pattern)
         gap, whole, group = _matches(t, rule)
         pieces = F.transform(F.arrays_zip(gap.alias("gap"), whole.alias("whole"), group.alias("group")), _masked(rule))
         docs = docs.withColumn(text, F.when(chosen & t.rlike(rule.pattern), F.array_join(pieces, "")).otherwise(t))
