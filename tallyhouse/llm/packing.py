@@ -11,6 +11,7 @@ each group is packed on its own. A group leaves at most a few bins unfilled, out
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -30,12 +31,14 @@ from tallyhouse.llm.common import stored, utf8
 #: What a chunk may not hold to be lower-cased and cut here. Chunks end at blanks, tabs and line ends only;
 #: whatever else a tokenizer takes as white space stays inside a chunk.
 _OTHER = re.compile("[^\x20-\x7e\xa1-\u012f\u0131-\u017f]")
+#: Marks that are a word of their own behind letters.
+_STOPS = frozenset(".,;:!?")
 
 
 @dataclass(frozen=True)
 class PackParams:
     """tokens, documents, attention: a sequence's capacities. weights: of the three residuals (as shares of
-    capacity). rule: "norm" or "dot". group_bins: expected sequences of one packing group.
+    capacity). rule: "norm" or "dot". group_bins, group_pieces: expected sequences and pieces of one packing group.
     """
 
     tokens: int = 4096
@@ -44,6 +47,7 @@ class PackParams:
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     rule: str = "norm"
     group_bins: int = 4000
+    group_pieces: int = 200_000
 
 
 class _Table(dict):
@@ -64,13 +68,13 @@ class _Table(dict):
 class ChunkTokenizer:
     """Token ids of whole texts by a lower-casing byte-level BPE that drops white space, a distinct chunk at a time.
 
-    Chunks between blanks and their words are encoded once and remembered, at most ``most`` of each. Texts of Latin
+    Chunks between blanks and their words are encoded once and remembered, at most ``most`` words. Texts of Latin
     letters and printable ASCII, whose normal form is just their lower case, go word by word to the
     tokenizer's BPE model, cut by the tokenizer's own pattern; all others, and texts that may hold a
     special token, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -91,16 +95,29 @@ class ChunkTokenizer:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.isascii():  # one run of letters is one word
+            return self.known[chunk.lower()]
         if _OTHER.search(chunk) or "<|" in chunk:
             ids = self.encoder.encode(chunk, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.known.__getitem__, self.words(chunk.lower())))
+        low = chunk.lower()
+        if low.isalpha():
+            return self.known[low]
+        if low[-1:] in _STOPS and low[:-1].isalpha():
+            return self.known[low[:-1]] + self.known[low[-1]]
+        return b"".join(map(self.known.__getitem__, self.words(low)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
+@functools.lru_cache(maxsize=1)
+def shared_tokenizer(path: str) -> ChunkTokenizer:
+    """One tokenizer a Python worker, so that the tasks it runs one after the other share its table of chunks."""
+    return ChunkTokenizer(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: Callable[[], ChunkTokenizer], end_id: int, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids plus ``end_id``, cut every ``most``.
 
@@ -126,40 +143,47 @@ def token_pieces(docs: DataFrame, tokenizer: Callable[[], ChunkTokenizer], end_i
 def best_fit(length: np.ndarray, p: PackParams) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and offset of each piece; pieces are taken longest first, ties in the given order.
 
-    Bins of equal residuals are interchangeable, so open bins are kept by their residual state: a piece
-    chooses among distinct states, and the bin that took one last among equals.
+    Bins of equal residuals are interchangeable, so the choice is among the distinct residual states of
+    the open bins; among the bins of a state, the one that came to it last is taken.
     """
     cap = np.array([p.tokens, p.documents, p.attention], float)
-    weight = np.array(p.weights)
+    scale = np.array(p.weights) / cap**2
     bin_of, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-    room = np.empty((1024, 3))
-    used = np.zeros(1024, np.int64)
-    open_bins, n_bins, n_open = np.empty(1024, np.int64), 0, 0
-    least = int(length.min()) if len(length) else 0
-    for i in np.argsort(-length, kind="stable"):
+    room, states, held = np.empty((3, 64)), [], []  # residuals of each state, the same as tuples, and the state's bins
+    place: dict[tuple[int, int, int], int] = {}
+    n_bins, least = 0, int(length.min()) if len(length) else 0
+    for i in np.argsort(-length, kind="stable").tolist():
         size = int(length[i])
         need = np.array([size, 1.0, float(size) * size])
-        at = -1
-        if n_open:
-            after = room[:n_open] - need
-            fits = np.flatnonzero((after >= 0).all(axis=1))
-            if len(fits):
-                if p.rule == "dot":
-                    at = int(fits[np.argmax((room[fits] / cap * weight) @ (need / cap))])
-                else:
-                    at = int(fits[np.argmin((((after[fits] / cap) ** 2) * weight).sum(axis=1))])
-        if at < 0:
-            if n_open == len(room):
-                room, used, open_bins = np.concatenate([room, np.empty_like(room)]), np.concatenate([used, used * 0]), np.concatenate([open_bins, open_bins])
-            at = n_open
-            room[at], used[at], open_bins[at] = cap, 0, n_bins
-            n_open, n_bins = n_open + 1, n_bins + 1
-        bin_of[i], offset[i] = open_bins[at], used[at]
-        room[at] -= need
-        used[at] += size
-        if room[at][0] < least or room[at][1] < 1 or room[at][2] < least * least:
-            n_open -= 1
-            room[at], used[at], open_bins[at] = room[n_open], used[n_open], open_bins[n_open]
+        after = room[:, : len(held)] - need[:, None]
+        fits = (after[0] >= 0) & (after[1] >= 0) & (after[2] >= 0)
+        if not fits.any():
+            state, number = (p.tokens, p.documents, p.attention), n_bins
+            n_bins += 1
+        else:
+            if p.rule == "dot":
+                at = int(np.where(fits, (scale * need) @ room[:, : len(held)], -np.inf).argmax())
+            else:
+                after *= after
+                at = int(np.where(fits, scale @ after, np.inf).argmin())
+            state, number = states[at], held[at].pop()
+            if not held[at]:  # the last state takes the place of the empty one
+                del place[state]
+                last, bins = states.pop(), held.pop()
+                if at < len(held):
+                    states[at], held[at], room[:, at] = last, bins, room[:, len(held)]
+                    place[last] = at
+        bin_of[i], offset[i] = number, p.tokens - state[0]
+        left = (state[0] - size, state[1] - 1, state[2] - size * size)
+        if left[0] >= least and left[1] >= 1 and left[2] >= least * least:
+            at = place.setdefault(left, len(held))
+            if at == len(held):
+                if at == room.shape[1]:
+                    room = np.concatenate([room, np.empty_like(room)], axis=1)
+                room[:, at] = left
+                states.append(left)
+                held.append([])
+            held[at].append(number)
     return bin_of, offset
 
 
@@ -167,15 +191,15 @@ def pack(pieces: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """Add sequence_id and offset to every piece; ``pieces`` has a column length of at most ``tokens``.
 
     Pieces that fill a sequence on their own are given one directly. An empty table gives an empty result.
-    Every other column passes through.
+    Input columns named sequence_id or offset are replaced; every other column passes through.
     """
     p = params
     if int(p.tokens) ** 2 > p.attention:
         raise ValueError("attention must let the longest piece in")
-    numbered = stored(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = stored(pieces.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()))
     short = numbered.where(F.col("length") < p.tokens).select("_row", "length")
-    total = short.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / p.tokens / p.group_bins))
+    total, count = short.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    groups = max(1, round(total / p.tokens / p.group_bins), round(count / p.group_pieces))
     dealt = short.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

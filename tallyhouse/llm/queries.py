@@ -50,7 +50,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     """Token pieces of ``docs``, packed; the other capacities bind no sooner than the tokens do."""
     params = packing.PackParams()
     path = tokenizer_file("word_bpe_49k.json")
-    cut = packing.token_pieces(docs, lambda: packing.ChunkTokenizer(path), 1, params.tokens)
+    cut = packing.token_pieces(docs, lambda: packing.shared_tokenizer(path), 1, params.tokens)
     return packing.pack(cut, params)
 
 
