@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 2048
 #: UTF-8 bytes that one numpy pass handles; a single longer text is still taken whole.
 BLOCK_BYTES = 1 << 20
+#: Largest table that is sent to every executor.
+BROADCAST_BYTES = 64 << 20
 #: Marks the end of a document between joined texts; no UTF-8 text holds this byte.
 END = 0xFF
 
@@ -36,9 +38,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path below the cluster's shared checkpoint folder; a temporary folder only where none is set."""
+    """A new path below the cluster's shared checkpoint folder; a temporary folder only for a local session without one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/tallyhouse-{uuid.uuid4().hex}"
@@ -51,9 +55,33 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """Hint a broadcast if the stored table ``df`` has at most ``most`` rows; larger ones join by shuffle."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the rows of the stored table ``df`` take at most ``most`` bytes; larger ones join by shuffle."""
+    return F.broadcast(df) if table_bytes(df) <= most else df
+
+
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the rows in memory: 16 a column, and what strings and binaries hold."""
+    held = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            held = held + F.coalesce(F.octet_length(f.name), F.lit(0))
+    return df.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
+
+
+def hot_keys(counted: DataFrame, key: str, n: str, most: int = 50_000, least: int = 1000) -> DataFrame:
+    """Keys of the stored table ``counted`` that hold over ``least`` rows each, and so many that there are at most ``most``."""
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return F.broadcast(counted.where(F.col(n) > max(least, total // most)).select(key))
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join with a table of one row a key; rows of ``hot`` keys meet a broadcast where they are.
+
+    ``hot`` has a proven bound (hot_keys), so the part of ``keyed`` that is broadcast has it too.
+    """
+    met = F.broadcast(keyed.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_anti").join(keyed, key).unionByName(rows.join(met, key))
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

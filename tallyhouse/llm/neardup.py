@@ -1,16 +1,19 @@
 """Near-duplicate classes by ProbMinHash signatures, banding, exact verification and components.
 
-A text is the set of its five-word shingles; how often one occurs does not count. Every shingle draws
-arrival times from a Poisson process of rate one; each arrival goes to one of the signature's registers,
-and a register keeps the shingle that arrived there first. Two texts agree in a register with the Jaccard
-similarity of their sets, which is what is verified. Drawing ends for a shingle as soon as its next
-arrival is later than every register's.
-
-Texts that agree on all registers of some band are candidates. Candidates are verified on whole shingle
-sets, never on signatures; only pairs whose set sizes alone rule out the threshold are skipped. Within one band value, texts are first compared with a hub (the text that
-shares most band values with others), so that a large group of copies costs one comparison a text.
-Only where a band value still holds several classes are the remaining pairs compared, in blocks, and
-of those only links between different classes are emitted; no link that could join two classes is lost.
+A text is its five-word shingles with weights. Every shingle draws arrival times from a Poisson process
+whose rate is its weight; each arrival goes to one of the signature's registers, and a register keeps the
+shingle that arrived there first. Drawing ends for a shingle as soon as its next arrival is later than
+every register's. Two texts agree in a register with the probability Jaccard of their weights. The same
+measure is verified: with weights of one (``weighted`` off) it is the Jaccard similarity of the shingle
+sets; with ``weighted`` on, a shingle weighs as often as it occurs.
+
+Texts that agree on all registers of some band are candidates. Candidates are verified on whole shingles,
+never on signatures; only pairs that exact bounds rule out are skipped. Within one band value, texts are
+first compared with a hub (the text that shares most band values with others), so that a large group of
+near copies costs one comparison a text. Only where a band value still holds several classes are the
+remaining pairs compared, in blocks, and of those only links between different classes are emitted; no
+link that could join two classes is lost. Rows of hot band values, hubs and copied texts are spread over
+tasks.
 """
 
 from __future__ import annotations
@@ -21,25 +24,26 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import LOWER, U64, blocks, joined, mix, small, span_hash, stored, utf8, words
+from tallyhouse.llm.common import LOWER, U64, blocks, hot_keys, joined, mix, small, span_hash, spread_join, stored, utf8, words
 
 
 @dataclass(frozen=True)
 class NearDupParams:
-    """shingle: words. threshold: least Jaccard similarity of shingle sets. bands x rows: registers of a
-    signature; a pair at the threshold is missed with probability (1 - threshold^rows)^bands, 5e-5 here.
-    block: texts compared at once. broadcast_rows: largest id table sent to every executor.
+    """shingle: words. threshold: least similarity. weighted: shingles weigh as often as they occur, else one
+    each. bands x rows: registers of a signature; a pair at the threshold is missed with probability
+    (1 - threshold^rows)^bands, 5e-5 here. block: texts compared at once. a_hub: pairs of one hub in a task.
     """
 
     shingle: int = 5
     threshold: float = 0.8
+    weighted: bool = False
     bands: int = 25
     rows: int = 5
     block: int = 256
-    broadcast_rows: int = 2_000_000
+    a_hub: int = 500
 
 
 def shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,98 +98,141 @@ def signatures(code: np.ndarray, doc: np.ndarray, weight: np.ndarray, n_docs: in
     return out.reshape(n_docs, registers)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted arrays of distinct values."""
-    common = np.intersect1d(a, b, assume_unique=True).size
-    return common / max(1, a.size + b.size - common)
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Probability Jaccard of two packed shingle arrays: codes above, counts in the low 16 bits, both sorted."""
+    code = np.union1d(a >> U64(16), b >> U64(16))
+    x, y = np.zeros(len(code)), np.zeros(len(code))
+    x[np.searchsorted(code, a >> U64(16))] = (a & U64(0xFFFF)).astype(float)
+    y[np.searchsorted(code, b >> U64(16))] = (b & U64(0xFFFF)).astype(float)
+    ratio = np.where(x > 0, y / np.maximum(x, 1), np.inf)
+    order = np.argsort(ratio, kind="stable")
+    ratio, x, y = ratio[order], x[order], y[order]
+    upto = np.searchsorted(ratio, ratio, side="right")
+    below, above = np.cumsum(x)[upto - 1], y.sum() - np.cumsum(y)[upto - 1]
+    both = (x > 0) & (y > 0)
+    return float((1 / (below[both] / x[both] + above[both] / y[both])).sum())
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, class_id): the least id of each id's component, for the ids in ``links``.
 
-    Every round points each id to the least class among its neighbours' and follows that pointer once;
-    links inside a class are dropped, so later rounds are small. Each round is a written table.
+    Every round each node points to the first of its neighbours and itself, in an order that changes with
+    the round (most links first and random in turn), follows that pointer once, and merges. Chains and
+    stars alike shrink by a constant factor, so rounds grow with the logarithm of the longest chain, in any
+    order of ids. Links inside a class are dropped, so later rounds are small; each round is a written table.
     """
     ids = links.select(F.col(a).alias("id")).union(links.select(F.col(b).alias("id"))).distinct()
-    label = stored(ids.withColumn("class_id", F.col("id")))
-    edges = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    label = stored(ids.withColumn("node", F.col("id")))
+    edges = stored(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
+    turn = 0
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("class_id"), F.least("u", "v").alias("up"))
-        step = stored(least)
-        jump = step.join(step.select(F.col("class_id").alias("up"), F.col("up").alias("top")), "up", "left")
-        top = stored(jump.select("class_id", F.coalesce("top", "up").alias("top")))
-        label = stored(label.join(top, "class_id", "left").select("id", F.coalesce("top", "class_id").alias("class_id")))
-        moved = edges.join(top.withColumnsRenamed({"class_id": "u", "top": "x"}), "u").join(top.withColumnsRenamed({"class_id": "v", "top": "y"}), "v")
-        edges = stored(moved.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
-    return label
+        degree = stored(both.groupBy("u").agg(F.count("*").alias("n")))
+        hot = hot_keys(degree, "u", "n")
+        first = F.struct(*([-F.col("n")] if turn % 2 == 0 else []), F.xxhash64("u", F.lit(turn)).alias("h"), F.col("u").alias("node"))
+        rank = stored(degree.select("u", first.alias("rank")))
+        met = spread_join(both.withColumnsRenamed({"u": "w"}).withColumnsRenamed({"v": "u"}), rank, "u", hot)
+        least = met.groupBy(F.col("w").alias("u")).agg(F.min("rank").alias("best")).join(rank, "u")
+        step = stored(least.select("u", F.least("best", "rank").getField("node").alias("up")))
+        hub = stored(step.groupBy("up").agg(F.count("*").alias("n")))
+        jump = spread_join(step, step.select(F.col("u").alias("up"), F.col("up").alias("top")), "up", hot_keys(hub, "up", "n"))
+        top = stored(jump.select(F.col("u").alias("node"), "top"))
+        sizes = stored(label.groupBy("node").agg(F.count("*").alias("n")).join(top, "node"))
+        moved = spread_join(label, sizes.select("node", "top"), "node", hot_keys(sizes, "node", "n")).select("id", F.col("top").alias("node"))
+        label = stored(moved.unionByName(label.join(sizes.select("node"), "node", "left_anti").select("id", "node")))
+        ends = spread_join(edges, top.select(F.col("node").alias("u"), F.col("top").alias("x")), "u", hot)
+        ends = spread_join(ends, top.select(F.col("node").alias("v"), F.col("top").alias("y")), "v", hot.withColumnRenamed("u", "v"))
+        edges = stored(ends.where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        turn += 1
+    least = stored(label.groupBy("node").agg(F.min("id").alias("class_id"), F.count("*").alias("n")))
+    return spread_join(label, least.select("node", "class_id"), "node", hot_keys(least, "node", "n")).select("id", "class_id")
 
 
 def _signed(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, sig, keys): signature and band values of each text that has a word."""
+    """(id, keys): band values of each text that has a word."""
     registers = p.bands * p.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, all_texts = batch.column("id").to_numpy(), utf8(batch.column("text"))
             for lo, hi in blocks(all_texts):
-                code, doc, _ = shingles(all_texts[lo:hi], p.shingle)
-                sig = signatures(code, doc, np.ones(len(code)), hi - lo, registers)
+                code, doc, count = shingles(all_texts[lo:hi], p.shingle)
+                sig = signatures(code, doc, np.minimum(count, 65535).astype(float) if p.weighted else np.ones(len(code)), hi - lo, registers)
                 key = np.zeros((hi - lo, p.bands), U64)
                 for r in range(p.rows):
                     key = mix(key + sig[:, r :: p.rows] + U64(r))
                 key = mix(key + np.arange(p.bands, dtype=U64)[None, :])
                 use = np.bincount(doc, minlength=hi - lo) > 0
-                flat = pa.array(key[use].ravel().view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(use.sum() + 1, dtype=np.int32) * p.bands), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][use]), pa.array([x.tobytes() for x in sig[use]], pa.binary()), lists], names=["id", "sig", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(use.sum() + 1, dtype=np.int32) * p.bands), pa.array(key[use].ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][use]), lists], names=["id", "keys"])
 
-    return texts.mapInArrow(run, "id long, sig binary, keys array<long>")
+    return texts.mapInArrow(run, "id long, keys array<long>")
 
 
 def _sets(texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """(id, set, size): the low 32 bits of each text's sorted shingle hashes, and how many there are."""
+    """(id, set, size): each text's sorted shingles as packed 64-bit values, and how many there are.
+
+    A value holds 48 bits of the shingle's hash and its count (one if unweighted).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, all_texts = batch.column("id").to_numpy(), utf8(batch.column("text"))
             for lo, hi in blocks(all_texts):
-                code, doc, _ = shingles(all_texts[lo:hi], p.shingle)
+                code, doc, count = shingles(all_texts[lo:hi], p.shingle)
+                packed = (code >> U64(16) << U64(16)) | (np.minimum(count, 65535).astype(U64) if p.weighted else U64(1))
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                sets = [np.unique(code[cut[i] : cut[i + 1]].astype(np.uint32)) for i in range(hi - lo)]
+                sets = [packed[cut[i] : cut[i + 1]] for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.size for x in sets], pa.int64())], names=["id", "set", "size"])
 
     return texts.mapInArrow(run, "id long, set binary, size long")
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    at = np.searchsorted(b, a)
+    return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough.
+    """Those of the distinct pairs (id, hub) that are similar enough, as (a, b).
 
-    Similarity is at most the smaller size by the larger; pairs that this rules out need no sets.
+    A hub's shingles are sent once for every ``a_hub`` of its pairs, so a hub of many texts keeps many tasks busy.
     """
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(np.frombuffer(i, np.uint32), np.frombuffer(j, np.uint32)) >= p.threshold for i, j in zip(x, y)], dtype=bool)
+        def one(i: bytes, j: bytes) -> bool:
+            a, b = np.frombuffer(i, U64), np.frombuffer(j, U64)
+            if p.weighted:
+                return similarity(a, b) >= p.threshold
+            n = _shared(a, b)
+            return n >= p.threshold * (len(a) + len(b) - n)
 
-    def sides(df: DataFrame, other: DataFrame, value: str) -> DataFrame:
-        left, right = other.select(F.col("id").alias("a"), F.col(value).alias("x")), other.select(F.col("id").alias("b"), F.col(value).alias("y"))
-        return df.join(left, "a").join(right, "b")
+        return pd.Series([one(i, j) for i, j in zip(x, y)], dtype=bool)
 
-    likely = stored(sides(pairs, sets, "size").where(F.least("x", "y") / F.greatest("x", "y") >= p.threshold).select("a", "b").distinct())
-    return sides(likely, sets, "set").where(near("x", "y")).select("a", "b")
+    parts = stored(pairs.groupBy("hub").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / p.a_hub)))
+    busy = hot_keys(parts, "hub", "n", least=p.a_hub)
+    dealt = pairs.join(F.broadcast(parts.join(busy, "hub", "left_semi").select("hub", "parts")), "hub", "left")
+    dealt = dealt.select("id", "hub", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).alias("part"))
+    hubs = sets.join(parts.withColumnRenamed("hub", "id"), "id").join(busy.select(F.col("hub").alias("id"), F.lit(True).alias("busy")), "id", "left")
+    hubs = hubs.select(F.col("id").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("busy"), F.col("parts") - 1).otherwise(0))).alias("part"), F.col("set").alias("y"))
+    met = dealt.join(sets.select("id", F.col("set").alias("x")), "id").join(hubs, ["hub", "part"])
+    return met.where(near("x", "y")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
 
 
 def _links_in_blocks(mixed: DataFrame, p: NearDupParams) -> DataFrame:
     """Links between different classes among texts of one band value, compared block by block.
 
-    ``mixed``: band, id, class_id, sig, set. A block of texts meets itself and every later block of its
-    band value; a task holds two blocks. A pair is emitted for the first band value that it shares.
+    ``mixed``: band, band_no, n, id, class_id, keys, set, size. A block of texts meets itself and every later
+    block of its band value; a task holds two blocks. A pair is looked at for the first band value that it
+    shares. Sets are compared only if their sizes, and their counts of shingles by 64 ranges of the hash,
+    leave the threshold within reach: both bounds are exact.
     """
     place = F.pmod(F.xxhash64("id"), F.col("n_blocks"))
     sized = mixed.withColumn("n_blocks", F.ceil(F.col("n") / p.block)).withColumn("block", place)
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    dealt = sized.select("band", "band_no", "id", "class_id", "sig", "set", "block", other)
+    dealt = sized.select("band", "band_no", "id", "class_id", "keys", "set", "block", other)
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -194,14 +241,14 @@ def _links_in_blocks(mixed: DataFrame, p: NearDupParams) -> DataFrame:
         left, right = group[own], group if low == high else group[~own]
         found: list[tuple[int, int]] = []
         if len(left) and len(right):
-            sig = [np.stack([np.frombuffer(s, np.uint32) for s in g["sig"]]) for g in (left, right)]
+            band = int(group["band_no"].iloc[0])
             ids, cls = [g["id"].to_numpy() for g in (left, right)], [g["class_id"].to_numpy() for g in (left, right)]
-            sets = [[np.frombuffer(s, np.uint32) for s in g["set"]] for g in (left, right)]
+            keys = [np.stack(g["keys"].to_list()) for g in (left, right)]
+            sets = [[np.frombuffer(s, U64) for s in g["set"]] for g in (left, right)]
             size = [np.array([x.size for x in each]) for each in sets]
-            _, code = np.unique(np.concatenate(sets[0] + sets[1]), return_inverse=True)
-            codes = np.split(code.astype(np.int32), np.cumsum(np.concatenate(size))[:-1])
-            mark = np.zeros(len(code), np.int32)
-            band = int(group["band_no"].iloc[0])
+            flat = [np.concatenate(each) for each in sets]
+            rows = [np.repeat(np.arange(len(n)), n) for n in size]
+            range_of = [np.bincount(r * 64 + (f >> U64(58)).astype(np.int64), minlength=64 * len(n)).reshape(-1, 64).astype(np.int32) for r, f, n in zip(rows, flat, size)]
             top: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -211,20 +258,26 @@ def _links_in_blocks(mixed: DataFrame, p: NearDupParams) -> DataFrame:
                 return x
 
             for i in range(len(left)):
-                same = sig[1] == sig[0][i]
-                shared = same.reshape(len(right), p.bands, p.rows).all(axis=2)
-                ok = (np.minimum(size[1], size[0][i]) / np.maximum(size[1], size[0][i]) >= p.threshold) & (cls[1] != cls[0][i]) & (shared.argmax(axis=1) == band)
+                ok = cls[1] != cls[0][i]
                 if low == high:
                     ok &= ids[1] > ids[0][i]
+                if not p.weighted:
+                    most = np.minimum(range_of[1], range_of[0][i]).sum(axis=1)
+                    ok &= most >= p.threshold * (size[1] + size[0][i] - most)
                 other = np.flatnonzero(ok)
                 if not len(other):
                     continue
-                mark[codes[i]] = 1
-                common = np.add.reduceat(mark[np.concatenate([codes[len(left) + j] for j in other])], np.cumsum(size[1][other]) - size[1][other])
-                mark[codes[i]] = 0
-                for j in other[common / (size[0][i] + size[1][other] - common) >= p.threshold]:
+                other = other[(keys[1][other] == keys[0][i]).argmax(axis=1) == band]
+                for j in other.tolist():
                     a, b = find(int(cls[0][i])), find(int(cls[1][j]))
-                    if a != b:
+                    if a == b:
+                        continue
+                    if p.weighted:
+                        near = similarity(sets[0][i], sets[1][j]) >= p.threshold
+                    else:
+                        n = _shared(sets[0][i], sets[1][j])
+                        near = n >= p.threshold * (size[0][i] + size[1][j] - n)
+                    if near:
                         top[a] = b
                         found.append((int(ids[0][i]), int(ids[1][j])))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -232,43 +285,101 @@ def _links_in_blocks(mixed: DataFrame, p: NearDupParams) -> DataFrame:
     return dealt.groupBy("band", "x", "y").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: NearDupParams = NearDupParams()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, copies, kept.
-
-    class_id is the least doc_id of the class: texts linked by chains of exact copies and of shingle-set
-    similarities of at least ``threshold``. copies counts the rows with this very text. kept is true for
-    one row a class. A null text is a class of its own row; equal texts, also empty ones, share a class,
-    but texts without words are near no other. Rows without a doc_id get no class and are kept; rows of
-    one doc_id count as one document's. Ties go to the least id, whatever the order of rows.
-    """
-    p = params
-    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    hashed = stored(base.select("id", F.xxhash64("text").alias("h"), F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(7), "text")).alias("g")))
-    named = hashed.where("id is not null and g is not null")
-    groups = stored(named.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    copies = stored(named.join(groups.where("copies > 1").select("h", "g", F.col("id").alias("rep")), ["h", "g"]).where("id <> rep").select("id", "rep").distinct())
-    texts = base.where("id is not null and text is not null").join(small(copies.select("id").distinct(), p.broadcast_rows), "id", "left_anti")
+def _linked(texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """(a, b): links between the near texts of ``texts`` (id, text), enough of them to join every class."""
     signed = stored(_signed(texts, p))
     bands = signed.select("id", F.posexplode("keys").alias("band_no", "band"))
     sizes = stored(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
-    member = stored(bands.join(sizes, "band"))
-    weight = stored(member.groupBy("id").agg(F.sum("n").alias("w")))
-    member = member.join(weight, "id")
-    hubs = stored(member.groupBy("band").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("hub")))
-    starred = stored(member.join(hubs, "band").select("id", "band", "band_no", "n", "hub"))
-    cand = small(starred.select("id").distinct().transform(stored), p.broadcast_rows)
-    sets = stored(_sets(texts.join(cand, "id", "left_semi"), p))
-    pairs = starred.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    near = stored(_verified(pairs, sets, p))
+    hot = hot_keys(sizes, "band", "n")
+    member = stored(spread_join(bands, sizes, "band", hot))
+    about = stored(member.groupBy("id").agg(F.sum("n").alias("w")))
+    sets = stored(_sets(texts.join(small(about.select("id")), "id", "left_semi"), p))
+    member = stored(member.join(about, "id").join(sets.select("id", "size"), "id"))
+    hubs = member.groupBy("band").agg(F.max_by(F.struct("id", "size"), F.struct("w", -F.col("id"))).alias("hub"))
+    hubs = stored(hubs.select("band", F.col("hub.id").alias("hub"), F.col("hub.size").alias("hub_size")))
+    starred = stored(spread_join(member.select("id", "band", "band_no", "n", "size"), hubs, "band", hot))
+    pairs = starred.where("id <> hub")
+    if not p.weighted:  # similarity is at most the smaller size by the larger
+        pairs = pairs.where(F.least("size", "hub_size") >= p.threshold * F.greatest("size", "hub_size"))
+    near = stored(_verified(stored(pairs.select("id", "hub").distinct()), sets, p))
     label = components(near)
     labelled = stored(starred.join(label, "id", "left").select("band", "band_no", "n", "id", F.coalesce("class_id", "id").alias("class_id")))
-    split = labelled.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("band")
-    mixed = labelled.join(split, "band").join(signed.select("id", "sig"), "id").join(sets.select("id", "set"), "id")
-    late = stored(_links_in_blocks(mixed, p))
-    if not late.isEmpty():
-        near = stored(near.union(late))
-    links = near.union(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    final = components(links)
-    named_rows = hashed.join(final.withColumnRenamed("class_id", "c"), "id", "left").join(groups.select("h", "g", "copies"), ["h", "g"], "left")
-    cls = F.coalesce("c", "id")
-    return named_rows.select(F.col("id").alias(doc_id), cls.alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), (F.col("id").isNull() | (F.col("id") == cls)).alias("kept"))
+    split = stored(labelled.groupBy("band").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("band"))
+    mixed = stored(spread_join(labelled, split, "band", hot))
+    late = _links_in_blocks(mixed.join(signed, "id").join(sets, "id"), p)
+    return stored(near.unionByName(late))
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, p: NearDupParams) -> tuple[DataFrame, DataFrame]:
+    """(id, h, g, n): distinct pairs of id and text with their rows; (h, g, copies, class_id, keeper) of every text.
+
+    h, g: two hashes of a text. keeper: the (id, h, g) that stands for the class.
+    """
+    base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    base = base.select("id", "text", *text_hashes(F.col("text")))
+    pairs = stored(base.groupBy("id", "h", "g").agg(F.count("*").alias("n")))
+    several = stored(pairs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("several")))
+    # a text is named by the least id that has it, or by its hash if that id has other texts too
+    name = F.when(F.col("several"), -1 - F.col("h").bitwiseAND((1 << 63) - 1)).otherwise(F.col("id"))
+    groups = pairs.groupBy("h", "g").agg(F.min("id").alias("id"), F.sum("n").alias("copies"), F.count("*").alias("n"))
+    groups = stored(groups.join(small(several), "id", "left").select("h", "g", "id", "copies", "n", F.struct("h", "g").alias("hg"), name.alias("node")))
+    met = spread_join(pairs.select("id", F.struct("h", "g").alias("hg")), groups.select("hg", F.col("id").alias("owner")), "hg", hot_keys(groups, "hg", "n"))
+    copies = stored(met.where("id <> owner").select("id", "hg.h", "hg.g"))
+    texts = base.join(small(copies), ["id", "h", "g"], "left_anti").join(small(several), "id", "left").select(name.alias("id"), "text")
+    if not pairs.where("n > 1").isEmpty():  # rows that repeat id and text: one of them is signed
+        texts = texts.groupBy("id").agg(F.first("text").alias("text"))
+    final = components(_linked(texts, p)).withColumnRenamed("class_id", "root")
+    rooted = stored(groups.join(final.withColumnRenamed("id", "node"), "node", "left").select("h", "g", "id", "copies", F.coalesce("root", "node").alias("root")))
+    keeper = stored(rooted.groupBy("root").agg(F.min(F.struct("id", "h", "g")).alias("keeper"), F.count("*").alias("n")))
+    first = keeper.groupBy(F.col("keeper.id").alias("least")).agg(F.min("root").alias("first"))
+    named = stored(keeper.join(first, F.col("keeper.id") == F.col("least")).select("root", "keeper", "n", F.when(F.col("root") == F.col("first"), F.col("least")).otherwise(F.col("root")).alias("class_id")))
+    classes = spread_join(rooted, named.select("root", "keeper", "class_id"), "root", hot_keys(named, "root", "n"))
+    return pairs, stored(classes.select("h", "g", "copies", "class_id", "keeper"))
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a text, h and g; together they name it."""
+    return F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("g")
+
+
+def _of_text(rows: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """Inner join of rows (with h, g) and columns of their texts' classes, copied texts spread over tasks."""
+    keyed = stored(classes.select(F.struct("h", "g").alias("hg"), *columns, F.col("copies").alias("_n")))
+    return spread_join(rows.withColumn("hg", F.struct("h", "g")), keyed.drop("_n"), "hg", hot_keys(keyed, "hg", "_n")).drop("hg")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: NearDupParams = NearDupParams()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, copies, kept.
+
+    class_id is the least doc_id of the class: texts linked by chains of exact copies and of similarities of
+    at least ``threshold``. Each row counts by its own text; where one doc_id has texts of several classes,
+    all but the first of these get a negative class_id of their own. copies counts the rows with this very
+    text. kept is true for exactly one row a class: one with the least doc_id. Equal texts, also empty
+    ones, share a class, but texts without words are near no other. A null text or doc_id makes a row a
+    class of its own, kept, with its doc_id as class_id. An empty table gives an empty result.
+    """
+    rows = stored(docs.select(F.col(doc_id).cast("long").alias("id"), *text_hashes(F.col(text)), F.col(text).isNull().alias("bare"), F.monotonically_increasing_id().alias("row")))
+    _, classes = _classes(docs, doc_id, text, params)
+    alone = F.col("id").isNull() | F.col("bare")
+    found = stored(_of_text(rows.where(~alone), classes, "copies", "class_id", "keeper"))
+    chosen = found.where(F.struct("id", "h", "g") == F.col("keeper")).groupBy("class_id").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("kept"))
+    marked = found.join(chosen, "row", "left").select(F.col("id").alias(doc_id), "class_id", "copies", F.coalesce("kept", F.lit(False)).alias("kept"))
+    return marked.unionByName(rows.where(alone).select(F.col("id").alias(doc_id), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept")))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", params: NearDupParams = NearDupParams()) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class, all columns as they are; see near_duplicates.
+
+    Of rows that repeat the kept doc_id and text, the least by its other columns stays.
+    """
+    pairs, classes = _classes(docs, doc_id, text, params)
+    judged = _of_text(pairs, classes, "keeper").select("id", "h", "g", "n", (F.struct("id", "h", "g") == F.col("keeper")).alias("kept"))
+    judged = stored(judged.where(~F.col("kept") | (F.col("n") > 1)))
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("_doc"), F.col(doc_id).cast("long").alias("id"), *text_hashes(F.col(text)), F.col(text).isNull().alias("_bare"))
+    rows = rows.withColumn("h", F.when(~F.col("_bare"), F.col("h")))
+    left = rows.join(small(judged.select("id", "h", "g")), ["id", "h", "g"], "left_anti").select("_doc")
+    repeated = judged.where("kept").select("id", "h", "g")
+    if not repeated.isEmpty():
+        left = left.unionByName(rows.join(small(stored(repeated)), ["id", "h", "g"]).groupBy("id", "h", "g").agg(F.min("_doc").alias("_doc")).select("_doc"))
+    return left.select("_doc.*")

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, neardup, queries, secrets, toxicity
+from tallyhouse.llm import chat, neardup, packing, queries, secrets, toxicity
 from tallyhouse.operators import ledger
 from tallyhouse.plans import registry
 
@@ -64,3 +64,64 @@ def test_private_keys_are_masked_whole(llm):
     got = [r.text for r in secrets.redacted(df).orderBy("doc_id").collect()]
     assert not any("MII" in t or "Zm9v" in t for t in got)
     assert got[0] == "a [redacted] b" and got[2] == "[redacted]\nand prose stays" and got[3] == "[redacted] x [redacted] y" and " c " in got[1]
+
+
+def test_rows_of_one_id_count_by_their_own_text(llm):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(1, words("a")), (1, words("a")), (5, words("a")), (5, words("u")), (5, words("v")), (8, words("u") + " more"), (9, None), (None, words("a"))]
+    df = llm.createDataFrame(rows, "doc_id long, text string").withColumns({"kept": F.lit("mine"), "h": F.lit(1), "class_id": F.lit(2)})
+    got = [(r.doc_id, r.class_id, r.copies, r.kept) for r in neardup.near_duplicates(df).collect()]
+    by_class = {c: sorted(r for r in got if r[1] == c) for c in {r[1] for r in got if r[0] is not None}}
+    assert sorted(map(len, by_class.values())) == [1, 1, 2, 3] and all(sum(r[3] for r in c) == 1 for c in by_class.values())
+    assert {r[2] for r in by_class[1]} == {3} and [r for r in got if r[0] is None] == [(None, None, 1, True)]
+    left = neardup.deduplicated(df)
+    assert left.columns == df.columns and {r.kept for r in left.collect()} == {"mine"}
+    assert sorted((r.doc_id or 0, (r.text or "-")[0]) for r in left.collect()) == [(0, "a"), (1, "a"), (5, "u"), (5, "v"), (9, "-")]
+
+
+def test_components_of_a_long_chain(llm, monkeypatch):
+    """2,000 ascending links and a star: rounds grow with the logarithm only."""
+    rounds, kept = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df: (rounds.append(1), kept(df))[1])
+    links = [(i, i + 1) for i in range(2000)] + [(5000, 5001 + i) for i in range(300)]
+    got = {r.id: r.class_id for r in neardup.components(llm.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(2001)} | {i: 5000 for i in range(5000, 5301)}
+    assert len(rounds) <= 8 * 14
+
+
+def test_weighted_shingles(llm):
+    """Probability Jaccard of counts: the same measure is signed and verified."""
+    a, b = neardup.np.array([1 << 16 | 3, 2 << 16 | 1], neardup.U64), neardup.np.array([1 << 16 | 1, 3 << 16 | 2], neardup.U64)
+    want = 1 / (max(1, 1 / 3) + max(1 / 3, 0) + max(0, 2 / 1))
+    assert abs(neardup.similarity(a, b) - want) < 1e-12
+    words = [f"w{i}" for i in range(204)]
+    rows = [(0, " ".join(words)), (1, " ".join(words + words[:40] * 50)), (2, " ".join(words[:40] * 50 + words)), (3, " ".join(words[:-3]))]
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df, params=neardup.NearDupParams(weighted=True)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
+def test_ledger_scans_each_unseen_blob_once(llm, tmp_path, monkeypatch):
+    scanned, kept = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda blobs, rules: (scanned.append(blobs.count()), kept(blobs, rules))[1])
+    rows = [(1, "token: abcdef"), (1, "token: ghijkl"), (2, "token: ghijkl"), (3, "none"), (3, "none"), (None, "AKIA" + "A" * 20), (None, "none"), (4, None)]
+    df = llm.createDataFrame(rows, "doc_id long, text string")
+    ledger = f"file://{tmp_path}/ledger"
+    for _ in range(2):
+        got = secrets.scan_ledger(df, ledger)
+        assert sorted((r.doc_id or 0, len(r.spans)) for r in got.collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (3, 0), (3, 0), (4, 0)]
+    assert scanned == [5, 0]
+    more = df.union(llm.createDataFrame([(1, "token: mnopqr"), (7, "none")], df.schema))
+    assert secrets.scan_ledger(more, ledger).count() == 10 and scanned == [5, 0, 1]
+    monkeypatch.setattr(secrets, "BROADCAST_BYTES", -1)
+    assert secrets.scan_ledger(more, f"{ledger}2").count() == 10 and scanned == [5, 0, 1, 6]
+
+
+def test_best_fit_under_binding_documents_and_attention(llm):
+    """pack under capacities that bind: three documents a sequence, then a bound on squared lengths."""
+    df = llm.createDataFrame([(i, 1 + i % 9) for i in range(120)], "doc_id long, length long").withColumns({"sequence_id": F.lit("x"), "_other": F.lit(1)})
+    for p, most in ((packing.PackParams(tokens=40, documents=3, attention=1600), 40), (packing.PackParams(tokens=40, attention=1600, rule="dot"), 40), (packing.PackParams(tokens=9, documents=9, attention=81), 9)):
+        rows = packing.pack(df, p).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("t"), F.sum(F.col("length") ** 2).alias("c")).collect()
+        assert sum(r.n for r in rows) == 120 and all(r.n <= p.documents and r.t <= most and r.c <= p.attention for r in rows)
+    by_docs = packing.pack(df, packing.PackParams(tokens=40, documents=3, attention=1600)).select("sequence_id").distinct().count()
+    assert by_docs == 40 and packing.pack(df).columns.count("sequence_id") == 1
