@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import scratch_dir, small, stored
+from tallyhouse.llm.common import BROADCAST_BYTES, hot_keys, scratch_dir, small, spread_join, stored, table_bytes
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,6 @@ RULES = (
 BASE_KINDS = 3
 VERSION = "1"
 MASK = "[redacted]"
-#: Largest table of paths to skip that is sent to every executor.
-BROADCAST_ROWS = 2_000_000
 
 
 def blob_of(text: Column) -> Column:
@@ -88,33 +86,65 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return spans.groupBy("blob").agg(F.sort_array(F.collect_list("s")).alias("spans"))
 
 
+SPANS = "array<struct<start:bigint,no:int,end:bigint>>"
+
+
 def scan_ledger(docs: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
-    """(path, blob, spans) for every row of ``docs``, scanning only what the ledger lacks.
+    """(path, blob, spans) for every row of ``docs``, scanning exactly the blobs that the ledger lacks.
 
-    ``ledger``: folder of the ledger's Parquet files, made if missing; a new folder in the shared scratch
-    space by default. A null text is the empty blob. Rows with a null path are scanned and reported like
-    others; repeated rows are reported each; an empty table gives an empty result.
+    ``docs`` may hold any number of versions of a path. ``ledger``: folder of the ledger's Parquet files, by
+    rule version, made if missing; a new folder in the shared scratch space by default. Two runs at once may
+    both scan a blob; it is still reported once. A null text is the empty blob. Rows with a null path are
+    scanned and reported like others; repeated rows are reported each; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ledger = ledger or scratch_dir(spark)
-    schema = "blob binary, version string, spans array<struct<start:bigint,no:int,end:bigint>>"
     rows = docs.select(F.col(path).alias("path"), blob_of(F.col(text)).alias("blob"), F.col(text).alias("text"))
     listed = stored(rows.select("path", "blob"))
-    spark.createDataFrame([], schema).write.mode("append").parquet(ledger)
-    known = spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).select("blob").distinct()
-    first = listed.groupBy("blob").agg(F.min("path").alias("first"))
-    unseen = stored(first.join(known, "blob", "left_anti"))
-    owner = unseen.select(F.col("blob").alias("own"), "first")
-    # paths whose blob is in the ledger, or is scanned under another path
-    skip = stored(listed.where("path is not null").join(owner, F.col("blob") == F.col("own"), "left").where("first is null or first <> path").select("path").distinct())
-    twice = listed.groupBy("path").agg(F.count_distinct("blob").alias("n")).where("n > 1").select("path")
-    skip = stored(skip.join(twice, "path", "left_anti"))
-    todo = rows.join(small(skip, BROADCAST_ROWS), "path", "left_anti").select("blob", "text")
-    found = scan(todo, rules)
-    entries = unseen.select("blob").join(found, "blob", "left").select("blob", F.lit(version).alias("version"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")).alias("spans"))
-    entries.write.mode("append").parquet(ledger)
-    now = spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).select("blob", "spans")
-    return listed.join(now, "blob").select(F.col("path").alias(path), "blob", "spans")
+    unseen = unseen_blobs(listed, ledger_entries(spark, ledger, version))
+    found = scan(texts_of(rows, listed, unseen), rules)
+    entries = unseen.select("blob").join(found, "blob", "left").select("blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.lit(version).alias("version"))
+    entries.write.mode("append").partitionBy("version").parquet(ledger)
+    now = ledger_entries(spark, ledger, version)
+    copies = stored(listed.groupBy("blob").agg(F.count("*").alias("n")))
+    now = stored(now.join(copies, "blob").select("blob", "spans", "n"))
+    return spread_join(listed, now.select("blob", "spans"), "blob", hot_keys(now, "blob", "n")).select(F.col("path").alias(path), "blob", "spans")
+
+
+def ledger_entries(spark: SparkSession, ledger: str, version: str) -> DataFrame:
+    """(blob, spans) that the ledger holds under a rule version, a blob once."""
+    schema = f"blob binary, spans {SPANS}, version string"
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("version").parquet(ledger)
+    return spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
+
+
+def unseen_blobs(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """(path, blob, n): each blob that ``known`` lacks, under its least path, with the rows that repeat the pair."""
+    pairs = stored(listed.groupBy("path", "blob").agg(F.count("*").alias("n")))
+    first = pairs.groupBy("blob").agg(F.min(F.struct(F.col("path").isNull().alias("no_path"), "path", "n")).alias("own"))
+    return stored(first.join(known.select("blob"), "blob", "left_anti").select("own.path", "blob", "own.n"))
+
+
+def texts_of(rows: DataFrame, listed: DataFrame, owners: DataFrame) -> DataFrame:
+    """(blob, text): the text of each owner pair, from one of its rows.
+
+    The shorter list is sent to every executor, so texts stay where they are: the pairs to scan, as in a run
+    that adds to a ledger, or the pairs to skip, as in a first run. If both are long, the rows are shuffled.
+    """
+    own = owners.select(F.col("path").alias("o_path"), F.col("blob").alias("o_blob"))
+    same = F.col("path").eqNullSafe(F.col("o_path")) & (F.col("blob") == F.col("o_blob"))
+    todo = rows.join(own, same, "left_semi")
+    if table_bytes(own) <= BROADCAST_BYTES:
+        todo = rows.join(F.broadcast(own), same, "left_semi")
+    else:
+        skip = stored(listed.distinct().join(own, same, "left_anti").select(F.col("path").alias("o_path"), F.col("blob").alias("o_blob")))
+        if table_bytes(skip) <= BROADCAST_BYTES:
+            todo = rows.join(F.broadcast(skip), same, "left_anti")
+    again = stored(owners.where("n > 1").select(F.col("path").alias("o_path"), F.col("blob").alias("o_blob")))
+    if again.isEmpty():
+        return todo.select("blob", "text")
+    once = todo.join(small(again), same, "left_anti").select("blob", "text")
+    return once.unionByName(todo.join(small(again), same, "left_semi").groupBy("blob").agg(F.first("text").alias("text")))
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
