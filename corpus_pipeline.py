@@ -20,33 +20,35 @@ LEAST_LANGUAGE = 0.2
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
+    """Documents that neither the base rules nor the learned list reject; a null text has no words and goes.
+
+    Equal texts share a verdict; columns of any name come through as they are.
+    """
     rules = quality.learn_rules(quality.labelled_sample(docs, table(spark, sf_dir, "labels")))
-    judged = quality.apply_rules(quality.text_statistics(docs.withColumn("_text", F.col("text")), "_text"), rules)
-    return judged.where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), F.col("text").alias("_text"))
+    return quality.apply_rules(quality.text_statistics(rows, "_text"), rules).where("kept").select("_doc.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language."""
+    """Documents in a known language; a text that is null or without a letter goes. Any other column comes through."""
     prepare(spark)
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
-    found = langid.identify_languages(docs, langid.learn_languages(docs.where(~held)))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), "text")
+    found = langid.identify_languages(rows, langid.learn_languages(docs.where(~held)))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE)).select("_doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least id."""
+    """One row of each near-duplicate class: the one with the least doc_id. Rows without text or id stay."""
     prepare(spark)
-    classes = neardup.near_duplicates(docs)
-    gone = stored(classes.where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(small(gone, neardup.NearDupParams().broadcast_rows), "doc_id", "left_anti").select(*docs.columns)
+    return neardup.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; every secret is replaced by a mask, and n_chars follows."""
-    found = secrets.scan_ledger(docs)
+    """All documents; every secret is replaced by a mask, and n_chars follows. A null text stays null."""
+    found = secrets.scan_ledger(docs.select("doc_id", "text"))
     hit = stored(found.where(F.size("spans") > 0).select(F.col("blob").alias("_secret_blob"), F.lit(True).alias("_hit")).distinct())
-    rows = docs.withColumn("_secret_blob", secrets.blob_of(F.col("text"))).join(small(hit, secrets.BROADCAST_ROWS // 4), "_secret_blob", "left")
+    rows = docs.withColumn("_secret_blob", secrets.blob_of(F.col("text"))).join(small(hit), "_secret_blob", "left")
     rows = secrets.redacted(rows, where=F.coalesce(F.col("_hit"), F.lit(False)))
     size = F.when(F.col("_hit"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return rows.withColumn("n_chars", size).select(*docs.columns)
