@@ -61,10 +61,40 @@ def source_of(model: Column, provider: Column) -> Column:
     return F.when(F.lower(provider).isin("ollama", "local"), family).otherwise(F.concat(F.lit("hosted_"), slug(provider, "_")))
 
 
+# Pattern of a saved configuration's whole name, and the model it stands for.
+CONFIG_MODELS = (
+    (r"^(anthropic - |claude )?opus 4\.6$", "claude-opus-4-6"),
+    (r"^(anthropic - |claude )?opus 4\.5$", "claude-opus-4-5"),
+    (r"^(anthropic - |claude )?sonnet 4\.6$", "claude-sonnet-4-6"),
+    (r"^(anthropic - |claude )?sonnet 4\.5$", "claude-sonnet-4-5"),
+    (r"^gemini 3\.1 pro preview$", "gemini-3.1-pro-preview"),
+    (r"^gemini 3( pro preview)?$", "gemini-3-pro-preview"),
+    (r"^gemini flash$", "gemini-3-flash-preview"),
+)
+
+
 def model_of_config(name: Column) -> Column:
-    """Model name inside a configuration's name; null if none is known."""
-    found = F.regexp_extract(F.lower(name), "(opus|sonnet|haiku|gpt-[0-9a-z.]+|gemini[0-9a-z.-]*)", 1)
-    return F.nullif(found, F.lit(""))
+    """Model that a configuration's whole name stands for; an unknown name gives null, not a guess."""
+    known, out = F.lower(F.trim(name)), F.lit(None).cast("string")
+    for pattern, model in CONFIG_MODELS:
+        out = F.when(known.rlike(pattern), model).otherwise(out)
+    return out
+
+
+def compatible_tokens(prompt: Column, completion: Column, nested: Column, flat: Column) -> Column:
+    """Tokens of a compatible response: cached input, told nested or else flat, is taken off the prompt.
+
+    Null if a counter is missing or more is cached than was asked.
+    """
+    cached = F.coalesce(nested, flat, F.lit(0))
+    return F.when(cached <= prompt, prompt - cached + completion)
+
+
+def cache_writes(broken_down: Column, flat: Column) -> tuple[Column, Column]:
+    """Cache writes, summed from a map if there is one, else flat, else 0; and whether any were reported."""
+    zero = F.lit(0).cast("bigint")
+    total = F.aggregate(F.map_values(broken_down), zero, lambda a, x: a + F.coalesce(x, zero))
+    return F.coalesce(total, flat, zero), broken_down.isNotNull() | flat.isNotNull()
 
 
 def slug(text: Column, joiner: str = "-") -> Column:

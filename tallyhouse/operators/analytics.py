@@ -170,6 +170,22 @@ def missing_coverage(daily: DataFrame, intervals: DataFrame) -> DataFrame:
     return daily.join(days, ["source", "day"], "left_anti").groupBy("source").agg(F.count("*").alias("days"))
 
 
+def unlabelled(daily: DataFrame, labels: DataFrame) -> DataFrame:
+    """(source, days) of the sources that have no label."""
+    return daily.join(labels.select("source").distinct(), "source", "left_anti").groupBy("source").agg(F.count_distinct("day").alias("days"))
+
+
+def date_order_errors(rows: DataFrame, position: str = "position", day: str = "day") -> DataFrame:
+    """(position, day, why): rows of a dataset whose day was there before (duplicate) or is not after the row above (unsorted).
+
+    Daily rows are few; the window without a key runs on them, never on calls.
+    """
+    above = F.lag(day).over(Window.orderBy(position))
+    before = F.row_number().over(Window.partitionBy(day).orderBy(position)) > 1
+    found = rows.select(F.col(position).alias("position"), F.col(day).alias("day"), F.array(F.when(before, F.lit("duplicate")), F.when(F.col(day) <= above, F.lit("unsorted"))).alias("e"))
+    return found.select("position", "day", F.explode(F.array_compact("e")).alias("why"))
+
+
 def reference_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     """How many (day, source, tokens) of ``a`` occur in ``b``."""
     key = ["day", "source", "tokens"]
@@ -190,18 +206,18 @@ def latest_days(daily: DataFrame, n: int = 30) -> DataFrame:
 
 def evaluate(daily: DataFrame, as_of: str, start: str) -> DataFrame:
     """(check, count, verdict) of the dataset-wide checks."""
-    d = F.col("day")
-    one = lambda name, df, level: df.agg(F.count("*").alias("count")).select(F.lit(name).alias("check"), "count", F.when(F.col("count") == 0, "ok").otherwise(level).alias("verdict"))
-    checks = [
-        one("future", daily.where(d > F.lit(as_of).cast("date")), "FAIL"), one("before_window", daily.where(d < F.lit(start).cast("date")), "FAIL"),
-        one("duplicate_entry", daily.groupBy("day", "source").count().where("count > 1"), "FAIL"), one("unsupported_zero", daily.where("tokens = 0 and coalesce(calls, 0) = 0"), "FAIL"),
-        one("adjacent_duplicate", adjacent_duplicates(daily), "FAIL"), one("unreviewed", daily.where("driver is null or driver = 'unreviewed'"), "WARN"),
-        one("open_week", daily.where(d >= week_start(F.lit(as_of).cast("date"))), "WARN"),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+    d, by_source = F.col("day"), Window.partitionBy("source").orderBy("day")
+    again = (F.datediff("day", F.lag("day").over(by_source)) == 1) & (F.col("tokens") == F.lag("tokens").over(by_source)) & F.col("calls").eqNullSafe(F.lag("calls").over(by_source))
+    rows = daily.withColumns({"_again": again, "_place": F.row_number().over(Window.partitionBy("source", "day").orderBy("tokens"))})
+    checks = {
+        "future": (d > F.lit(as_of).cast("date"), "FAIL"), "before_window": (d < F.lit(start).cast("date"), "FAIL"), "duplicate_entry": (F.col("_place") == 2, "FAIL"),
+        "unsupported_zero": ((F.col("tokens") == 0) & (F.coalesce("calls", F.lit(0)) == 0), "FAIL"), "adjacent_duplicate": (F.col("_again"), "FAIL"),
+        "unreviewed": (F.col("driver").isNull() | (F.col("driver") == "unreviewed"), "WARN"), "open_week": (d >= week_start(F.lit(as_of).cast("date")), "WARN"),
+    }
+    # one scan counts every check; the counts are then turned into rows
+    counted = rows.agg(*[F.count_if(bad).alias(name) for name, (bad, _) in checks.items()]).unpivot([], list(checks), "check", "count")
+    level = F.when(F.col("check").isin(*[n for n, (_, v) in checks.items() if v == "FAIL"]), "FAIL").otherwise("WARN")
+    return counted.select("check", "count", F.when(F.col("count") == 0, "ok").otherwise(level).alias("verdict"))
 
 
 def validate_dataset(daily: DataFrame, as_of: str, start: str) -> DataFrame:

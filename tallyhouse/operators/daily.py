@@ -86,8 +86,19 @@ def filter_daily(entries: DataFrame, source: str | None = None, fidelity: str |
     return rows.where((F.col("tokens") > 0) | F.col("calls").isNotNull())
 
 
-def visible_window(daily: DataFrame, days: int, as_of: str) -> DataFrame:
-    """Rows of the last ``days`` days back from ``as_of``."""
+def window_range(daily: DataFrame, days: int | None, as_of: str, opened: str | None = None) -> DataFrame:
+    """(start, end) of what a dashboard shows: the last ``days`` days, or all from the earlier of the first row and ``opened``."""
+    end = F.lit(as_of).cast("date")
+    first = F.lit(as_of).cast("date") if days is None else F.date_sub(end, days - 1)
+    if days is None:
+        first = F.coalesce(F.least(F.lit(opened).cast("date"), F.min("day")), first)
+    return daily.agg(F.min("day").alias("_"), first.alias("start")).select("start", end.alias("end"))
+
+
+def visible_window(daily: DataFrame, days: int | None, as_of: str) -> DataFrame:
+    """Rows of the last ``days`` days back from ``as_of``; every row without a number of days."""
+    if days is None:
+        return daily
     end = F.lit(as_of).cast("date")
     return daily.where((F.col("day") <= end) & (F.col("day") > F.date_sub(end, days)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.usage import sum_if_complete, table_tokens, task_tokens
+from tallyhouse.functions.usage import sum_if_complete, table_tokens, task_tokens, utf16_length
 
 #: Breaks ties between rewrites of one request: the latest, then the largest counters, then the origin.
 REWRITE_ORDER = ("ts", "output", "input", "cached", "cache_write", "origin")
@@ -18,9 +18,15 @@ def request_identity(request_id: Column, message_id: Column, uuid: Column, file:
 
 
 def latest_per_request(calls: DataFrame) -> DataFrame:
-    """The latest write of every (source, request_id)."""
-    w = Window.partitionBy("source", "request_id").orderBy(*[F.desc(c) for c in REWRITE_ORDER])
-    return calls.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The latest write of every (source, request_id); an aggregate, so rewrites are combined before the shuffle."""
+    return latest_by(calls, ["source", "request_id"], REWRITE_ORDER)
+
+
+def latest_by(rows: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
+    """The row of each key that is greatest in ``order``, then in its other columns by name."""
+    rest = [c for c in sorted(rows.columns) if c not in keys and c not in order]
+    top = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_top"))
+    return top.select(*[c if c in keys else F.col(f"_top.{c}").alias(c) for c in rows.columns])
 
 
 def adjacent_dedupe(counters: DataFrame) -> DataFrame:
@@ -114,9 +120,54 @@ def task_receipts(messages: DataFrame, convention: str | None) -> DataFrame:
 
 
 def estimate_chat(messages: DataFrame) -> DataFrame:
-    """Estimated tokens of conversations: a quarter of each message's characters, rounded up."""
-    rows = messages.where(F.col("role").isin("user", "assistant")).dropDuplicates(["conv_id", "turn"])
-    return rows.groupBy("day").agg(F.sum(F.ceil(F.length("text") / 4)).alias("tokens"), F.count_if(F.col("role") == "assistant").alias("calls"))
+    """Estimated tokens of conversations: a quarter of each message's UTF-16 units, rounded up.
+
+    Of a turn that is logged again, the row greatest by role, length and text counts.
+    """
+    rows = messages.where(F.col("role").isin("user", "assistant")).withColumn("units", utf16_length(F.coalesce("text", F.lit(""))))
+    rows = latest_by(rows.select("conv_id", "turn", "day", "role", "units"), ["conv_id", "turn"], ("role", "units"))
+    return rows.groupBy("day").agg(F.sum(F.ceil(F.col("units") / 4)).alias("tokens"), F.count_if(F.col("role") == "assistant").alias("calls"))
+
+
+def message_chars(parts: Column, text: Column, attached: Column) -> Column:
+    """UTF-16 units of a message: its typed parts if they hold any, else its text; attachments are added."""
+    total = lambda xs: F.aggregate(F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: utf16_length(F.coalesce(x, F.lit("")))), F.lit(0), lambda a, x: a + x)
+    own = total(parts)
+    return F.when(own > 0, own).otherwise(utf16_length(F.coalesce(text, F.lit("")))) + total(attached)
+
+
+def chat_session_receipts(messages: DataFrame) -> DataFrame:
+    """Daily receipts of chat sessions (session, message_id, ts, model, input, output, cached, thoughts, tool, day, source).
+
+    The latest record of a message counts. Tokens: input without cached input, output, thoughts and tool
+    prompts; a missing counter is 0. A message without time, or with more cached than input, makes its source
+    unknown: none of its days is returned.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    good = F.col("ts").isNotNull() & (zero("cached") <= zero("input"))
+    unknown = messages.where(~good).select("source").distinct()
+    last = latest_by(messages.join(unknown, "source", "left_anti"), ["source", "session", "message_id"], ("ts",))
+    tokens = zero("input") - zero("cached") + zero("output") + zero("thoughts") + zero("tool")
+    models = F.array_join(F.array_sort(F.collect_set("model")), ",")
+    return last.groupBy("day", "source").agg(F.sum(tokens).alias("tokens"), F.count("*").alias("calls"), F.sum(zero("cached")).alias("cached"), F.sum(zero("thoughts")).alias("thoughts"), models.alias("models")).where("tokens > 0")
+
+
+def thread_receipts(threads: DataFrame) -> DataFrame:
+    """Daily receipts of agent threads (id, source, created, updated, input, output, cache_write, cached, requests, model).
+
+    A thread counts whole on the day it was created, else last changed. Cached reads are left out. A
+    thread without a day or a counter makes its source unknown: none of its days is returned.
+    """
+    rows = threads.withColumn("day", F.coalesce("created", "updated").cast("date"))
+    bad = F.col("day").isNull() | F.col("input").isNull() | F.col("output").isNull() | F.col("cache_write").isNull() | F.col("cached").isNull()
+    rows = rows.join(rows.where(bad).select("source").distinct(), "source", "left_anti")
+    models = F.array_join(F.array_sort(F.collect_set("model")), ",")
+    return rows.groupBy("day", "source").agg(F.sum(F.col("input") + F.col("cache_write") + F.col("output")).alias("tokens"), F.sum(F.coalesce("requests", F.lit(0))).cast("bigint").alias("calls"), F.sum("cached").alias("cached"), models.alias("models")).where("tokens > 0")
+
+
+def since(rows: DataFrame, first: str | None) -> DataFrame:
+    """Rows from a day on; all of them without a day. A plain condition, so it reaches a partitioned scan."""
+    return rows if first is None else rows.where(F.col("day") >= F.lit(first).cast("date"))
 
 
 def report_receipts(results: DataFrame) -> DataFrame:

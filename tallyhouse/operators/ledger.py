@@ -95,9 +95,9 @@ def plan_transitions(ledger: DataFrame, incoming: DataFrame) -> DataFrame:
     return ledger.select("request_id", F.col("source").alias("old_source")).join(outcomes, "request_id").groupBy("old_source", "new_source").agg(F.count("*").alias("retired"))
 
 
-def combine_identity_free(receipts: DataFrame) -> DataFrame:
-    """Receipts without identities, merged by scope before acceptance."""
-    return receipts.groupBy("day", "source", "scope").agg(F.sum("tokens").alias("tokens"), F.sum("calls").alias("calls"), F.count("*").alias("merged"))
+def combine_identity_free(receipts: DataFrame, scope: tuple[str, ...] = ("day", "source", "scope")) -> DataFrame:
+    """Receipts without identities, merged by the columns of their scope before acceptance; null equals null."""
+    return receipts.groupBy(*scope).agg(F.sum("tokens").alias("tokens"), F.sum("calls").alias("calls"), F.count("*").alias("merged"))
 
 
 def ledger_matches(ledger: DataFrame, daily: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import analytics as a
@@ -13,6 +14,11 @@ W = "over (order by epoch(day) / 86400 range between {} preceding and {} {})"
 S = "share, rank() over (order by tokens desc) as place"
 SHARE = "tokens / sum(tokens) over () as " + S
 
+add("j19_unlabelled", ["daily"], "select source, count(distinct day) as days from daily where source not in ('urgent', 'high', 'low') group by 1")(
+    lambda d: a.unlabelled(d, d.where("source in ('urgent', 'high', 'low')").select("source")))
+ORDERED = ", r as (select day, source, day + (case when source = 'low' then -2 else 0 end) as d, row_number() over (order by day, source) as position from daily)"
+add("w12_date_order", ["daily"], ORDERED + ", e as (select position, d as day, row_number() over (partition by d order by position) > 1 as again, d <= lag(d) over (order by position) as below from r) select position, day, 'duplicate' as why from e where again union all select position, day, 'unsorted' from e where below")(
+    lambda d: a.date_order_errors(d.select(F.date_add("day", F.when(F.col("source") == "low", -2).otherwise(0)).alias("day"), F.row_number().over(Window.orderBy("day", "source")).alias("position"))))
 add("a16_totals", ["daily"], T + " select day, total from t")(a.totals)
 add("w6_trailing7", ["daily"], T + ", c as (select day, total, case when count(*) over w = 7 then cast(floor(sum(total) over w / 7 + 0.5) as bigint) end as average, case when count(*) over v = 7 then cast(floor(sum(total) over v / 7 + 0.5) as bigint) end as before from t window w as (order by day range between interval 6 day preceding and current row), v as (order by day range between interval 13 day preceding and interval 7 day preceding)) select *, cast(floor(100.0 * (average - before) / nullif(before, 0) + 0.5) as bigint) as delta_percent from c")(a.calendar_average)
 add("w7_scanned_week", ["daily"], T + ", m as (select max(day) - cast(dayofweek(max(day)) as int) as w from t), k as (select case when w + 6 < date '1998-08-03' then w else w - 7 end as week from m) select k.week, cast(floor(sum(total) / 7 + 0.5) as bigint) as average from k left join t on t.day between k.week and k.week + 6 group by 1")(

@@ -43,6 +43,15 @@ SQL: dict[str, tuple[str, str]] = {
           case l_returnflag when 'A' then 'tool_a' when 'N' then 'tool_n' else 'tool_r' end as source,
           case l_returnflag when 'A' then 'tool' when 'N' then 'provider' else 'estimated' end as authority,
           concat('scope', l_orderkey % 3) as scope from {t}"""),
+    "claims": ("events", """
+        select concat(event_type, ':', user_id, ':', cast(cast(ts as date) as string)) as receipt_id,
+          case when user_id % 4 <> 0 then concat('snap:', event_type, ':', user_id, ':', cast(cast(ts as date) as string)) end as snapshot_key,
+          cast(ts as date) as day, event_type as source, case when event_type = 'error' and user_id % 6 = 0 then 's9' else concat('s', user_id % 3) end as scope,
+          case event_type when 'click' then 'provider' when 'purchase' then 'reconstructed' when 'error' then 'estimated' else 'tool' end as authority,
+          case when event_type = 'error' then 'estimated' else 'exact' end as fidelity,
+          cast(sum(cast(floor(value * 10) as bigint)) as bigint) as tokens, count(*) as calls,
+          case when user_id % 7 <> 0 then sort_array(collect_set(concat('q', user_id, '-', cast(floor(dayofmonth(cast(ts as date)) / 2) as int), '-', cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 3))) end as keys
+        from {t} group by event_type, user_id, cast(ts as date)"""),
     "daily": ("orders", """
         select cast(o_orderdate as date) as day, regexp_replace(lower(o_orderpriority), '[^a-z]+', '{g}') as source,
           cast(sum(cast(floor(o_totalprice) as bigint)) as bigint) as tokens, count(*) as calls,
@@ -66,6 +75,6 @@ def duck(*names: str) -> str:
     parts = []
     for name in names:
         source, sql = SQL[name]
-        text = sql.replace("{t}", source).replace("'{g}')", "'', 'g')").replace("as string)", "as varchar)").replace("date_add(date '2025-01-01', cast(conv_id % 60 as int))", "date '2025-01-01' + cast(conv_id % 60 as int)")
+        text = sql.replace("{t}", source).replace("'{g}')", "'', 'g')").replace("as string)", "as varchar)").replace("sort_array(collect_set(", "list_sort(list(distinct ").replace("date_add(date '2025-01-01', cast(conv_id % 60 as int))", "date '2025-01-01' + cast(conv_id % 60 as int)")
         parts.append(f"{name} as ({text})")
     return "with " + ", ".join(parts) + " "

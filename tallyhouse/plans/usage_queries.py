@@ -11,6 +11,7 @@ from tallyhouse.plans.registry import register
 from tallyhouse.profile import Profile
 from tallyhouse.sources.tables import table
 
+UNITS = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
 LATEST = "latest as (select * exclude (rn) from (select *, row_number() over (partition by source, request_id order by ts desc, output desc, input desc, cached desc, cache_write desc, origin desc) rn from calls) where rn = 1)"
 RANK = "case authority when 'estimated' then 1 when 'reconstructed' then 2 when 'tool' then 3 when 'provider' then 4 end"
 NAME = "case {} when 1 then 'estimated' when 2 then 'reconstructed' when 3 then 'tool' when 4 then 'provider' end"
@@ -94,7 +95,31 @@ add("a10_table_daily", ["calls"], "select day, source, cast(sum(case when cached
     lambda c: extract.table_receipts(c.withColumn("total", F.col("input") + F.col("output")), "inclusive"))
 add("a11_task_daily", ["calls"], "select day, source, cast(sum(case when cache_write = 0 and cached = 0 then input + output when input < cached + cache_write then input + cache_write + output else input + cache_write + output end) as bigint) as tokens, count(*) as calls, count(case when cache_write = 0 and cached = 0 then 1 end) as n_plain, count(case when not (cache_write = 0 and cached = 0) and input < cached + cache_write then 1 end) as n_legacy, count(case when not (cache_write = 0 and cached = 0) and input >= cached + cache_write then 1 end) as n_given from calls group by 1, 2")(
     lambda c: extract.task_receipts(c, "legacy"))
-add("a14_chat_estimate", ["chat"], "select day, cast(sum(ceil(length(text) / 4.0)) as bigint) as tokens, count(case when role = 'assistant' then 1 end) as calls from chat where role in ('user', 'assistant') group by 1")(extract.estimate_chat)
+add("a14_chat_estimate", ["chat"], "select day, cast(sum(ceil((length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0)) as bigint) as tokens, count(case when role = 'assistant' then 1 end) as calls from chat where role in ('user', 'assistant') group by 1")(extract.estimate_chat)
+add_table("f10_message_chars", ["documents"], f"select doc_id, cast(case when replace(text, 'e', '') <> '' then {UNITS.format("replace(text, 'e', '')")} else {UNITS.format('lang')} end + {UNITS.format('source')} as bigint) as units from documents")(
+    lambda d: d.select("doc_id", extract.message_chars(F.split("text", "e"), F.col("lang"), F.array("source")).cast("bigint").alias("units")))
+add("p9_since", ["daily"], "select day, source, tokens from daily where day >= date '1995-03-15'")(
+    lambda d: extract.since(d, "1995-03-15").select("day", "source", "tokens"))
+SESSIONS = "s as (select account as session, request_id as message_id, ts, day, source, origin as model, input, output, case when source = 'tool_r' and input < 300 then input + 1 else least(cached, input) end as cached, cache_write as thoughts, case when cached % 3 <> 0 then cached end as tool from calls), k as (select * from s qualify row_number() over (partition by source, session, message_id order by ts desc, cached desc, day desc, input desc, model desc, output desc, thoughts desc, tool desc nulls last) = 1)"
+
+
+def _sessions(c):
+    cached = F.when((F.col("source") == "tool_r") & (F.col("input") < 300), F.col("input") + 1).otherwise(F.least("cached", "input"))
+    return c.select(F.col("account").alias("session"), F.col("request_id").alias("message_id"), "ts", "day", "source", F.col("origin").alias("model"), "input", "output", cached.alias("cached"), F.col("cache_write").alias("thoughts"), F.when(F.col("cached") % 3 != 0, F.col("cached")).alias("tool"))
+
+
+add("a9_chat_sessions", ["calls"], f", {SESSIONS} select day, source, cast(sum(input - cached + output + thoughts + coalesce(tool, 0)) as bigint) as tokens, count(*) as calls, cast(sum(cached) as bigint) as cached, cast(sum(thoughts) as bigint) as thoughts, array_to_string(list_sort(list(distinct model)), ',') as models from k where source not in (select source from s where cached > input) group by 1, 2")(
+    lambda c: extract.chat_session_receipts(_sessions(c)))
+add("a13_threads", ["calls"], "select day, source, cast(sum(input + cache_write + output) as bigint) as tokens, cast(sum(n) as bigint) as calls, cast(sum(cached) as bigint) as cached, array_to_string(list_sort(list(distinct origin)), ',') as models from (select case when cached % 5 <> 0 then day else day + 1 end as day, case when source = 'tool_n' then 'tool_a' else source end as source, input, output, cache_write, cached, origin, input % 4 as n from calls) where source <> 'tool_r' group by 1, 2 having sum(input + cache_write + output) > 0")(
+    lambda c: extract.thread_receipts(c.select(F.when(F.col("source") == "tool_n", "tool_a").otherwise(F.col("source")).alias("source"), F.when(F.col("cached") % 5 != 0, F.col("day")).alias("created"), F.date_add("day", 1).alias("updated"), F.when(F.col("source") != "tool_r", F.col("input")).alias("input"), "output", "cache_write", "cached", (F.col("input") % 4).alias("requests"), F.col("origin").alias("model"))))
+add("a10_table_undecided", ["calls"], "select day, source, case when source <> 'tool_n' then cast(sum(case when cached > 0 then null else input + output end) as bigint) end as tokens, count(*) as calls, case when source = 'tool_n' then (select count(*) from calls where source = 'tool_n' and cached > 0) else 0 end as undecided from (select day, source, input, output, case when source = 'tool_n' then cached else 0 end as cached from calls) group by 1, 2")(
+    lambda c: extract.table_receipts(c.withColumn("total", F.col("input") + F.col("output")).withColumn("cached", F.when(F.col("source") == "tool_n", F.col("cached")).otherwise(0)), None))
+add_table("f6_config_model", ["part"], "select p_brand, case p_partkey % 4 when 0 then 'claude-opus-4-6' when 1 then 'gemini-3-pro-preview' when 2 then 'claude-sonnet-4-5' end as model, count(*) as n from part group by 1, 2")(
+    lambda p: p.select("p_brand", u.model_of_config(F.element_at(F.array(F.lit(" Claude Opus 4.6"), F.lit("Gemini 3"), F.lit("ANTHROPIC - Sonnet 4.5 "), F.lit("my sonnet")), (F.col("p_partkey") % 4 + 1).cast("int"))).alias("model")).groupBy("p_brand", "model").agg(F.count("*").alias("n")))
+add("f8_compatible", ["calls"], "select source, cast(sum(case when c <= input then input - c + output end) as bigint) as tokens, count(case when c > input then 1 end) as refused from (select source, input, output, coalesce(case when cached % 2 = 0 then cached end, case when cache_write % 3 <> 0 then cache_write end, 0) as c from calls) group by 1")(
+    lambda c: (lambda t: c.groupBy("source").agg(F.sum(t).alias("tokens"), F.count_if(t.isNull()).alias("refused")))(u.compatible_tokens(F.col("input"), F.col("output"), F.when(F.col("cached") % 2 == 0, F.col("cached")), F.when(F.col("cache_write") % 3 != 0, F.col("cache_write")))))
+add("f9_cache_writes", ["calls"], "select source, cast(sum(case when cached % 2 = 0 then cached + cache_write when cached % 3 = 0 then cache_write else 0 end) as bigint) as writes, count(case when cached % 2 = 0 or cached % 3 = 0 then 1 end) as reported from calls group by 1")(
+    lambda c: (lambda w, told: c.groupBy("source").agg(F.sum(w).alias("writes"), F.count_if(told).alias("reported")))(*u.cache_writes(F.when(F.col("cached") % 2 == 0, F.create_map(F.lit("a"), F.col("cached"), F.lit("b"), F.col("cache_write"), F.lit("c"), F.lit(None).cast("bigint"))), F.when(F.col("cached") % 3 == 0, F.col("cache_write")))))
 add("a15_report_daily", ["calls"], "select day, account, cast(sum(input + output) as bigint) as tokens, count(*) as calls, array_to_string(list_sort(list(distinct source)), ',') as models, array_to_string(list_sort(list(distinct origin)), ',') as endpoints, cast(sum(cached) as bigint) as cached_input_tokens from calls group by 1, 2")(extract.report_receipts)
 add("a16_months", ["daily"], "select cast(date_trunc('month', day) as date) as month, count(distinct day) as days, cast(sum(tokens) as bigint) as tokens, min(day) as first_day, max(day) as last_day from daily group by 1")(extract.report_months)
 add("s9_ledger_join", ["calls"], "select c.source, coalesce(s.scope, 'none') as provider, count(*) as n, cast(sum(c.input) as bigint) as input from calls c left join (select distinct account, 'p' || account as scope from calls where account <> 'a2') s on c.account = s.account group by 1, 2")(
@@ -127,6 +152,8 @@ add("p11_filter", ["receipts"], LONG + "select e.day, e.source, e.fidelity, o.or
     lambda r: daily.filter_daily(_long(r), origin="machine/m1"))
 add("p12_window", ["daily"], "select day, source, tokens from daily where day <= date '1995-06-30' and day > date '1995-06-30' - 90")(
     lambda d: daily.visible_window(d, 90, "1995-06-30").select("day", "source", "tokens"))
+add("p12_whole_window", ["daily"], "select least(date '1991-06-01', min(day)) as start, date '1998-12-31' as \"end\" from daily")(
+    lambda d: daily.window_range(daily.visible_window(d, None, "1998-12-31"), None, "1998-12-31", "1991-06-01"))
 add("p13_activity", ["receipts"], "select day, source, scope, (coalesce(calls > 2, false) or coalesce(cached_input_tokens > 500, false)) as active from receipts")(
     lambda r: r.select("day", "source", "scope", daily.has_activity(F.col("calls") - 2, F.col("cached_input_tokens") - 500).alias("active")))
 add("p18_unpivot", ["daily"], "select day, source, cast(sum(tokens) as bigint) as tokens from daily where source in ('urgent', 'high', 'low') group by 1, 2")(

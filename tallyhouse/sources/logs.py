@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.usage import SAFE
+from tallyhouse.functions.usage import SAFE, cache_writes
 
 RECEIPT_FIELDS = {
     "date": "string", "timezone": "string", "source": "string", "provider": "string", "surface": "string", "account_alias": "string", "origin": "string", "machine_alias": "string", "snapshot_key": "string",
@@ -112,7 +112,7 @@ def read_session_totals(spark: SparkSession, path: str) -> DataFrame:
 
 def _chat_record(v: Column) -> list[Column]:
     text = lambda p: F.try_variant_get(v, p, "string")
-    return [text("$.id").alias("message_id"), text("$.type").alias("type"), F.to_timestamp(text("$.timestamp")).alias("ts"), text("$.model").alias("model"), *[counter(v, f"$.tokens.{c}").alias(c) for c in ("input", "output", "cached", "thoughts", "tool")]]
+    return [text("$.sessionId").alias("session"), text("$.id").alias("message_id"), text("$.type").alias("type"), F.to_timestamp(text("$.timestamp")).alias("ts"), text("$.model").alias("model"), *[counter(v, f"$.tokens.{c}").alias(c) for c in ("input", "output", "cached", "thoughts", "tool")]]
 
 
 def read_chat_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -188,8 +188,8 @@ def read_usage_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
     r = pages.select("b", F.explode(F.try_variant_get("b", "$.results", "array<variant>")).alias("r"))
     v = F.col("r")
     if kind == "a":
-        created = F.try_variant_get(v, "$.cache_creation", "map<string,bigint>")
-        writes = F.coalesce(F.aggregate(F.map_values(created), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0).cast("bigint"))), counter(v, "$.cache_creation_input_tokens"))
+        total, reported = cache_writes(F.try_variant_get(v, "$.cache_creation", "map<string,bigint>"), counter(v, "$.cache_creation_input_tokens"))
+        writes = F.when(reported, total)
         return r.select(F.to_timestamp(F.try_variant_get("b", "$.starting_at", "string")).alias("ts"), F.try_variant_get(v, "$.model", "string").alias("model"), counter(v, "$.uncached_input_tokens").alias("input"), writes.alias("cache_write"), counter(v, "$.cache_read_input_tokens").alias("cached"), counter(v, "$.output_tokens").alias("output"), F.lit(None).cast("bigint").alias("calls"))
     return r.select(F.timestamp_seconds(F.try_variant_get("b", "$.start_time", "bigint")).alias("ts"), F.try_variant_get(v, "$.model", "string").alias("model"), counter(v, "$.input_tokens").alias("input"), F.lit(None).cast("bigint").alias("cache_write"), counter(v, "$.input_cached_tokens").alias("cached"), counter(v, "$.output_tokens").alias("output"), counter(v, "$.num_model_requests").alias("calls"))
 
@@ -205,14 +205,21 @@ def read_cost_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_responses(rows: DataFrame, kind: str) -> DataFrame:
-    """Counters of captured responses (VARIANT column v) of kind search, local, compatible or evaluation."""
+    """Counters of captured responses (VARIANT column v) of kind search, local, compatible or evaluation.
+
+    A compatible response may tell cached input nested or flat; rows that cache more than they asked are
+    inconsistent and dropped.
+    """
     v = F.col("v")
     paths = {
         "search": ("$.usage.prompt_tokens", "$.usage.completion_tokens", "$.usage.total_tokens", None), "local": ("$.prompt_eval_count", "$.eval_count", None, None),
         "compatible": ("$.usage.prompt_tokens", "$.usage.completion_tokens", None, "$.usage.prompt_tokens_details.cached_tokens"), "evaluation": ("$.usage.input_tokens", "$.usage.output_tokens", None, None),
     }[kind]
     got = [(counter(v, p) if p else F.lit(None).cast("bigint")).alias(n) for p, n in zip(paths, ("prompt", "completion", "total", "cached"))]
-    return rows.select(F.try_variant_get(v, "$.id", "string").alias("id"), F.try_variant_get(v, "$.model", "string").alias("model"), *got)
+    out = rows.select(F.try_variant_get(v, "$.id", "string").alias("id"), F.try_variant_get(v, "$.model", "string").alias("model"), *got, counter(v, "$.usage.prompt_cache_hit_tokens").alias("_flat"))
+    if kind == "compatible":
+        out = out.withColumn("cached", F.coalesce("cached", "_flat")).where("cached is null or prompt is null or cached <= prompt")
+    return out.drop("_flat")
 
 
 def responses_from_text(rows: DataFrame, column: str) -> DataFrame:

@@ -44,22 +44,31 @@ def dedupe_stream(calls: DataFrame, delay: str = "90 days") -> DataFrame:
     return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["response_id"]).select("response_id")
 
 
-def increments_stream(calls: DataFrame) -> DataFrame:
+def increments_stream(calls: DataFrame, keep: str | None = None) -> DataFrame:
     """Increase of each session's cumulative counter across batches; a fall starts afresh.
 
     Rows of one batch are ordered by (ts, event_id) before the state moves, so their order in a file is free.
+    With ``keep`` ("90 days"), a session's counter is forgotten when the watermark of that delay passes its
+    latest row; without it, state is kept for as long as the stream lives.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         k = rows["k"].to_numpy()
         # a new session begins afresh: nothing is below the missing counter's stand-in
         before = np.concatenate([[state.get[0] if state.exists else k[0] + 1], k[:-1]])
         fresh = k < before
         state.update((int(k[-1]),))
+        if keep:
+            state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"session": key[0], "event_id": rows["event_id"], "fresh": fresh, "d_k": np.where(fresh, k, k - before)})
 
-    return calls.groupBy("session").applyInPandasWithState(step, "session long, event_id long, fresh boolean, d_k long", "k long", "append", GroupStateTimeout.NoTimeout)
+    rows = calls.withWatermark("ts", keep) if keep else calls
+    timeout = GroupStateTimeout.EventTimeTimeout if keep else GroupStateTimeout.NoTimeout
+    return rows.groupBy("session").applyInPandasWithState(step, "session long, event_id long, fresh boolean, d_k long", "k long", "append", timeout)
 
 
 def late_split(calls: DataFrame, as_of: str, days: int) -> DataFrame:
@@ -67,6 +76,25 @@ def late_split(calls: DataFrame, as_of: str, days: int) -> DataFrame:
     return calls.withColumn("late", F.col("ts").cast("date") < F.date_sub(F.lit(as_of).cast("date"), days))
 
 
+def late_side_tables(calls: DataFrame, as_of: str, days: int, name: str = "late") -> tuple[DataFrame, DataFrame]:
+    """(on time, late): rows of a stream, those older than the horizon in a side table of their own.
+
+    A batch that runs again writes its folder again, so nothing is counted twice.
+    """
+    spark = calls.sparkSession
+    out, state, schema = shared_dir(spark, name), shared_dir(spark, f"{name}-state"), calls.schema
+    sides = {"on_time": ~F.col("late"), "late": F.col("late")}
+
+    def write(batch: DataFrame, no: int) -> None:
+        for side, rows in sides.items():
+            batch.where(rows).drop("late").write.mode("overwrite").parquet(f"{out}/{side}/batch={no}")
+
+    late_split(calls, as_of, days).writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    for side in sides:  # a stream without a batch leaves both tables empty
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/{side}/batch=-1")
+    return tuple(spark.read.schema(schema).option("basePath", f"{out}/{side}").parquet(f"{out}/{side}").select(*schema.names) for side in sides)
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is there and stop; the result is a table in the shared folder."""
     spark = stream.sparkSession
