@@ -224,65 +224,81 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: NearDupParams) -> DataFrame:
 def _links_in_blocks(mixed: DataFrame, p: NearDupParams) -> DataFrame:
     """Links between different classes among texts of one band value, compared block by block.
 
-    ``mixed``: band, band_no, n, id, class_id, keys, set, size. A block of texts meets itself and every later
-    block of its band value; a task holds two blocks. A pair is looked at for the first band value that it
-    shares. Sets are compared only if their sizes, and their counts of shingles by 64 ranges of the hash,
-    leave the threshold within reach: both bounds are exact.
+    ``mixed``: band, band_no, n, id, class_id, keys, set. A block of texts meets itself and every later
+    block of its band value: at most two blocks come together, and a task takes such groups one after the
+    other. A pair is looked at for the first band value that it shares. Sets are compared only if their
+    sizes, and their counts of shingles by 64 ranges of the hash, leave the threshold within reach: both
+    bounds are exact.
     """
     place = F.pmod(F.xxhash64("id"), F.col("n_blocks"))
     sized = mixed.withColumn("n_blocks", F.ceil(F.col("n") / p.block)).withColumn("block", place)
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     dealt = sized.select("band", "band_no", "id", "class_id", "keys", "set", "block", other)
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(group["x"].iloc[0]), int(group["y"].iloc[0])
-        own = group["block"].to_numpy() == low
-        left, right = group[own], group if low == high else group[~own]
-        found: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            band = int(group["band_no"].iloc[0])
-            ids, cls = [g["id"].to_numpy() for g in (left, right)], [g["class_id"].to_numpy() for g in (left, right)]
-            keys = [np.stack(g["keys"].to_list()) for g in (left, right)]
-            sets = [[np.frombuffer(s, U64) for s in g["set"]] for g in (left, right)]
-            size = [np.array([x.size for x in each]) for each in sets]
-            flat = [np.concatenate(each) for each in sets]
-            rows = [np.repeat(np.arange(len(n)), n) for n in size]
-            range_of = [np.bincount(r * 64 + (f >> U64(58)).astype(np.int64), minlength=64 * len(n)).reshape(-1, 64).astype(np.int32) for r, f, n in zip(rows, flat, size)]
-            top: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while top.setdefault(x, x) != x:
-                    top[x] = top[top[x]]
-                    x = top[x]
-                return x
-
-            for i in range(len(left)):
-                ok = cls[1] != cls[0][i]
-                if low == high:
-                    ok &= ids[1] > ids[0][i]
-                if not p.weighted:
-                    most = np.minimum(range_of[1], range_of[0][i]).sum(axis=1)
-                    ok &= most >= p.threshold * (size[1] + size[0][i] - most)
+    names = ["band", "x", "y", "block", "band_no", "id", "class_id"]
+
+    def links(g: dict[str, np.ndarray], sets: list[np.ndarray], ranges: np.ndarray) -> list[tuple[int, int]]:
+        ids, cls, keys, band, low = g["id"], g["class_id"], g["keys"], int(g["band_no"][0]), g["x"][0]
+        size = np.array([len(x) for x in sets])
+        own = g["block"] == low
+        alone = g["x"][0] == g["y"][0]
+        top: dict[int, int] = {}
+        found = []
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        for i in np.flatnonzero(own).tolist():
+            ok = (cls != cls[i]) & (ids > ids[i] if alone else ~own)
+            if not p.weighted:
                 other = np.flatnonzero(ok)
-                if not len(other):
+                most = np.minimum(ranges[other], ranges[i]).sum(axis=1)
+                ok[other] = most >= p.threshold * (size[other] + size[i] - most)
+            other = np.flatnonzero(ok)
+            for j in other[(keys[other] == keys[i]).argmax(axis=1) == band].tolist():
+                a, b = find(int(cls[i])), find(int(cls[j]))
+                if a == b:
                     continue
-                other = other[(keys[1][other] == keys[0][i]).argmax(axis=1) == band]
-                for j in other.tolist():
-                    a, b = find(int(cls[0][i])), find(int(cls[1][j]))
-                    if a == b:
-                        continue
-                    if p.weighted:
-                        near = similarity(sets[0][i], sets[1][j]) >= p.threshold
-                    else:
-                        n = _shared(sets[0][i], sets[1][j])
-                        near = n >= p.threshold * (size[0][i] + size[1][j] - n)
-                    if near:
-                        top[a] = b
-                        found.append((int(ids[0][i]), int(ids[1][j])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("band", "x", "y").applyInPandas(compare, "a long, b long")
+                n = 0 if p.weighted else _shared(sets[i], sets[j])
+                if similarity(sets[i], sets[j]) >= p.threshold if p.weighted else n >= p.threshold * (size[i] + size[j] - n):
+                    top[a] = b
+                    found.append((int(ids[i]), int(ids[j])))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        kept: list[bytes] = []
+        for batch in _and_end(batches):
+            if batch is not None:
+                new = {c: batch.column(c).to_numpy() for c in names}
+                new["keys"] = np.stack(batch.column("keys").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, p.bands), np.int64)
+                held = {c: np.concatenate([held[c], v]) for c, v in new.items()} if held else new
+                kept += batch.column("set").to_pylist()
+            n = len(kept)
+            if not n:
+                continue
+            key = np.stack([held[c] for c in ("band", "x", "y")])
+            edge = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            edge = np.concatenate([[0], edge, [n] if batch is None else []]).astype(np.int64)
+            sets = [np.frombuffer(x, U64) for x in kept[: edge[-1]]]
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            flat = np.concatenate([*sets, np.zeros(0, U64)])
+            ranges = np.bincount(row * 64 + (flat >> U64(58)).astype(np.int64), minlength=64 * len(sets)).reshape(-1, 64).astype(np.int32)
+            found = []
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                found += links({c: v[lo:hi] for c, v in held.items()}, sets[lo:hi], ranges[lo:hi])
+            held, kept = {c: v[edge[-1] :] for c, v in held.items()}, kept[edge[-1] :]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").select(*names, "keys", "set").mapInArrow(run, "a long, b long")
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _linked(texts: DataFrame, p: NearDupParams) -> DataFrame:
