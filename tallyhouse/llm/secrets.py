@@ -133,13 +133,11 @@ def texts_of(rows: DataFrame, listed: DataFrame, owners: DataFrame) -> DataFrame
     """
     own = owners.select(F.col("path").alias("o_path"), F.col("blob").alias("o_blob"))
     same = F.col("path").eqNullSafe(F.col("o_path")) & (F.col("blob") == F.col("o_blob"))
+    skip = stored(listed.distinct().join(own, same, "left_anti").select(F.col("path").alias("o_path"), F.col("blob").alias("o_blob")))
+    to_scan, to_skip = table_bytes(own), table_bytes(skip)
     todo = rows.join(own, same, "left_semi")
-    if table_bytes(own) <= BROADCAST_BYTES:
-        todo = rows.join(F.broadcast(own), same, "left_semi")
-    else:
-        skip = stored(listed.distinct().join(own, same, "left_anti").select(F.col("path").alias("o_path"), F.col("blob").alias("o_blob")))
-        if table_bytes(skip) <= BROADCAST_BYTES:
-            todo = rows.join(F.broadcast(skip), same, "left_anti")
+    if min(to_scan, to_skip) <= BROADCAST_BYTES:
+        todo = rows.join(F.broadcast(own), same, "left_semi") if to_scan < to_skip else rows.join(F.broadcast(skip), same, "left_anti")
     again = stored(owners.where("n > 1").select(F.col("path").alias("o_path"), F.col("blob").alias("o_blob")))
     if again.isEmpty():
         return todo.select("blob", "text")
