@@ -2,9 +2,11 @@
 
 Features are the presence of words, pairs of neighbouring words and pairs with one word between, hashed
 into 2^bits coordinates. Each coordinate has its own learning rate; L1 makes most weights zero. Training
-rows are dealt once to shards (tasks); in each round every task runs FTRL over its rows from the common
-state, and the mean of the tasks' changes, summed by Spark, moves that state. A task hands on all its
-changes, as packed float32 segments of coordinates that Spark's tasks add up segment by segment.
+rows are dealt to shards by a hash of the id and ordered inside a shard; in each round every shard runs
+FTRL over its rows from the common state. A coordinate then moves by the mean change of the shards that
+changed it, so a word that one shard alone holds is learned at full strength. All changes are handed on, as
+packed float32 segments of coordinates that Spark's tasks add up segment by segment. Shards and their order
+do not depend on partitions, so neither do the weights.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyhouse.llm.common import LOWER, NOT_ALNUM, U64, blocks, joined, mix, span_hash, stored, utf8, words
+from tallyhouse.llm.common import LOWER, NOT_ALNUM, U64, blocks, joined, mix, small, span_hash, stored, utf8, words
 
 
 #: Coordinates that are handed on and added up together.
@@ -62,78 +65,88 @@ def weights(z: np.ndarray, n: np.ndarray, p: ToxicParams) -> np.ndarray:
 
 
 def _round(rows: DataFrame, z: np.ndarray, n: np.ndarray, p: ToxicParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coordinates that changed, and the means of the tasks' changes of z and n."""
+    """Coordinates that changed, and the means of the shards' changes of z and n, over the shards that changed each.
+
+    ``rows``: shard, label, text; a shard's rows lie in one partition, one after the other.
+    """
     state = rows.sparkSession.sparkContext.broadcast((z, n))
 
+    def changes(z: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        z0, n0 = state.value
+        moved = np.flatnonzero((n != n0) | (z != z0))
+        change = np.stack([z[moved] - z0[moved], n[moved] - n0[moved], np.ones(len(moved))]).astype(np.float32)
+        edge = np.searchsorted(moved, np.arange(0, len(z) + SEGMENT, SEGMENT))
+        for s in np.flatnonzero(np.diff(edge)):
+            yield packed(s, moved[edge[s] : edge[s + 1]] - s * SEGMENT, change[:, edge[s] : edge[s + 1]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z0, n0 = state.value
-        z, n = z0.copy(), n0.copy()
+        shard, z, n = -1, z0, n0
         for batch in batches:
-            labels, texts = batch.column("label").to_numpy(), utf8(batch.column("text"))
+            own, labels, texts = batch.column("shard").to_numpy(), batch.column("label").to_numpy(), utf8(batch.column("text"))
             for lo, hi in blocks(texts):
                 at, doc = features(texts[lo:hi], p.bits)
                 order = np.argsort(doc, kind="stable")
                 at, cut = at[order], np.searchsorted(doc[order], np.arange(hi - lo + 1))
                 for i in range(hi - lo):
+                    if own[lo + i] != shard:  # the next shard begins at the common state, too
+                        if shard >= 0:
+                            yield from changes(z, n)
+                        shard, z, n = own[lo + i], z0.copy(), n0.copy()
                     x = np.append(np.unique(at[cut[i] : cut[i + 1]]), 1 << p.bits)  # the last is the bias
                     w = weights(z[x], n[x], p)
                     g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - labels[lo + i]
                     grown = n[x] + g * g
                     z[x] += g - (np.sqrt(grown) - np.sqrt(n[x])) / p.alpha * w
                     n[x] = grown
-        if not (n != n0).any():
-            return
-        yield packed(-1, np.zeros(0, np.int64), np.zeros((2, 0), np.float32))  # tells that this task took part
-        moved = np.flatnonzero((n != n0) | (z != z0))
-        change = np.stack([z[moved] - z0[moved], n[moved] - n0[moved]]).astype(np.float32)
-        edge = np.searchsorted(moved, np.arange(0, len(z) + SEGMENT, SEGMENT))
-        for s in np.flatnonzero(np.diff(edge)):
-            yield packed(s, moved[edge[s] : edge[s + 1]] - s * SEGMENT, change[:, edge[s] : edge[s + 1]])
+        if shard >= 0:
+            yield from changes(z, n)
 
-    def packed(segment: int, at: np.ndarray, change: np.ndarray, tasks: int = 1) -> pa.RecordBatch:
-        made = [pa.array([segment], pa.int32()), pa.array([tasks], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([change.astype(np.float32).tobytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(made, names=["segment", "tasks", "at", "change"])
+    def packed(segment: int, at: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+        made = [pa.array([segment], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([change.astype(np.float32).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(made, names=["segment", "at", "change"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        tasks: dict[int, int] = {}
         for batch in batches:
-            for s, k, at, x in zip(*(batch.column(c).to_pylist() for c in ("segment", "tasks", "at", "change"))):
-                sums = held.setdefault(s, np.zeros((2, SEGMENT)))
-                tasks[s] = tasks.get(s, 0) + k
-                sums[:, np.frombuffer(at, np.uint16)] += np.frombuffer(x, np.float32).reshape(2, -1)
+            for s, at, x in zip(*(batch.column(c).to_pylist() for c in ("segment", "at", "change"))):
+                sums = held.setdefault(s, np.zeros((3, SEGMENT)))
+                sums[:, np.frombuffer(at, np.uint16)] += np.frombuffer(x, np.float32).reshape(3, -1)
         for s, sums in held.items():
-            at = np.flatnonzero(sums.any(axis=0))
-            yield packed(s, at, sums[:, at], tasks[s])
+            at = np.flatnonzero(sums[2])
+            yield packed(s, at, sums[:, at])
 
-    schema = "segment int, tasks int, at binary, change binary"
+    schema = "segment int, at binary, change binary"
     found = rows.mapInArrow(run, schema).repartition("segment").mapInArrow(total, schema).toArrow().to_pylist()
     state.unpersist()
-    tasks = sum(r["tasks"] for r in found if r["segment"] < 0)
-    found = [r for r in found if r["segment"] >= 0]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     i = np.concatenate([np.frombuffer(r["at"], np.uint16).astype(np.int64) + r["segment"] * SEGMENT for r in found])
-    dz, dn = np.concatenate([np.frombuffer(r["change"], np.float32).reshape(2, -1) for r in found], axis=1).astype(np.float64) / tasks
-    return i, dz, dn
+    dz, dn, shards = np.concatenate([np.frombuffer(r["change"], np.float32).reshape(3, -1) for r in found], axis=1).astype(np.float64)
+    return i, dz / shards, dn / shards
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> np.ndarray:
     """Weights (float32, the bias last) from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
-    About ``sample_rows`` labelled rows are taken, by a hash of the id; without rows all weights are 0.
+    About ``sample_rows`` labelled rows are taken, by a hash of the id; without rows all weights are 0. Of
+    several labels of one id the largest counts; several texts of one id are learned from each. Rows are
+    taken in the order of a hash of id and text, so ties of that order are equal rows.
     """
     p = params
     found = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     rate = min(1.0, p.sample_rows / max(1, found.count()))
-    drawn = found.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < rate * (1 << 20))
+    drawn = stored(found.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < rate * (1 << 20)))
     shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(p.shards)).alias("shard")
-    rows = stored(docs.where("text is not null").join(F.broadcast(drawn), "doc_id").select(shard, F.col("label").cast("double").alias("label"), "text").repartition(p.shards, "shard"))
+    rows = stored(docs.where("text is not null").join(small(drawn), "doc_id").select(shard, F.xxhash64("doc_id", "text").alias("turn"), F.col("label").cast("double").alias("label"), "text"))
+    # cached, so that rounds do not shuffle the texts again; a lost block is made again from the stored rows
+    rows = rows.repartition(p.shards, "shard").sortWithinPartitions("shard", "turn").select("shard", "label", "text").persist(StorageLevel.MEMORY_AND_DISK)
     z, n = np.zeros((1 << p.bits) + 1), np.zeros((1 << p.bits) + 1)
     for _ in range(p.rounds):
         i, dz, dn = _round(rows, z, n, p)
         z[i] += dz
         n[i] += dn
+    rows.unpersist()
     return weights(z, n, p).astype(np.float32)
 
 

@@ -1,5 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
+import math
 import random
 
 import duckdb
@@ -24,7 +25,7 @@ def test_near_copies_with_unequal_repeat_counts(llm):
 def test_small_changes_are_handed_on(llm):
     """A common state at which no row moves a coordinate by 0.5: every task's changes of z and n arrive whole."""
     p = toxicity.ToxicParams(bits=10)
-    rows = llm.createDataFrame([(0.0, f"word{i} clean") for i in range(8)], "label double, text string").repartition(2)
+    rows = llm.createDataFrame([(i % 2, 0.0, f"word{i} clean") for i in range(8)], "shard long, label double, text string").repartition(2, "shard").sortWithinPartitions("shard")
     z, n = np.zeros((1 << p.bits) + 1), np.full((1 << p.bits) + 1, 1.0)
     z[-1] = 8.0  # a bias of about -16 / (1 + 1): small gradients
     i, dz, dn = toxicity._round(rows, z, n, p)
@@ -125,3 +126,45 @@ def test_best_fit_under_binding_documents_and_attention(llm):
         assert sum(r.n for r in rows) == 120 and all(r.n <= p.documents and r.t <= most and r.c <= p.attention for r in rows)
     by_docs = packing.pack(df, packing.PackParams(tokens=40, documents=3, attention=1600)).select("sequence_id").distinct().count()
     assert by_docs == 40 and packing.pack(df).columns.count("sequence_id") == 1
+
+
+def plain_ftrl(shards, p):
+    """The rounds of toxicity.learn_toxicity, row by row in Python."""
+    z, n = {}, {}
+    w = lambda i: 0.0 if abs(z.get(i, 0.0)) <= p.l1 else -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+    for _ in range(p.rounds):
+        start, moves = (dict(z), dict(n)), {}
+        for rows in shards:
+            z, n = dict(start[0]), dict(start[1])
+            for text, label in rows:
+                at, _ = toxicity.features([text.encode()], p.bits)
+                x = [*sorted(set(at.tolist())), 1 << p.bits]
+                ws = [w(i) for i in x]
+                g = 1 / (1 + math.exp(-sum(ws))) - label
+                for i, wi in zip(x, ws):
+                    grown = n.get(i, 0.0) + g * g
+                    z[i] = z.get(i, 0.0) + g - (math.sqrt(grown) - math.sqrt(n.get(i, 0.0))) / p.alpha * wi
+                    n[i] = grown
+            for i in n:
+                if n[i] != start[1].get(i, 0.0):
+                    moves.setdefault(i, []).append((z[i] - start[0].get(i, 0.0), n[i] - start[1].get(i, 0.0)))
+        z, n = dict(start[0]), dict(start[1])
+        for i, m in moves.items():
+            z[i], n[i] = z.get(i, 0.0) + sum(a for a, _ in m) / len(m), n.get(i, 0.0) + sum(b for _, b in m) / len(m)
+    return {i: w(i) for i in z}
+
+
+def test_toxicity_against_plain_rounds(llm):
+    """Weights equal those of a row-by-row version, whatever the partitions."""
+    rng, p = random.Random(3), toxicity.ToxicParams(bits=12, shards=3, l1=0.2)
+    texts = [" ".join(rng.choice(["vile", "foul"] if i % 3 == 0 and rng.random() < 0.6 else list("abcdefghij")) for _ in range(12)) for i in range(150)]
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = llm.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(p.shards)).alias("s")
+    order = docs.select("doc_id", shard, F.xxhash64("doc_id", "text").alias("t")).collect()
+    shards = [[(texts[r.doc_id], int(r.doc_id % 3 == 0)) for r in sorted(order, key=lambda r: r.t) if r.s == k] for k in range(p.shards)]
+    want = plain_ftrl(shards, p)
+    for parts in (1, 7):
+        got = toxicity.learn_toxicity(docs.repartition(parts), labels.repartition(parts), p)
+        assert all(abs(got[i] - want.get(i, 0.0)) < 1e-3 for i in range(len(got)))
+    assert sum(1 for v in want.values() if v) > 2
