@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyhouse.llm.common import U64, blocks, mix, utf8
+from tallyhouse.llm.common import U64, blocks, mix, stored, utf8
 
 UNKNOWN = "und"
 
@@ -48,28 +48,29 @@ class LanguageFilter:
     wrong: np.ndarray
 
 
-_letters: list[np.ndarray] = []
+_kinds: list[np.ndarray] = []
 
 
-def letters() -> np.ndarray:
-    """True for every code point that is a letter or a mark."""
-    if not _letters:
-        _letters.append(np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)]))
-    return _letters[0]
+def kinds() -> np.ndarray:
+    """2 for every code point that is a letter, 1 for a mark, else 0."""
+    if not _kinds:
+        _kinds.append(np.array([" ML".find(unicodedata.category(chr(c))[0]) for c in range(0x110000)], np.int8).clip(0))
+    return _kinds[0]
 
 
 def grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all n-grams, the document index of each, and whether each document has a letter.
 
-    Texts are lower-cased; runs of other characters than letters act as one boundary, which an n-gram may
-    begin or end with but not hold inside.
+    Texts are lower-cased; runs of other characters than letters and marks act as one boundary, which an
+    n-gram may begin or end with but not hold inside.
     """
     lower = [t.decode("utf-8", "replace").lower() for t in texts]
     points = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "replace"), dtype=np.uint32)
     doc = np.repeat(np.arange(len(lower)), [len(t) + 1 for t in lower])
-    is_letter = letters()[points]
-    has = np.bincount(doc[is_letter], minlength=len(lower)) > 0
-    keep = is_letter | np.concatenate([[True], is_letter[:-1]])
+    kind = kinds()[points]
+    has = np.bincount(doc[kind == 2], minlength=len(lower)) > 0
+    is_letter = kind > 0
+    keep = is_letter | np.concatenate([[False], is_letter[:-1]])[: len(points)]
     points, doc, is_letter = np.where(is_letter, points, 0)[keep].astype(U64), doc[keep], is_letter[keep]
     if len(points) < n:
         return np.empty(0, U64), np.empty(0, np.int64), has
@@ -101,19 +102,23 @@ def distinct(key: np.ndarray, owner: np.ndarray, counts: list | None = None) ->
 def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", params: LanguageParams = LanguageParams()) -> LanguageFilter:
     """Fit the filter on rows with a language; ``docs`` holds the training rows only.
 
-    Each language's rows are thinned by a hash of the text to ``sample_per_lang`` expected rows. Spark
-    counts in how many of those each n-gram occurs; only n-grams that pass both shares reach the driver:
-    a language has at most (n-grams of an average document) / least_share of them. No rows, or no text: a filter without languages.
+    Copies count once. Each language's distinct texts are thinned by their hash to ``sample_per_lang``
+    expected ones. Spark counts in how many of those each n-gram occurs; only n-grams that pass both
+    shares reach the driver: a language has at most (n-grams of an average document) / least_share of them.
+    No rows, or no text: a filter without languages.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
+    place = F.xxhash64("text", F.lit("langid"))
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", place.alias("h"), F.xxhash64("text").alias("g")).distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     languages = list(sizes)
     n = params.n
     if not languages:
         return LanguageFilter(params, [], np.zeros((params.slots, 1), U64), np.zeros(0))
     rate = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, params.sample_per_lang / v))])
-    drawn = rows.where(F.pmod(F.xxhash64("text", F.lit("langid")), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
+    drawn = rows.where(F.pmod(place, F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
+    drawn = stored(drawn.groupBy("lang", place.alias("h"), F.xxhash64("text").alias("g")).agg(F.first("text").alias("text")))
+    taken = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     index = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +132,7 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", par
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(counts[0])], names=["lang", "gram", "df"])
 
     counted = drawn.mapInArrow(count, "lang int, gram long, df long").groupBy("lang", "gram").agg(F.sum("df").alias("df"))
-    drawn_sizes = F.array(*[F.lit(float(max(1.0, min(v, params.sample_per_lang)))) for v in sizes.values()])
+    drawn_sizes = F.array(*[F.lit(float(max(1, taken.get(k, 0)))) for k in languages])
     share = counted.withColumn("share", F.col("df") / drawn_sizes[F.col("lang")]).where((F.col("share") >= params.least_share) & (F.col("df") >= 2))
     best = share.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("found"))
     kept = best.select("gram", F.explode("found").alias("x"), "best").where(F.col("x.share") >= params.relative * F.col("best"))
