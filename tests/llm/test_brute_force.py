@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -12,9 +13,10 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyhouse.llm import langid, lm, neardup, packing, pieces, queries, secrets
+from tallyhouse.llm import langid, lm, neardup, neighbours, packing, pieces, queries, secrets
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -40,6 +42,44 @@ def test_language_accuracy_on_held_out_rows(llm):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in got]) > 0.95
 
 
+def plain_grams(text):
+    """4-grams of a text's letters and marks; any run of other characters is one boundary, never inside."""
+    kind = lambda c: unicodedata.category(c)[0]
+    points = "".join(c if kind(c) in "LM" else "\0" for c in text.lower()) + "\0"
+    points = re.sub("\0+", "\0", points).removeprefix("\0")
+    return [points[i : i + 4] for i in range(len(points) - 3) if "\0" not in points[i + 1 : i + 3]]
+
+
+def test_language_against_plain_sets(llm):
+    """Bloom filters and corrected popcounts decide as exact sets of n-grams per language do."""
+    p = langid.LanguageParams()
+    docs = {r.doc_id: r for r in llm.read.parquet(f"{SF}/documents.parquet").collect()}
+    df, size = defaultdict(Counter), Counter()
+    for lang, text in {(r.lang, r.text) for r in docs.values() if crc(r.doc_id, 4) != 2 and r.lang}:
+        size[lang] += 1
+        df[lang].update(set(plain_grams(text)))
+    share = {g: {k: df[k][g] / size[k] for k in df if df[k][g] >= 2 and df[k][g] / size[k] >= p.least_share} for g in set().union(*df.values())}
+    holds = {g: {k for k in s if s[k] >= p.relative * max(s.values())} for g, s in share.items() if s}
+    same = []
+    for r in rows(llm, "op1_language_id"):
+        grams = plain_grams(docs[r.doc_id].text)
+        hits = Counter(k for g in grams for k in holds.get(g, ()))
+        best = max(sorted(df), key=lambda k: hits[k])
+        same.append(r.lang_pred == best and abs(r.score - hits[best] / max(1, len(grams))) < 0.02)
+    assert np.mean(same) > 0.99
+
+
+def test_copies_and_marks_in_language_id(llm):
+    """One text as a third of a language's rows does not drown its other n-grams; marks alone are no letter."""
+    base = [r for r in llm.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null").orderBy("doc_id").limit(300).collect()]
+    plain = llm.createDataFrame([(r.text, r.lang) for r in base], "text string, lang string")
+    copied = plain.union(llm.createDataFrame([(base[0].text, base[0].lang)] * 150, plain.schema))
+    one, two = (langid.learn_languages(d) for d in (plain, copied))
+    assert one.languages == two.languages and (one.bits == two.bits).all()
+    odd = llm.createDataFrame([(0, "\u0301\u0302\u0303\u0304\u0305"), (1, "12 34")], "doc_id long, text string")
+    assert {(r.lang_pred, r.lang_score) for r in langid.identify_languages(odd, one).collect()} == {("und", 0.0)}
+
+
 def test_filter_holds_every_inserted_language():
     model = langid.LanguageFilter(langid.LanguageParams(slots=64), ["x", "y"], np.zeros((64, 1), np.uint64), np.zeros(2))
     key, _, _ = langid.grams([b"hello world"], 4)
@@ -184,20 +224,42 @@ def test_toxicity_on_held_out_rows(llm):
     assert np.mean([b > g for b in bad for g in good]) > 0.8
 
 
-def test_neighbour_recall(llm):
-    v = {r.vec_id: np.array(r.embedding, float) for r in llm.read.parquet(f"{SF}/embeddings.parquet").collect()}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_neighbour_recall(llm, sf):
+    v = {r.vec_id: np.array(r.embedding, float) for r in llm.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()}
     got = defaultdict(list)
-    for r in rows(llm, "op10_nearest_neighbours"):
+    for r in queries.op10_nearest_neighbours(llm, f"/root/testdata/{sf}").collect():
         got[r.query_id].append((r.rank, r.vec_id))
         assert abs(r.score - v[r.query_id] @ v[r.vec_id]) < 1e-12
-    hits = []
+    hits, names, every = [], np.array(list(v)), np.stack(list(v.values()))
     for q in (i for i in v if i % 20 == 0):
-        want = sorted((-(v[q] @ x), i) for i, x in v.items() if i != q)[:20]
+        score = every @ v[q]
+        near = np.argpartition(-score, min(40, len(score) - 1))[:41]
+        want = sorted((-score[j], names[j]) for j in near if names[j] != q)[:20]
         assert [k for k, _ in sorted(got[q])] == list(range(1, 21))
         hits.append(len({i for _, i in want} & {i for _, i in got[q]}) / 20)
     assert np.mean(hits) >= 0.9
 
 
+def test_few_lists_are_probed_where_vectors_cluster(llm):
+    """Lists follow the rows, probes what a sample needs; cut lists and shared cells lose nothing."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(40, 24)) * 4
+    x = centre[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 24)) * 0.3
+    df = llm.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    p = neighbours.SearchParams(block=500, query_block=64)
+    lists = neighbours.fit_centroids(x, round(6000**0.5), p.seed)
+    assert len(lists) == 77 and neighbours.fit_probes(x, lists, p) <= 20
+    got = defaultdict(set)
+    for r in neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0, params=p).collect():
+        got[r.query_id].add(r.vec_id)
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    assert np.mean([len(got[q] & set(np.argsort(-score[q])[:20].tolist())) / 20 for q in range(0, 6000, 20)]) >= 0.9
+    first, parts = neighbours.cut_cells({0: 10, 1: 1200, 2: 30, 3: 400}, 5, 500)
+    assert first.tolist() == [0, 1, 4, 4, 4] and parts.tolist() == [1, 3, 1, 1, 1]
+
+
 def test_ledger_scans_only_what_is_new(llm, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     one = llm.createDataFrame([(1, "token: abcdef"), (2, "token: abcdef"), (3, "none")], "doc_id long, text string")

@@ -91,7 +91,7 @@ def test_secrets(odd, empty):
 def test_neighbours(llm):
     v = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(60, None), (61, []), (62, [0.0] * 3), (63, [1.0, None, 2.0]), (64, [float("nan"), 1.0, 1.0]), (65, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (66, [1.0, 1.0])]
     df = llm.createDataFrame(v, "vec_id long, embedding array<float>").withColumn("list", F.lit(1))
-    every = neighbours.SearchParams(probes=32, spread=50.0)  # all lists, no early abandoning: exact
+    every = neighbours.SearchParams(probes=32, spread=50.0, block=9, query_block=2)  # all lists, no early abandoning: exact
     got = neighbours.nearest_neighbours(df, F.col("vec_id") % 20 == 0, params=every).collect()
     for q in (0, 20, 40):
         mine = sorted((r.rank, r.vec_id) for r in got if r.query_id == q)
