@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.usage import authority_rank
 from tallyhouse.operators import daily as entries_of
 from tallyhouse.operators.ledger import counter_relation, exact_decreases, ledger_matches
+from tallyhouse.sources.scratch import stored
 
 #: Dispositions of entries that no longer count.
 RETIRED = ("excluded", "corrected-out", "superseded")
@@ -225,7 +226,8 @@ class ImportPlan:
 
 def import_receipts(receipts: DataFrame, ledger: DataFrame, daily: DataFrame, as_of: str, window_start: str, settled: DataFrame | None = None, exclusions: DataFrame | None = None, horizon: int | None = None, corrections: DataFrame | None = None) -> ImportPlan:
     """The whole import as one plan: validation, cut-off, horizon, settled and excluded entries, snapshots, shared
-    identities, acceptance, daily entries, and no decrease of an exact figure. Nothing is written.
+    identities, acceptance, daily entries, and no decrease of an exact figure. The steps are tables in the shared
+    folder; the dataset and the ledger are not touched.
 
     ``receipts`` has the columns of this module and of validate_receipts, each receipt_id once.
     """
@@ -236,7 +238,7 @@ def import_receipts(receipts: DataFrame, ledger: DataFrame, daily: DataFrame, as
     def report(df: DataFrame, step: str, why: Column) -> None:
         errors.append(df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in (("receipt_id", "string"), ("day", "date"), ("source", "string"))], F.lit(step).alias("step"), why.cast("string").alias("why")))
 
-    judged = rules.partition_complete(rules.validate_receipts(receipts), as_of, window_start)
+    judged = stored(rules.partition_complete(rules.validate_receipts(receipts), as_of, window_start), "import")
     report(judged.where("errors <> ''"), "validate", F.col("errors"))
     report(judged.where("errors = '' and state = 'error'"), "window", F.lit("date"))
     rows = judged.where("errors = '' and state = 'kept'").drop("errors", "state")
@@ -249,7 +251,8 @@ def import_receipts(receipts: DataFrame, ledger: DataFrame, daily: DataFrame, as
         rows = rules.drop_settled(rows, settled)
     if exclusions is not None:
         rows = rows.join(exclusions.select("day", "source").distinct(), ["day", "source"], "left_anti")
-    snapshots = reconcile_snapshots(rows)
+    rows = stored(rows, "import")
+    snapshots = stored(reconcile_snapshots(rows), "import")
     report(snapshots.where("errors <> ''"), "snapshot", F.col("errors"))
     # of a snapshot's versions the one that dominates goes on; equal ones are one measurement, under the least id
     top = F.max(F.struct("tokens", F.coalesce("calls", F.lit(0)).alias("calls"))).alias("top")
@@ -257,10 +260,12 @@ def import_receipts(receipts: DataFrame, ledger: DataFrame, daily: DataFrame, as
     chosen = rows.join(best, "snapshot_key").where((F.col("tokens") == F.col("top.tokens")) & (F.coalesce("calls", F.lit(0)) == F.col("top.calls"))).groupBy("snapshot_key").agg(F.min("receipt_id").alias("receipt_id"))
     merged = chosen.join(snapshots.where("errors = ''").select("snapshot_key", F.col("keys").alias("_keys")), "snapshot_key")
     rows = rows.join(merged.select("receipt_id", "_keys"), "receipt_id", "left").where("snapshot_key is null or _keys is not null").withColumn("keys", F.coalesce("_keys", key_set(F.col("keys")))).drop("_keys")
-    shared = resolve_identities(rows)
+    rows = stored(rows, "import")
+    shared = stored(resolve_identities(rows), "import")
     report(rows.join(shared.where("state = 'error'").select("receipt_id", "errors"), "receipt_id"), "identity", F.col("errors"))
     rows = rows.join(shared.where("state in ('free', 'kept')").select("receipt_id"), "receipt_id", "left_semi")
-    outcomes = accept_receipts(ledger, rows, corrections)
+    rows = stored(rows, "import")
+    outcomes = stored(accept_receipts(ledger, rows, corrections), "import")
     report(rows.join(outcomes.where("outcome = 'error'").select("receipt_id", "why"), "receipt_id"), "accept", F.col("why"))
     retired = retire(ledger, outcomes)
     updated = outcomes.where("outcome = 'updated'").groupBy("entry").agg(F.min("receipt_id").alias("receipt_id"))
@@ -269,10 +274,13 @@ def import_receipts(receipts: DataFrame, ledger: DataFrame, daily: DataFrame, as
     new = rows.join(outcomes.where("outcome in ('added', 'promoted')").select("receipt_id"), "receipt_id", "left_semi")
     newer = rows.join(updated, "receipt_id").drop("receipt_id").withColumnRenamed("entry", "receipt_id")
     accepted = new.unionByName(newer).withColumns({"disposition": F.lit(None).cast("string"), "superseded_by": F.lit(None).cast("string")})
-    after = stays.unionByName(accepted, allowMissingColumns=True).select(*stays.columns)
+    after = stored(stays.unionByName(accepted, allowMissingColumns=True).select(*stays.columns), "import")
     rebuilt, mismatches = rebuild_entries(ledger, after, daily)
+    rebuilt = stored(rebuilt, "import")
     report(mismatches, "ledger", F.col("why"))
-    lowered = exact_decreases(daily, rebuilt)
+    # what a stronger receipt replaced was held against it by accept_receipts; nothing else may fall
+    replaced = ledger.join(outcomes.where("outcome = 'promoted'").select(F.col("entry").alias("receipt_id")), "receipt_id", "left_semi").select("day", "source").distinct()
+    lowered = exact_decreases(daily, rebuilt).join(replaced, ["day", "source"], "left_anti")
     if corrections is not None:
         fixed = after.join(corrections.select("receipt_id"), "receipt_id", "left_semi").select("day", "source").distinct()
         lowered = lowered.join(fixed, ["day", "source"], "left_anti")
@@ -280,7 +288,7 @@ def import_receipts(receipts: DataFrame, ledger: DataFrame, daily: DataFrame, as
     every = errors[0]
     for e in errors[1:]:
         every = every.unionByName(e)
-    return ImportPlan(outcomes, after, rebuilt, every)
+    return ImportPlan(outcomes, after, rebuilt, stored(every, "import"))
 
 
 def write_import(plan: ImportPlan, folder: str, dry_run: bool = False) -> str | None:
