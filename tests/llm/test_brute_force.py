@@ -146,6 +146,71 @@ def test_unigram_base_and_model(llm, texts):
         assert -r.score / log10(2) / len(texts[r.doc_id].encode()) < 8 and r.score < 0
 
 
+def test_score_beats_the_base_on_held_out_rows_and_tells_copies(llm):
+    sf = "/root/testdata/sf0.1"
+    got = queries.op3_context_mixing(llm, sf).join(llm.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.xxhash64("text").alias("h")), "doc_id").collect()
+    n = Counter(r.h for r in got)
+    one = [r for r in got if r.held_out and n[r.h] == 1]
+    assert sum(r.score for r in one) > sum(r.base_score for r in one)
+    assert np.median([r.bits_per_byte for r in got if n[r.h] == 2]) < 0.7 * np.median([r.bits_per_byte for r in got if n[r.h] == 1])
+
+
+def test_words_of_many_units(llm):
+    """A word longer than a unit is one token of the base, and is coded in pieces."""
+    long = "Ab" * 500
+    rows = [(0, f"a {long} b"), (1, f"{long.lower()}"), (2, f"{long}x a"), (3, "y" * 63 + " " + "z" * 64 + " a")]
+    got = {r.doc_id: r for r in lm.score_texts(llm.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") != 2).collect()}
+    count = Counter({"a": 2, long.lower(): 2, "b": 1, "y": 1, "z": 1, None: 3})
+    n, v = 10, 6
+    for i, words in {0: ["a", long.lower(), "b"], 1: [long.lower()], 2: ["?", "a"], 3: ["y", "z", "a"]}.items():
+        want = sum(log10((count[w] + 1) / (n + v + 1)) for w in [*words, None])
+        assert (got[i].n_tokens, got[i].train_tokens, got[i].n_known) == (len(words) + 1, n, sum(count[w] > 0 for w in words) + 1) and abs(got[i].base_score - want) < 1e-9
+    u = lm.units([long.encode(), b"q" * 64 + b" r"])
+    assert (u.last - u.start).max() < lm.LONGEST and u.words.tolist() == [1, 2] and len(u.long_word) == 2
+    assert (np.diff(u.start) == (u.last - u.start + 1)[:-1]).all() and set(u.kind[1:16].tolist()) == {lm.GOES_ON}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.lists(st.integers(0, 3), min_size=2, max_size=4), st.booleans()), min_size=1, max_size=12))
+def test_predictions_of_contexts(entries):
+    """Decisions equal those of a plain version that leaves each row's own occurrence out."""
+    logp = np.log10([0.4, 0.3, 0.2, 0.1])
+    follows = np.full((len(entries), lm.REACH), lm.NONE, np.uint32)
+    for i, (_, f, _) in enumerate(entries):
+        follows[i, : len(f)] = [lm.RARE if x == 3 else x for x in f]
+    ctx, train = np.array([e[0] for e in entries], np.uint64), np.array([e[2] for e in entries])
+    mark = np.zeros(len(entries), np.uint64)
+    for k in range(lm.REACH):
+        mark = lm.mix(mark + follows[:, k].astype(np.uint64))
+    want = Counter()
+    for i in range(len(entries)):
+        votes = Counter(int(mark[j]) for j in range(len(entries)) if j != i and train[j] and ctx[j] == ctx[i])
+        if not votes:
+            continue
+        best = min(votes, key=lambda m: (-votes[m], m))
+        guess = follows[[j for j in range(len(entries)) if mark[j] == best][0]]
+        others, k = sum(votes.values()), 0
+        while k < lm.REACH and guess[k] < lm.NONE and follows[i, k] != lm.NONE:
+            gate = int(np.searchsorted([2, 4, 16], others, side="right")) * 4 + int(np.searchsorted([1, 3, 6], k, side="right"))
+            want[i, gate, bool(follows[i, k] == guess[k])] += 1
+            if follows[i, k] != guess[k]:
+                break
+            k += 1
+    row, gate, learns, hits, misses, change = lm.predicted(ctx, follows, np.arange(len(entries)), train, logp)
+    got = Counter({(r, g, x): n for r, g, h, m in zip(row, gate, hits, misses) for x, n in ((True, h), (False, m)) if n})
+    if not _ties(ctx, mark, train):
+        assert got == want and all(train[r] == t for r, t in zip(row, learns))
+
+
+def _ties(ctx, mark, train):
+    """Whether leaving one occurrence out can make a tie, where the plain version may choose otherwise."""
+    for c in set(ctx.tolist()):
+        n = sorted(Counter(mark[(ctx == c) & train].tolist()).values())
+        if len(n) > 1 and n[-1] - n[-2] <= 1:
+            return True
+    return False
+
+
 def test_model_is_a_distribution():
     """The probabilities of all one-byte continuations and the end of a unit sum to one."""
     model = lm.huffman(np.arange(256.0))
