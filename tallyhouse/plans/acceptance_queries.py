@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import acceptance as a
-from tallyhouse.operators import daily, ledger
+from tallyhouse.operators import contracts, daily, ledger
 from tallyhouse.plans.usage_queries import RANK, add
 
 EMPTY = "cast([] as varchar[])"
@@ -62,3 +62,53 @@ add("j4_policy_overlap", ["claims"], "select distinct day, source from claims wh
     lambda c: ledger.policy_overlap(c.where("tokens % 3 = 0"), c.where("tokens % 5 = 0")))
 add("r9_scope_columns", ["claims"], "select day, source, scope, authority, fidelity, cast(sum(tokens) as bigint) as tokens, cast(sum(calls) as bigint) as calls, count(*) as merged from claims where coalesce(len(keys), 0) = 0 group by 1, 2, 3, 4, 5")(
     lambda c: ledger.combine_identity_free(c.where(F.size(a.key_set(F.col("keys"))) == 0), ("day", "source", "scope", "authority", "fidelity")))
+
+
+# receipts with faults: every rule of the contract is broken by some rows
+FAULTY = """, q as (select *, tokens % 29 as f, case when tokens % 29 = 1 then 1 when tokens % 29 <> 2 then 2 end as schema_version, case when tokens % 29 = 3 then ' ' else source end as provider, case when tokens % 29 <> 4 then scope end as surface,
+    case when tokens % 29 <> 5 then 'machine/m' end as origin, case when tokens % 29 = 6 then day + 1 else day end as first, case when tokens % 29 = 7 then ['b', 'a'] when tokens % 29 = 8 then [''] else ['a', 'b'] end as models,
+    case when tokens % 29 = 9 then keys else ['sha256:' || sha256(receipt_id)] end as correlation_keys, case when tokens % 29 in (10, 11, 12, 13) then 'incomplete' when tokens % 29 = 14 then 'odd' end as coverage,
+    case when tokens % 29 = 10 then ['gap'] when tokens % 29 = 11 then ['Gap'] when tokens % 29 = 12 then ['z', 'a'] when tokens % 29 = 15 then ['gap'] end as reasons, case when tokens % 29 = 16 then -1 else tokens end as t, case when tokens % 29 = 17 then -5 else calls end as c,
+    case when tokens % 29 = 18 then 'odd' else authority end as auth, case when tokens % 29 = 19 then tokens + 1 else tokens end as i, case when tokens % 29 = 20 then 7 else 3 end as o from claims)"""
+
+
+def _faulty(c):
+    k, t = F.col("tokens") % 29, F.col("tokens")
+    one = lambda n, yes, no=None: F.when(k == n, yes).otherwise(no)
+    words = lambda *w: F.array(*map(F.lit, w))
+    return c.select(
+        "receipt_id", "day", "source", "snapshot_key", F.when(k == 1, 1).when(k != 2, 2).alias("schema_version"), one(3, F.lit(" "), F.col("source")).alias("provider"), F.when(k != 4, F.col("scope")).alias("surface"), F.lit("a").alias("account_alias"),
+        F.when(k != 5, "machine/m").alias("origin"), F.lit(None).cast("string").alias("machine_alias"), one(6, F.date_add("day", 1), F.col("day")).alias("first"), F.col("day").alias("last"), F.when(k == 7, words("b", "a")).when(k == 8, words("")).otherwise(words("a", "b")).alias("models"),
+        one(9, F.col("keys"), F.array(F.concat(F.lit("sha256:"), F.sha2("receipt_id", 256)))).alias("correlation_keys"), F.when(k.between(10, 13), "incomplete").when(k == 14, "odd").alias("coverage"),
+        F.when(k.isin(10, 15), words("gap")).when(k == 11, words("Gap")).when(k == 12, words("z", "a")).alias("coverage_reasons"), one(16, F.lit(-1).cast("long"), t).alias("tokens"), one(17, F.lit(-5).cast("long"), F.col("calls")).alias("calls"), one(18, F.lit("odd"), F.col("authority")).alias("authority"),
+        F.struct(t.alias("input_tokens"), F.lit(3).cast("long").alias("output_tokens"), one(19, t + 1, t).alias("cached_input_tokens"), F.lit(None).cast("long").alias("cache_write_tokens"), one(20, F.lit(7), F.lit(3)).cast("long").alias("reasoning_tokens")).alias("token_components"),
+    )
+
+
+RECEIPT_RULES = (
+    ("authority", "auth not in ('estimated', 'reconstructed', 'tool', 'provider')"), ("calls", None), ("components_cached", "i > tokens"), ("components_reasoning", "o > 3"), ("correlation_keys_form", "len(list_filter(correlation_keys, lambda k: not regexp_matches(k, '^sha256:[a-f0-9]{64}$'))) > 0"),
+    ("correlation_keys_order", "false"), ("coverage", "coverage <> 'incomplete'"), ("interval", "first > day"), ("models_blank", "f = 8"), ("models_order", "f = 7"), ("origin", "origin is null"), ("provider_blank", "trim(provider) = ''"), ("reasons_form", "f = 11"), ("reasons_missing", "coverage = 'incomplete' and coalesce(len(reasons), 0) = 0"),
+    ("reasons_order", "f = 12"), ("reasons_unasked", "reasons is not null and coalesce(coverage, '') <> 'incomplete'"), ("schema_version", None), ("snapshot_key_blank", "snapshot_key is null"), ("surface_blank", "surface is null"), ("tokens", None),
+)
+ALWAYS = {"calls": "c < 0", "schema_version": "schema_version <> 2", "tokens": "t < 0"}
+CHECKED = ", ".join(f"case when {ALWAYS[n] if c is None else 'schema_version = 2 and (' + c + ')'} then '{n}' end" for n, c in RECEIPT_RULES)
+add("p1_contract", ["claims"], FAULTY + f" select receipt_id, concat_ws(',', {CHECKED}) as errors from q")(
+    lambda c: contracts.receipt_errors(_faulty(c)).select("receipt_id", F.array_join("errors", ",").alias("errors")))
+DAYS = FAULTY + """, e as (select day, source, min(f) as g, sum(tokens) as tokens, sum(calls) as calls, max(tokens) as top from claims_f group by 1, 2)""".replace("claims_f", "q") + """,
+    d as (select *, sum(tokens) over (partition by day) as s from e)"""
+add("a30_contract", ["claims"], DAYS + """ select rule, day, case when source = 'view' and g = 5 then 'View' else source end as source from (select day, source, g, unnest([case when g = 0 then 'fidelity' end, case when g = 1 then 'calls' end, case when g = 2 then 'authority' end, case when g = 3 then 'origin_sum' end, case when g = 3 then 'origin_form' end, case when g = 4 then 'reasons_missing' end, case when source = 'view' and g = 5 then 'source' end]) as rule from d) where rule is not null
+    union all select unnest(list_filter([case when day < date '2024-01-03' then 'before_window' end, case when day >= date '2024-01-29' then 'not_complete' end, case when day(day) % 5 = 0 then 'total_sum' end, case when day(day) % 7 = 0 then 'driver' end, case when day(day) % 11 = 0 then 'timezone' end], lambda r: r is not null)) as rule, day, null as source from (select distinct day from d)""")(
+    lambda c: (lambda d: contracts.dataset_errors(d, "UTC", "2024-01-03", "2024-01-29"))(_entries(c)))
+
+
+def _entries(c):
+    g = F.col("g")
+    e = c.groupBy("day", "source").agg(F.min(F.col("tokens") % 29).alias("g"), F.sum("tokens").alias("tokens"), F.sum("calls").alias("calls"), F.max("tokens").alias("top"))
+    total = e.groupBy("day").agg(F.sum("tokens").alias("total"))
+    part = F.struct(*[F.col("top").cast("long").alias(n) if n == "input_tokens" else F.lit(None).cast("long").alias(n) for n in contracts.COMPONENTS])
+    number = F.dayofmonth("day")
+    return e.join(total, "day").select(
+        "day", F.when((F.col("source") == "view") & (g == 5), "View").otherwise(F.col("source")).alias("source"), F.when(number % 11 == 0, "CET").otherwise("UTC").alias("timezone"), (F.col("total") + (number % 5 == 0).cast("int")).alias("total"), F.when(number % 7 == 0, "odd").otherwise("shipping").alias("driver"),
+        "tokens", F.when(g == 1, -F.col("calls")).otherwise(F.col("calls")).alias("calls"), F.when(g == 0, "sample").otherwise("exact").alias("fidelity"), F.when(g == 2, "odd").alias("authority"), F.when(g == 4, "incomplete").alias("coverage"), F.lit(None).cast("array<string>").alias("coverage_reasons"), part.alias("token_components"),
+        F.when(g == 3, F.create_map(F.lit("Machine/m"), F.col("tokens") + 1)).when(g == 6, F.create_map(F.lit("machine/m"), F.col("tokens"))).alias("by_origin"),
+    )
