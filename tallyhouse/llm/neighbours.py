@@ -222,7 +222,8 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, vec_id: str = "vec_i
 
     listed = stored(rows.withColumn("list", list_of("e")))
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # at most most_lists rows
-    first_cell, parts = cut_cells(sizes, len(centre), p.block)
+    # a small table is cut into about 64 cells, so that many tasks have some
+    first_cell, parts = cut_cells(sizes, len(centre), min(p.block, max(p.block // 8, dims["count"] // 64)))
     cells = spark.sparkContext.broadcast((first_cell, parts))
 
     @F.pandas_udf("array<struct<cell:int,lists:array<int>>>")
