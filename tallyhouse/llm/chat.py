@@ -4,6 +4,9 @@ A logger that writes the whole conversation after every turn leaves many prefixe
 of its place, role and text; the running XOR of these (two 64-bit seeds) names every prefix of a
 conversation. A conversation whose own prefix occurs in a longer one is a snapshot and goes by an
 anti-join; of equal conversations the least id stays. What is left is rendered.
+
+Turns are put in order by a sort over ranges, so a conversation of any length is spread over tasks: a task
+numbers and combines the turns of its range, and the sums of the ranges before give the rest.
 """
 
 from __future__ import annotations
@@ -15,8 +18,12 @@ from tallyhouse.llm.common import stored
 
 
 def rendered_turn(role: Column, text: Column) -> Column:
-    """One turn of the template; a null role or text counts as empty."""
-    return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("<|end|>\n"))
+    """One turn of the template; a null role or text counts as empty.
+
+    A ``<|`` inside role or text is written ``<||``, so that no text can end a turn or begin one.
+    """
+    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("<||"))
+    return F.concat(F.lit("<|"), plain(role), F.lit("|>\n"), plain(text), F.lit("<|end|>\n"))
 
 
 def collapse_snapshots(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -28,12 +35,20 @@ def collapse_snapshots(turns: DataFrame, conv: str = "conv_id", turn: str = "tur
     """
     rows = turns.where(F.col(conv).isNotNull()).select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"))
     code = lambda seed: F.xxhash64(F.lit(seed), F.col("r").isNull(), F.coalesce("r", F.lit("")), F.col("x").isNull(), F.coalesce("x", F.lit("")))
-    rows = rows.select("c", "t", "r", "x", code(11).alias("a"), code(23).alias("b"))
-    by = Window.partitionBy("c").orderBy(*[F.col(o).asc_nulls_last() for o in ("t", "r", "x")])
-    placed = rows.withColumn("k", F.row_number().over(by))
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
-    prefix = placed.select("c", "k", F.bit_xor(F.xxhash64("k", "a")).over(upto).alias("p"), F.bit_xor(F.xxhash64("k", "b")).over(upto).alias("q"), F.count("*").over(Window.partitionBy("c")).alias("n"))
-    prefix = stored(prefix)
+    order = [F.col(o).asc_nulls_last() for o in ("c", "t", "r", "x")]
+    rows = rows.select("c", "t", "r", "x", code(11).alias("a"), code(23).alias("b")).repartitionByRange(*order).sortWithinPartitions(*order)
+    # written, so that numbers and sums see the same ranges
+    rows = stored(rows.select("c", "a", "b", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos")))
+    here = Window.partitionBy("c", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("c")
+    sizes = rows.groupBy("c", "part").agg(F.count("*").alias("m")).select("c", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("skip"), F.sum("m").over(every).alias("n"))
+    placed = rows.join(stored(sizes), ["c", "part"]).withColumn("k", F.count("*").over(here) + F.col("skip"))
+    placed = stored(placed.select("c", "part", "pos", "k", "n", F.xxhash64("k", "a").alias("p"), F.xxhash64("k", "b").alias("q")))
+    sums = placed.groupBy("c", "part").agg(F.bit_xor("p").alias("p0"), F.bit_xor("q").alias("q0"))
+    sums = stored(sums.select("c", "part", *[F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(x) for x in ("p0", "q0")]))
+    xor = lambda x: F.bit_xor(x).over(here).bitwiseXOR(F.col(f"{x}0")).alias(x)
+    prefix = stored(placed.join(sums, ["c", "part"]).select("c", "k", "n", xor("p"), xor("q")))
     whole = prefix.where("k = n").groupBy("k", "p", "q").agg(F.min("c").alias("c"), F.count("*").alias("n_same"))
     longer = prefix.where("k < n").select("k", "p", "q").distinct()
     return whole.join(longer, ["k", "p", "q"], "left_anti").select(F.col("c").alias(conv), F.col("k").cast("long").alias("n_turns"), "n_same")

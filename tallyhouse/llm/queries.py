@@ -139,7 +139,7 @@ def secret_scan_sql() -> str:
 CHAT_SQL = """with c as (select conv_id, count(*) as n, list({'r': role, 'x': text} order by turn, role, text) as l from conversations where conv_id is not null group by 1),
     k as (select min(conv_id) as conv_id, n as n_turns, count(*) as n_same, l from c group by n, l),
     m as (select * from k a where not exists (select 1 from c b where b.n > a.n_turns and b.l[1:a.n_turns] = a.l)),
-    o as (select conv_id, n_turns, n_same, array_to_string(list_transform(l, lambda s: '<|' || coalesce(s.r, '') || '|>' || chr(10) || coalesce(s.x, '') || '<|end|>' || chr(10)), '') as t from m)
+    o as (select conv_id, n_turns, n_same, array_to_string(list_transform(l, lambda s: '<|' || replace(coalesce(s.r, ''), '<|', '<||') || '|>' || chr(10) || replace(coalesce(s.x, ''), '<|', '<||') || '<|end|>' || chr(10)), '') as t from m)
     select conv_id, n_turns, n_same, length(t) as n_chars, sha256(t) as sha256 from o"""
 
 #: The other queries learn, sketch or run a library's tokenizer; tests hold them against brute force instead.
