@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, neardup, packing, queries, secrets, toxicity
+from tallyhouse.llm import chat, langid, lm, neardup, packing, pieces, quality, queries, secrets, toxicity
 from tallyhouse.operators import ledger
 from tallyhouse.plans import registry
 
@@ -183,3 +183,52 @@ def test_toxicity_against_plain_rounds(llm):
         got = toxicity.learn_toxicity(docs.repartition(parts), labels.repartition(parts), p)
         assert all(abs(got[i] - want.get(i, 0.0)) < 1e-3 for i in range(len(got)))
     assert sum(1 for v in want.values() if v) > 2
+
+
+def test_learned_rules_follow_labels(llm):
+    """Sequential covering finds both planted causes, in order, and spares good rows; equal texts share a verdict."""
+    rng, rows, labels = random.Random(4), [], []
+    for i in range(900):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(30, 60))]
+        bad = i % 3
+        if bad == 1:
+            words = [w.upper() for w in words]
+        elif bad == 2:
+            words = [w + "!!!" for w in words]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0 if bad else 1))
+    docs, marks = llm.createDataFrame(rows, "doc_id long, text string"), llm.createDataFrame(labels, "doc_id long, quality int")
+    rules = quality.learn_rules(quality.labelled_sample(docs, marks.where("doc_id < 600")))
+    assert 2 <= len(rules.rules) <= 4 and {t.feature for r in rules.rules for t in r} >= {"upper_share", "marks_a_word"}
+    fresh = docs.where("doc_id >= 600").withColumns({"kept": F.lit("x"), "n_words": F.lit(-1), "rule": F.lit(9)})
+    got = {r.doc_id: r for r in quality.apply_rules(quality.text_statistics(fresh), rules).collect()}
+    right = sum(got[i].kept == bool(q) for i, q in labels[600:]) / 300
+    assert right > 0.97 and all(got[i].n_words == len(t.split()) for i, t in rows[600:])
+    # the chain of conditions decides like the rules in order, row by row
+    for r in list(got.values())[:200]:
+        first = next((k for k, rule in enumerate(rules.rules, 1) if all((r[t.feature] >= t.cut) == t.at_least for t in rule)), 0)
+        assert r.rule == first and r.kept == (first == 0 and not r.base_failed)
+
+
+def test_columns_of_the_operators_own_names(llm):
+    """Each operator states what it does with a clashing input column: it is replaced, or passes through."""
+    names = {c: F.lit("mine") for c in ("lang_pred", "toxic_score", "ids", "n_tokens", "decoded", "kept", "spans", "blob", "class_id", "row", "key")}
+    docs = llm.createDataFrame([(1, "one two three four five six"), (2, None), (2, "")], "doc_id long, text string").withColumns(names)
+    lang = langid.identify_languages(docs, langid.learn_languages(docs.withColumn("lang", F.lit("en")).limit(0)))
+    assert lang.columns.count("lang_pred") == 1 and {r.lang_pred for r in lang.collect()} == {"und"} and {r.kept for r in lang.collect()} == {"mine"}
+    tox = toxicity.toxicity_scores(docs, np.zeros(17, np.float32))
+    assert tox.columns.count("toxic_score") == 1 and {r.toxic_score for r in tox.collect()} == {0.5}
+    codes = pieces.piece_codes(docs, queries.tokenizer_file("piece_bpe_32k.model"))
+    assert codes.columns.count("ids") == 1 and sorted(r.n_tokens for r in codes.collect())[:2] == [2, 2] and {r.row for r in codes.collect()} == {"mine"}
+    assert secrets.scan_ledger(docs).columns == ["doc_id", "blob", "spans"] and neardup.near_duplicates(docs).count() == 3
+    assert lm.score_texts(docs, F.lit(True)).count() == 3
+
+
+def test_a_table_of_frequent_words_is_segmented_once(llm):
+    docs = llm.createDataFrame([("to be or not to be",), ("to be or▁x to be",), (None,), ("be",)], "text string").repartition(1)
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    table = {r.chunk: r for r in pieces.chunk_table(docs, path).collect()}
+    coder = pieces.ChunkPieces(path)
+    assert set(table) == {" to", " be", " or"}
+    assert all(r.ids == np.array(coder.model.encode(c[1:]), "<u4").tobytes() and r.decoded == c for c, r in table.items())
+    assert set(r.chunk for r in pieces.chunk_table(docs, path, most=2).collect()) == {" to", " be"}
