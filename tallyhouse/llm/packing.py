@@ -51,15 +51,18 @@ class PackParams:
 
 
 class _Table(dict):
-    """A dict that makes and keeps a missing key's value, and begins anew at ``most`` keys."""
+    """A dict that makes and keeps a missing key's value; keys not asked for while half of ``most`` came in anew go."""
 
     def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.half, self.older = make, most // 2, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(self) >= self.most:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -74,7 +77,7 @@ class ChunkTokenizer:
     special token, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
