@@ -84,10 +84,10 @@ add("a26_ledger_summary", ["keys"], "select source, count(*) as entries, count(c
     lambda k: ledger.ledger_summary(k, F.col("authority") != "estimated"))
 add("r15_import", ["receipts"], f", {SETTLED}, ok as (select * from receipts r where {VALID} in ('', 'no_origin') and day >= date '2024-01-05' and day < date '2024-01-25' - cast(dayofweek(date '2024-01-25') as int) and not exists (select 1 from settled s where s.day = r.day and s.source = r.source)) {ENTRIES.replace('from receipts', 'from ok')}")(
     lambda r: daily.aggregate_entries(ledger.drop_settled(ledger.partition_complete(ledger.validate_receipts(r).where("errors in ('', 'no_origin')"), "2024-01-25", "2024-01-05").where("state = 'kept'"), _settled(r))))
-add("t1_ledger_order", ["keys"], "select row_number() over (order by scope, source, request_id) as place, request_id, source from keys qualify place <= 100")(
-    lambda k: ledger.order_ledger(k, ["scope", "source", "request_id"]).where("place <= 100").select("place", "request_id", "source"))
-add("t1_ledger_order_all", ["keys"], "select row_number() over (order by scope, source, request_id) as place, request_id, source from keys")(
+add("t1_ledger_order", ["keys"], "select row_number() over (order by scope, source, request_id) as place, request_id, source from keys")(
     lambda k: ledger.order_ledger(k, ["scope", "source", "request_id"]).select("place", "request_id", "source"))
+add("t1_ledger_order_all", ["keys"], "select row_number() over (order by scope, source, request_id) as place, * from keys")(
+    lambda k: ledger.order_ledger(k, ["scope", "source", "request_id"]))
 add("u2_intersect", ["keys"], "select request_id from keys where source = 'tool_a' intersect select request_id from keys where source = 'tool_n'")(
     lambda k: k.where("source = 'tool_a'").select("request_id").intersect(k.where("source = 'tool_n'").select("request_id")))
 add("u3_except", ["keys"], "select request_id from keys where source = 'tool_a' except select request_id from keys where source = 'tool_n'")(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import usage as u
+from tallyhouse.operators import daily
 from tallyhouse.plans.bindings import bind, duck
 from tallyhouse.plans.registry import register
 from tallyhouse.sources import logs
@@ -118,6 +119,17 @@ def _s21(spark: SparkSession, d: DataFrame) -> DataFrame:
 
 
 _add("s21_policy", ["daily"], "select cast(day as varchar) as date, source, tokens, 'reviewed' as reason from daily where driver is null", _s21)
+
+
+def _s20(spark: SparkSession, d: DataFrame) -> DataFrame:
+    path = shared_dir(spark, "export")
+    daily.export_wide(d).write.csv(path, header=True)
+    stored = spark.read.csv(path, header=True, schema="day date, total_tokens long, sources string, fidelity string")
+    return daily.check_export(stored, daily.export_wide(d.where("not (dayofmonth(day) = 9 and source = 'low')")))
+
+
+WIDE = "select day, cast(sum(tokens) as bigint) as total_tokens, array_to_string(list_sort(list(distinct source)), ' ') as sources, case when bool_and(fidelity = 'exact') then 'exact' else 'mixed' end as fidelity from {} group by 1"
+_add("s20_csv_parity", ["daily"], f", a as ({WIDE.format('daily')}), b as ({WIDE.format("(select * from daily where not (day(day) = 9 and source = 'low'))")}) select *, 'stored' as side from (select * from a except all select * from b) union all select *, 'computed' from (select * from b except all select * from a)", _s20)
 _add("f13_response_digest", ["keys"], """select request_id, source, 'sha256:' || sha256('{"a":{"b":"' || source || '","c":"' || scope || '"},"id":"' || request_id || '"}') as digest from keys""",
      lambda spark, k: k.withColumn("json", F.to_json(_named(id=F.col("request_id"), a=_named(c=F.col("scope"), b=F.col("source"))))).select("request_id", "source", logs.response_digest(F.col("json")).alias("digest")))
 _add("f17_instants", ["counters"], "select source, min(event_id + 1700000000) as first, max(event_id + 1700000000) as last from counters group by 1",
