@@ -112,3 +112,17 @@ def _entries(c):
         "tokens", F.when(g == 1, -F.col("calls")).otherwise(F.col("calls")).alias("calls"), F.when(g == 0, "sample").otherwise("exact").alias("fidelity"), F.when(g == 2, "odd").alias("authority"), F.when(g == 4, "incomplete").alias("coverage"), F.lit(None).cast("array<string>").alias("coverage_reasons"), part.alias("token_components"),
         F.when(g == 3, F.create_map(F.lit("Machine/m"), F.col("tokens") + 1)).when(g == 6, F.create_map(F.lit("machine/m"), F.col("tokens"))).alias("by_origin"),
     )
+
+
+def _import(c):
+    """A first import: no ledger, no dataset, a window and an open week."""
+    rows = c.withColumns({"origin": F.lit("machine/m"), "coverage": F.lit(None).cast("string"), "input_tokens": F.lit(None).cast("long"), "cached_input_tokens": F.lit(None).cast("long")})
+    empty = rows.withColumns({"disposition": F.lit(None).cast("string"), "superseded_by": F.lit(None).cast("string")}).limit(0)
+    before = daily.aggregate_entries(empty).select("day", "source", "tokens", "calls", "fidelity")
+    plan = a.import_receipts(rows, empty, before, "2024-01-25", "2024-01-05")
+    found = plan.errors.groupBy(F.concat_ws(":", "step", "why").alias("part")).agg(F.count("*").alias("tokens"))
+    return plan.daily.select(F.lit("entry").alias("part"), "day", "source", "tokens", "calls").unionByName(found, allowMissingColumns=True)
+
+
+add("r15_import_plan", ["claims"], SETS.replace("from claims)", "from claims where day >= date '2024-01-05' and day < date '2024-01-21')") + """ select 'entry' as part, c.day, c.source, cast(sum(tokens) as bigint) as tokens, cast(sum(calls) as bigint) as calls from c join o on c.receipt_id = o.receipt_id where state in ('free', 'kept') group by 2, 3
+    union all select 'identity:' || errors, null, null, count(*), null from o where state = 'error' group by 1 union all select 'window:date', null, null, count(*), null from claims where day < date '2024-01-05' or day > date '2024-01-25'""")(_import)
