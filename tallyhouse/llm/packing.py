@@ -77,7 +77,7 @@ class ChunkTokenizer:
     special token, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 600_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
