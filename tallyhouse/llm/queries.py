@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, langid, lm, neardup, neighbours, packing, pieces, quality, secrets, toxicity
-from tallyhouse.llm.common import crc_mod, prepare
+from tallyhouse.llm import chat, langid, lm, merkle, neardup, neighbours, packing, pieces, quality, secrets, toxicity
+from tallyhouse.llm.common import crc_mod, prepare, stored
 from tallyhouse.sources.tables import table
 
 
@@ -101,6 +101,18 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), secrets.span_text(spans).alias("spans"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document, and the root that a leaf, tampered with for one in seven, leads to."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    digest = lambda n_chars: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    hit = F.coalesce(crc_mod(F.col("doc_id"), 7) == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    rows = stored(docs.select("doc_id", "lang", digest(F.col("n_chars")).alias("leaf"), F.when(hit, digest(F.col("n_chars") + 1)).alias("changed")))
+    done = merkle.manifest(rows, F.col("lang"), ["doc_id"], "leaf")
+    found = done.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
@@ -112,6 +124,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 
@@ -142,5 +155,28 @@ CHAT_SQL = """with c as (select conv_id, count(*) as n, list({'r': role, 'x': te
     o as (select conv_id, n_turns, n_same, array_to_string(list_transform(l, lambda s: '<|' || replace(coalesce(s.r, ''), '<|', '<||') || '|>' || chr(10) || replace(coalesce(s.x, ''), '<|', '<||') || '<|end|>' || chr(10)), '') as t from m)
     select conv_id, n_turns, n_same, length(t) as n_chars, sha256(t) as sha256 from o"""
 
+#: The manifest in SQL: trees grow upward, a leaf's siblings are read off level by level, the fold climbs with them.
+MERKLE_SQL = """with recursive d as (select doc_id, lang, n_chars, text, source, case when n_chars is not null and
+        xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+            lambda a, b: list_reduce(list_prepend(xor(a, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::bigint) % 7 = 0 then 1 else 0 end as bad from documents),
+    f as (select *, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as a,
+        coalesce(strlen(text) || ':' || text, '-') as z from d),
+    g as (select doc_id, lang, sha256(a || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || z) as leaf,
+        sha256(a || coalesce(strlen((n_chars + bad)::varchar) || ':' || (n_chars + bad), '-') || z) as bent from f),
+    l as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n, row_number() over (order by lang nulls first, doc_id nulls first, leaf) as k from g),
+    u as (select lang, 0 as lev, pos, n, leaf as h from l union all
+        select lang, lev + 1, pos // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' order by pos)) from u where n > 1 group by lang, lev, pos // 2),
+    s as (select lang, h as subroot, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from u where n = 1),
+    t as (select 0 as lev, pos, n, subroot as h from s union all select lev + 1, pos // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' order by pos)) from t where n > 1 group by lev, pos // 2),
+    q as (select k, u.lev as lev, (l.pos >> u.lev) & 1 as side, u.h as h from l join u on u.lang is not distinct from l.lang and u.pos = xor(l.pos >> u.lev, 1)
+        union all select k, 1000 + t.lev, (s.pos >> t.lev) & 1, t.h from l join s on s.lang is not distinct from l.lang join t on t.pos = xor(s.pos >> t.lev, 1)),
+    w as (select k, d1.lev as lev from l join (select distinct lang, lev from u where n > 1) d1 on d1.lang is not distinct from l.lang union all select k, 1000 + lev from l, (select distinct lev from t where n > 1)),
+    p as (select w.k, row_number() over (partition by w.k order by w.lev) as i, side, q.h as h from w left join q on q.k = w.k and q.lev = w.lev),
+    c as (select k, 0::bigint as i, bent as h from l union all select c.k, c.i + 1, sha256(case when p.side = 1 then p.h || c.h else c.h || coalesce(p.h, '') end) from c join p on p.k = c.k and p.i = c.i + 1),
+    e as (select k, max_by(h, i) as folded_root from c group by k),
+    o as (select k, string_agg(h, '' order by i) as proof from p group by k)
+    select doc_id, leaf, subroot, (select h from t where n = 1) as root, sha256(coalesce(proof, '')) as proof_sha256, folded_root, folded_root = (select h from t where n = 1) as verified
+    from l join s on s.lang is not distinct from l.lang join e using (k) left join o using (k)"""
+
 #: The other queries learn, sketch or run a library's tokenizer; tests hold them against brute force instead.
-ORACLE_SQL: dict[str, str] = {"op5_chat_format": CHAT_SQL, "op9_secret_scan": secret_scan_sql()}
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": CHAT_SQL, "op9_secret_scan": secret_scan_sql(), "op11_merkle_manifest": MERKLE_SQL}
