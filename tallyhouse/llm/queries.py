@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import chat, langid, lm, merkle, neardup, neighbours, packing, pieces, quality, secrets, toxicity
+from tallyhouse.llm import chat, langid, lm, merkle, neardup, neighbours, packing, personal, pieces, quality, runs, secrets, toxicity
 from tallyhouse.llm.common import crc_mod, prepare, stored
 from tallyhouse.sources.tables import table
 
@@ -113,6 +113,46 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal.find_personal(docs, personal.learn_field(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda no: F.size(F.filter(base, lambda s: s["kind"] == no)).cast("long")
+    counts = [of(no).alias(f"n_{kind}") for no, kind in enumerate(personal.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(personal.span_text(base), 256).alias("base_sha256"), personal.span_text(F.col("spans")).alias("spans"))
+
+
+def repeated_words(text: Column, doc_id: Column) -> Column:
+    """The text; for one id in ten, its words from some place on are periodic instead (null ids and texts stay)."""
+    crc = F.crc32(doc_id.cast("string").cast("binary"))
+    found = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    draw = F.floor(crc / 10)
+    start = lambda w: draw % F.size(w)
+    period = lambda w: F.floor((F.size(w) - start(w)) / (draw % 8 + 3)) + 1
+
+    def joined(s: Column) -> Column:
+        place = lambda i: F.when(i < s["a"], i).otherwise(s["a"] + (i - s["a"]) % s["p"])
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(s["w"]) - 1), lambda i: F.get(s["w"], place(i).cast("int"))), " ")
+
+    # one-element arrays, so that the words and then the two numbers are computed once
+    known = F.transform(F.array(found), lambda w: F.when(F.size(w) > 0, F.struct(w.alias("w"), start(w).alias("a"), period(w).alias("p"))))
+    return F.when((crc % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.get(F.transform(known, joined), F.lit(0))).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document's words, the longest one, and the text with one period of each."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", repeated_words(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.periodic_runs(docs)
+    line = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(line, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * b.length div -b.p").alias("exponent_milli")
+    return found.select("doc_id", "n_runs", (-F.col("b.s")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.p")).alias("period"), milli, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_near_duplicates": op2_near_duplicates,
@@ -125,6 +165,8 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_personal_data": op12_personal_data,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 
