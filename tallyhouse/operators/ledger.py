@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.usage import authority_name, authority_rank, week_start
+from tallyhouse.operators.scopes import wildcard_join
 from tallyhouse.sources.scratch import shared_dir
 
 
@@ -119,12 +120,27 @@ def drop_settled(receipts: DataFrame, settled: DataFrame) -> DataFrame:
     return receipts.join(settled.select("day", "source").distinct(), ["day", "source"], "left_anti")
 
 
+def split_settled(receipts: DataFrame, settled: DataFrame, origins: DataFrame) -> DataFrame:
+    """Receipts with state: kept (not settled), dropped (settled), or foreign_origin.
+
+    ``origins`` (day, source, origin): the origins that committed entries name. A receipt of a settled pair from an
+    origin that its entry does not have is new evidence and no repetition; an entry that names none is not judged.
+    """
+    key = ["day", "source"]
+    pairs = settled.select(*key).distinct().withColumn("_settled", F.lit(True))
+    named = origins.select(*key).distinct().withColumn("_named", F.lit(True))
+    rows = receipts.join(pairs, key, "left").join(named, key, "left").join(origins.select(*key, "origin").distinct().withColumn("_own", F.lit(True)), [*key, "origin"], "left")
+    state = F.when(F.col("_settled").isNull(), "kept").when(F.col("origin").isNotNull() & F.col("_named").isNotNull() & F.col("_own").isNull(), "foreign_origin").otherwise("dropped")
+    return rows.withColumn("state", state).select(*receipts.columns, "state")
+
+
 def check_settled(daily: DataFrame, settled: DataFrame) -> DataFrame:
-    """Settled entries inside the covered dates that are missing or changed."""
+    """Settled entries inside the covered dates that are missing, or whose tokens or calls changed (absent calls are a value)."""
     span = daily.agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    rows = settled.join(daily.select("day", "source", F.col("tokens").alias("now")), ["day", "source"], "left").crossJoin(F.broadcast(span))
-    rows = rows.where(F.col("day").between(F.col("first"), F.col("last")) & ~F.col("tokens").eqNullSafe(F.col("now")))
-    return rows.select("day", "source", F.when(F.col("now").isNull(), "missing").otherwise("changed").alias("why"))
+    now = daily.select("day", "source", F.col("tokens").alias("t"), F.col("calls").alias("c"), F.lit(True).alias("there"))
+    rows = settled.join(now, ["day", "source"], "left").crossJoin(F.broadcast(span)).where(F.col("day").between(F.col("first"), F.col("last")))
+    changed = ~(F.col("tokens").eqNullSafe(F.col("t")) & F.col("calls").eqNullSafe(F.col("c")))
+    return rows.where(F.col("there").isNull() | changed).select("day", "source", F.when(F.col("there").isNull(), "missing").otherwise("changed").alias("why"))
 
 
 def apply_exclusions(daily: DataFrame, exclusions: DataFrame) -> DataFrame:
@@ -141,11 +157,9 @@ def policy_overlap(settled: DataFrame, exclusions: DataFrame) -> DataFrame:
 
 
 def same_scope_day(left: DataFrame, right: DataFrame, wild: tuple[str, ...]) -> DataFrame:
-    """Pairs on (day, source) whose other fields agree, a null agreeing with anything."""
-    rows = left.alias("l").join(right.alias("r"), [F.col("l.day") == F.col("r.day"), F.col("l.source") == F.col("r.source")])
-    for f in wild:
-        rows = rows.where(F.col(f"l.{f}").isNull() | F.col(f"r.{f}").isNull() | (F.col(f"l.{f}") == F.col(f"r.{f}")))
-    return rows
+    """Pairs on (day, source) whose other fields agree, a null agreeing with anything; right's fields get the suffix _r."""
+    renamed = right.select("day", "source", *wild, *[F.col(c).alias(f"{c}_r") for c in right.columns if c not in ("day", "source")])
+    return wildcard_join(left, renamed, ("day", "source"), wild)
 
 
 def exact_decreases(before: DataFrame, after: DataFrame) -> DataFrame:
