@@ -203,16 +203,14 @@ def _facts(pairs: DataFrame, ledger: DataFrame, incoming: DataFrame) -> DataFram
     return rows.join(prior, ["entry_id", "told"], "left").withColumn("prior", F.coalesce("_prior", F.lit(False))).drop("_prior")
 
 
-OUTCOME = "receipt_id string, outcome string, why string, entry_id string, change string"
-
-
 def accept_evidence(ledger: DataFrame, ledger_ids: DataFrame, incoming: DataFrame, incoming_ids: DataFrame, exact: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
-    """(receipt_id, outcome, why, entry_id, change): added, updated, promoted, replay or error for each receipt.
+    """(receipt_id, outcome, why, entry_id, change, new_id): added, updated, promoted, replay or error for each receipt.
 
     ``incoming`` is a batch that went through reconcile_batch; ``exact`` (day, source): committed entries with exact
     figures. change, for what is not a replay or an error: new, forward (the old version goes into the history),
     detail (equal counters, more components or coverage), promote (a legacy entry is accepted), supersede (a new entry
-    that retires entry_id); weaker marks a replay of what stronger evidence tells. ``corrections`` (receipt_id, reason): reviewed receipts.
+    that retires entry_id); weaker marks a replay of what stronger evidence tells. new_id names an added entry: its receipt_id, with a number
+    if the ledger has used that name. ``corrections`` (receipt_id, reason): reviewed receipts.
 
     A receipt of an accepted snapshot: snapshot_scope, component and foreign_identity are errors; equal counters with
     more detail update; a version that is current or was before is a replay; crossing and identity_loss are errors unless
@@ -292,7 +290,10 @@ def accept_evidence(ledger: DataFrame, ledger_ids: DataFrame, incoming: DataFram
     for condition, outcome, why, change in reversed(steps):
         verdict = F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(outcome).alias("outcome"), F.lit(why).alias("why"), F.lit(change).alias("change"))).otherwise(verdict)
     entry = F.when(F.col("v.change") != "new", F.coalesce(s["entry_id"], k["entry_id"], l["entry_id"], b["entry_id"], F.col("g_entry")))
-    return rows.withColumn("v", verdict).select("receipt_id", "v.outcome", "v.why", entry.alias("entry_id"), "v.change")
+    used = ledger.groupBy(F.regexp_replace("entry_id", "#[0-9]+$", "").alias("receipt_id")).agg(F.count("*").alias("_used"))
+    name = F.when(F.col("_used").isNull(), F.col("receipt_id")).otherwise(F.concat_ws("#", "receipt_id", "_used"))
+    rows = rows.join(used, "receipt_id", "left").withColumn("v", verdict)
+    return rows.select("receipt_id", "v.outcome", "v.why", entry.alias("entry_id"), "v.change", F.when(F.col("v.outcome") == "added", name).alias("new_id"))
 
 
 def entry_conflicts(outcomes: DataFrame) -> DataFrame:
@@ -306,13 +307,13 @@ def apply_outcomes(ledger: DataFrame, ledger_ids: DataFrame, incoming: DataFrame
     """(ledger, identities) after the outcomes; errors and replays change nothing.
 
     A forward move appends the old version to the history and unites the identities; detail and promotion keep the
-    history; a new entry is named by its receipt, and what it supersedes is retired under that name.
+    history; a new entry is named new_id, and what it supersedes is retired under that name.
     """
     reasons = corrections.where("trim(reason) <> ''").groupBy("receipt_id").agg(F.max(F.trim("reason")).alias("_reason")) if corrections is not None else None
     changed = outcomes.where("change in ('forward', 'detail', 'promote')").select("receipt_id", "entry_id", "change")
     changed = changed.join(reasons, "receipt_id", "left") if reasons is not None else changed.withColumn("_reason", F.lit(None).cast("string"))
     news = changed.join(incoming.select("receipt_id", F.struct(*FIELDS).alias("i")), "receipt_id").drop("receipt_id")
-    gone = outcomes.where("change = 'supersede'").select("entry_id", F.col("receipt_id").alias("_by"))
+    gone = outcomes.where("change = 'supersede'").select("entry_id", F.col("new_id").alias("_by"))
     rows = ledger.join(news, "entry_id", "left").join(gone, "entry_id", "left")
     is_change, is_detail, forward = F.col("change").isNotNull(), F.coalesce(F.col("change") == "detail", F.lit(False)), F.coalesce(F.col("change") == "forward", F.lit(False))
     old, i = F.struct(*[F.col(c).alias(c) for c in FIELDS]), F.col("i")
@@ -331,11 +332,11 @@ def apply_outcomes(ledger: DataFrame, ledger_ids: DataFrame, incoming: DataFrame
         "history": F.when(forward, F.concat(F.coalesce("history", none), F.array(version_of("o")))).otherwise(F.col("history")),
     }
     kept = rows.withColumn("o", old).select("entry_id", *[v.alias(c) for c, v in {**out, **state}.items()])
-    added = outcomes.where("outcome = 'added'").select("receipt_id").join(incoming, "receipt_id")
+    added = outcomes.where("outcome = 'added'").select("receipt_id", "new_id").join(incoming, "receipt_id")
     added = added.join(reasons, "receipt_id", "left") if reasons is not None else added.withColumn("_reason", F.lit(None).cast("string"))
     fresh = {"acceptance": F.lit("accepted"), "acceptance_basis": F.lit(MATCHED), "disposition": F.lit(None), "superseded_by": F.lit(None), "correction": F.col("_reason"), "history": none}
-    added = added.select(F.col("receipt_id").alias("entry_id"), *FIELDS, *[fresh[c].cast(t).alias(c) for c, t in STATE.items()])
-    moved = changed.select("receipt_id", "entry_id").unionByName(outcomes.where("outcome = 'added'").select("receipt_id", F.col("receipt_id").alias("entry_id")))
+    added = added.select(F.col("new_id").alias("entry_id"), *FIELDS, *[fresh[c].cast(t).alias(c) for c, t in STATE.items()])
+    moved = changed.select("receipt_id", "entry_id").unionByName(outcomes.where("outcome = 'added'").select("receipt_id", F.col("new_id").alias("entry_id")))
     ids = stored(ledger_ids.select("entry_id", "key").unionByName(incoming_ids.join(moved, "receipt_id").select("entry_id", "key")).distinct(), "evidence")
     return with_key_sets(kept.unionByName(added), ids, "entry_id").select("entry_id", *FIELDS, *STATE), ids
 

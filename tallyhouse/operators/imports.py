@@ -213,11 +213,11 @@ def plan_import(receipts: DataFrame, identities: DataFrame, ledger: DataFrame, l
     report(entry_differences(ledger.join(lost, KEY, "left_semi"), daily.join(lost, KEY, "left_semi")), "transition")
     by_excluded = rows.join(fine.where("change = 'supersede'").select("receipt_id"), "receipt_id", "left_semi").join(exclusions.select(*KEY).distinct(), KEY, "left_semi")
     report(by_excluded, "transition", F.lit("excluded_authority"))
-    remaining = after.join(fine.where("outcome = 'added'").select(F.col("receipt_id").alias("entry_id")), "entry_id", "left_anti")
+    remaining = after.join(fine.where("outcome = 'added'").select(F.col("new_id").alias("entry_id")), "entry_id", "left_anti")
     adjusted = rebuild_whole(daily, remaining, lost)
     # weaker receipts of known identities say nothing; equal measurements say what the entry has gathered
-    used = fine.where("change <> 'weaker'").select("receipt_id", "entry_id", "change")
-    kept = F.when(F.col("change").isin("new", "supersede"), F.col("receipt_id")).otherwise(F.col("entry_id"))
+    used = fine.where("change <> 'weaker'").select("receipt_id", "entry_id", "new_id")
+    kept = F.coalesce("new_id", "entry_id")
     told = after.select(F.col("entry_id").alias("_kept"), F.struct("tokens", "calls", "coverage", "coverage_reasons", "token_components").alias("a"))
     rich = rows.join(used.select("receipt_id", kept.alias("_kept")), "receipt_id").join(told, "_kept", "left")
     equal = F.coalesce(F.col("a.tokens") == F.col("tokens"), F.lit(False)) & F.col("a.calls").eqNullSafe(F.col("calls"))
@@ -235,7 +235,7 @@ def plan_import(receipts: DataFrame, identities: DataFrame, ledger: DataFrame, l
     report(dataset_errors(result.join(totals, "day"), policy.timezone, policy.window_start, policy.as_of).withColumnRenamed("rule", "why"), "dataset")
     after = after.join(gone.withColumn("_gone", F.lit(True)), KEY, "left").withColumn("disposition", F.when(F.col("_gone"), "excluded").otherwise(F.col("disposition"))).select("entry_id", *ev.FIELDS, *ev.STATE)
     # a reviewed pair counts only what its receipts touched
-    touched = fine.where("entry_id is not null or outcome = 'added'").select(F.coalesce(F.when(F.col("change").isin("new", "supersede"), F.col("receipt_id")), "entry_id").alias("entry_id")).distinct().withColumn("_touched", F.lit(True))
+    touched = fine.where("entry_id is not null or outcome = 'added'").select(kept.alias("entry_id")).distinct().withColumn("_touched", F.lit(True))
     out = after.join(reviewed.withColumn("_reviewed", F.lit(True)), KEY, "left").join(touched, "entry_id", "left")
     differs = entry_differences(after, result).select(*KEY, F.lit(True).alias("_differs"))
     out = out.join(differs, KEY, "left").withColumn("disposition", F.when(F.col("_reviewed") & F.col("_differs") & F.col("_touched").isNull() & F.col("disposition").isNull(), "corrected-out").otherwise(F.col("disposition")))

@@ -31,17 +31,17 @@ add_table("p14_privacy", ["documents", "pages"], f"select 'd' || doc_id as id, {
 add("p16_labels", ["daily"], "select day, source, case when driver is null then 'missing' when driver not in ('feature', 'bugfix', 'unknown', 'unreviewed') then 'unknown_label' else 'unreviewed' end as why from daily where driver is null or driver = 'unreviewed'")(
     lambda d: privacy.label_errors(d, ["feature", "bugfix", "unknown", "unreviewed"], True).select("day", "source", "why"))
 
-SETTLED = "settled as (select day, source, cast(sum(tokens) as bigint) as tokens from receipts where day(day) = 1 group by 1, 2)"
+SETTLED = "settled as (select day, source, cast(sum(tokens) as bigint) as tokens, cast(sum(calls) as bigint) as calls from receipts where day(day) = 1 group by 1, 2)"
 
 
 def _settled(r):
-    return r.where(F.dayofmonth("day") == 1).groupBy("day", "source").agg(F.sum("tokens").alias("tokens"))
+    return r.where(F.dayofmonth("day") == 1).groupBy("day", "source").agg(F.sum("tokens").alias("tokens"), F.sum("calls").alias("calls"))
 
 
 add("j1_settled_anti", ["receipts"], f", {SETTLED} select day, source, scope, origin, tokens from receipts r where not exists (select 1 from settled s where s.day = r.day and s.source = r.source)")(
     lambda r: ledger.drop_settled(r, _settled(r)).select("day", "source", "scope", "origin", "tokens"))
-add("j2_settled_check", ["receipts"], f", {SETTLED}, d as (select day, source, cast(sum(tokens) as bigint) as tokens from receipts where not (day(day) = 1 and source = 'click') group by 1, 2) select s.day, s.source, case when d.tokens is null then 'missing' else 'changed' end as why from settled s left join d using (day, source) where s.day between (select min(day) from d) and (select max(day) from d) and s.tokens is distinct from d.tokens")(
-    lambda r: ledger.check_settled(r.where("not (dayofmonth(day) = 1 and source = 'click')").groupBy("day", "source").agg(F.sum("tokens").alias("tokens")), _settled(r)))
+add("j2_settled_check", ["receipts"], f", {SETTLED}, d as (select day, source, cast(sum(tokens) as bigint) as tokens, cast(sum(calls) as bigint) as calls from receipts where not (day(day) = 1 and source = 'click') group by 1, 2) select s.day, s.source, case when d.tokens is null then 'missing' else 'changed' end as why from settled s left join d using (day, source) where s.day between (select min(day) from d) and (select max(day) from d) and (d.tokens is null or s.tokens <> d.tokens or s.calls is distinct from d.calls)")(
+    lambda r: ledger.check_settled(r.where("not (dayofmonth(day) = 1 and source = 'click')").groupBy("day", "source").agg(F.sum("tokens").alias("tokens"), F.sum("calls").alias("calls")), _settled(r)))
 E_CTE = f", e as ({ENTRIES})"
 add("j3_exclusions", ["receipts"], E_CTE + ", x as (select day, source, case when tokens % 2 = 1 then tokens + 1 else tokens end as tokens, calls from e where day(day) = 2) select e.day, e.source, case when x.day is null then 'kept' when x.tokens is not distinct from e.tokens and x.calls is not distinct from e.calls then 'excluded' else 'mismatch' end as state from e left join x on e.day = x.day and e.source = x.source")(
     lambda r: (lambda e: ledger.apply_exclusions(e, e.where(F.dayofmonth("day") == 2).withColumn("tokens", F.col("tokens") + F.col("tokens") % 2)))(daily.aggregate_entries(r)))
@@ -58,7 +58,7 @@ def _plain(k):
 add("j6_ledger_check", ["keys"], SIDES + " select i.request_id, i.source, count(l.source) as hits, case when count(l.source) = 0 then 'new' when not coalesce(bool_and(l.scope = i.scope), true) then 'conflict' when coalesce(bool_or(l.source = i.source), false) then 'counted' else 'conflict' end as class from i left join l on i.request_id = l.request_id group by 1, 2, i.scope")(
     lambda k: ledger.check_against_ledger(*_plain(k)))
 add("j7_wildcard_scope", ["receipts"], "select l.day, l.source, count(*) as pairs from receipts l join receipts r on l.day = r.day and l.source = r.source and (l.origin is null or r.origin is null or l.origin = r.origin) and (l.coverage is null or r.coverage is null or l.coverage = r.coverage) where l.scope < r.scope group by 1, 2")(
-    lambda r: ledger.same_scope_day(r, r, ("origin", "coverage")).where("l.scope < r.scope").groupBy("l.day", "l.source").agg(F.count("*").alias("pairs")))
+    lambda r: ledger.same_scope_day(r, r, ("origin", "coverage")).where("scope < scope_r").groupBy("day", "source").agg(F.count("*").alias("pairs")))
 add("j8_no_decrease", ["daily"], "select day, source, case when a.tokens is null then 'disappeared' when a.fidelity <> 'exact' then 'fidelity' when a.tokens < b.tokens then 'tokens' when b.calls is not null and (a.calls is null or a.calls < b.calls) then 'calls' end as why from daily b left join (select day, source, case when tokens % 7 = 0 then 'estimated' else fidelity end as fidelity, case when tokens % 5 = 0 then tokens - 1 else tokens end as tokens, case when tokens % 3 = 0 then null else calls end as calls from daily where tokens % 11 <> 0) a using (day, source) where b.fidelity = 'exact' and (a.tokens is null or a.fidelity <> 'exact' or a.tokens < b.tokens or a.calls is null or a.calls < b.calls)")(
     lambda d: ledger.exact_decreases(d, d.where("tokens % 11 <> 0").select("day", "source", F.when(F.col("tokens") % 7 == 0, "estimated").otherwise(F.col("fidelity")).alias("fidelity"), F.when(F.col("tokens") % 5 == 0, F.col("tokens") - 1).otherwise(F.col("tokens")).alias("tokens"), F.when(F.col("tokens") % 3 != 0, F.col("calls")).alias("calls"))))
 add("j11_reconcile", ["daily", "calls"], ", a as (select day, cast(sum(tokens) as bigint) as a from daily group by 1), b as (select day, cast(sum(input * 100 + output) as bigint) as b from calls group by 1) select case when b is null then 'report' when a is null then 'transcript' else 'both' end as side, count(*) as days, count(case when abs(a - b) / greatest(a, b) <= 0.15 then 1 end) as close_days, cast(sum(a) as bigint) as report_tokens, cast(sum(b) as bigint) as transcript_tokens from a full join b using (day) group by 1")(
