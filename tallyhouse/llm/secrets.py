@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,9 @@ class Rule:
     mask: str | None = None
 
 
-#: A private key to its END line; without one, the lines of base64 that follow.
-PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,64}+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{40,}+){0,400}+(?:(?:\s|\\[nr])+[A-Za-z0-9+/]*={1,2})?)"
+#: A private key to its END line; without one, all lines of base64 that follow. Every loop is possessive, so that the
+#: matcher needs no stack however long the key is.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----|(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{40,}+)*+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]*+={1,2})?)"
 
 # The three base rules, in their listed order, then the added ones.
 RULES = (
@@ -45,10 +47,14 @@ RULES = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 BASE_KINDS = 3
-VERSION = "1"
 MASK = "[redacted]"
 
 
+def rules_version(rules: tuple[Rule, ...]) -> str:
+    """The version of a set of rules: a digest of all that decides what they find, so that changed rules scan anew."""
+    return "v" + sha256(repr([(r.kind, r.pattern, r.group, r.least) for r in rules]).encode()).hexdigest()[:16]
+
+
 def blob_of(text: Column) -> Column:
     """The content address of a text; null counts as empty."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
@@ -89,15 +95,15 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 SPANS = "array<struct<start:bigint,no:int,end:bigint>>"
 
 
-def scan_ledger(docs: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
-    """(path, blob, spans) for every row of ``docs``, scanning exactly the blobs that the ledger lacks.
+def scan_ledger(docs: DataFrame, ledger: str | None = None, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(path, blob, spans) for every row of ``docs``, scanning exactly the blobs that the ledger lacks under these rules.
 
     ``docs`` may hold any number of versions of a path. ``ledger``: folder of the ledger's Parquet files, by
     rule version, made if missing; a new folder in the shared scratch space by default. Two runs at once may
     both scan a blob; it is still reported once. A null text is the empty blob. Rows with a null path are
     scanned and reported like others; repeated rows are reported each; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark, version = docs.sparkSession, rules_version(rules)
     ledger = ledger or scratch_dir(spark)
     rows = docs.select(F.col(path).alias("path"), blob_of(F.col(text)).alias("blob"), F.col(text).alias("text"))
     listed = stored(rows.select("path", "blob"))
