@@ -12,6 +12,8 @@ from tallyhouse.operators import imports as im
 from tallyhouse.operators import ledger as rules
 from tallyhouse.operators.contracts import COMPONENTS
 from tallyhouse.plans.usage_queries import RANK, add
+from tallyhouse.sources import dataset
+from tallyhouse.sources.scratch import shared_dir
 
 # the ledger: claims of two sources, some of them legacy, retired or with one prior version
 LEDGER = """, l as (select receipt_id as entry_id, snapshot_key, day, source, case when tokens % 6 <> 0 then 'cli' end as surface, scope as account, 'm/' || (tokens % 3) as origin, authority, fidelity, tokens, calls, coalesce(keys, []) as keys,
@@ -161,3 +163,18 @@ add("r15_whole_import", ["claims"], SETS + f""" select 'entry' as part, day, sou
     case min({RANK}) when 1 then 'estimated' when 2 then 'reconstructed' when 3 then 'tool' else 'provider' end as authority, count(distinct tokens % 3) as origins from k where day < date '2024-01-21' group by 2, 3
     union all select 'batch:' || errors, null, null, count(*), null, null, null, null, null from o where errors <> '' group by 1 union all select 'window:date', null, null, count(*), null, null, null, null, null from o where goes and (day < date '2024-01-05' or day > date '2024-01-25')
     union all select 'held', null, null, count(*), null, null, null, null, null from k where day >= date '2024-01-21'""")(_import)
+
+
+def _committed(c):
+    """Two versions committed one after the other, and both read back."""
+    said = _said(c)[1].withColumns({"timezone": F.lit("UTC"), "driver": F.lit("writing"), "evidence": F.lit("e")}).select(*im.DAILY)
+    spark = c.sparkSession
+    root = shared_dir(spark, "dataset")
+    none = spark.createDataFrame([], ev.LEDGER_SCHEMA), spark.createDataFrame([], ev.IDENTITY_SCHEMA)
+    first = dataset.commit_version(spark, root, said.where("source = 'view'"), *none, base=0)
+    dataset.commit_version(spark, root, said, *none, base=first)
+    told = lambda v: v.daily.select(F.lit(v.number).alias("version"), "day", "source", "tokens", F.col("token_components.input_tokens").alias("inp"), F.size("by_origin").cast("bigint").alias("origins"))
+    return told(dataset.read_version(spark, root, 1)).unionByName(told(dataset.read_version(spark, root)))
+
+
+add("s3_committed_versions", ["claims"], SAID + " select v.version, e.day, e.source, tokens, inp, len(string_split(origins, ',')) as origins from e join og using (day, source) join (select unnest([1, 2]) as version) v on v.version = 2 or e.source = 'view'")(_committed)
