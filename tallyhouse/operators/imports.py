@@ -181,7 +181,7 @@ def plan_import(receipts: DataFrame, identities: DataFrame, ledger: DataFrame, l
 
     none = spark.createDataFrame([], "day date, source string, tokens bigint, calls bigint")
     settled, exclusions = settled if settled is not None else none, exclusions if exclusions is not None else none
-    receipts = stored(receipts, "import")
+    receipts, identities = stored(receipts, "import"), stored(identities.select("receipt_id", "key"), "import")
     faults = stored(receipt_faults(receipts, identities, policy.timezone), "import")
     report(faults.join(receipts.select("receipt_id", *KEY), "receipt_id", "left"), "contract")
     valid = receipts.join(faults.select("receipt_id"), "receipt_id", "left_anti").where("receipt_id is not null")

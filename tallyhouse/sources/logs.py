@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.usage import SAFE, cache_writes
+from tallyhouse.sources.lines import SESSION, counters_of
 
 RECEIPT_FIELDS = {
     "date": "string", "timezone": "string", "source": "string", "provider": "string", "surface": "string", "account_alias": "string", "origin": "string", "machine_alias": "string", "snapshot_key": "string",
@@ -102,17 +103,19 @@ def read_rollouts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_session_totals(spark: SparkSession, path: str) -> DataFrame:
-    """Cumulative totals per session, model and shutdown event."""
+    """Cumulative totals per session, model and shutdown event, with the paths that hold no whole counter."""
     rows = json_lines(spark, path).where(F.try_variant_get("v", "$.type", "string") == "session.shutdown")
-    metric = "map<string,struct<requests:struct<count:bigint>,usage:struct<inputTokens:bigint,outputTokens:bigint,cacheReadTokens:bigint>>>"
     v = F.col("v")
-    shown = rows.select("file", F.try_variant_get(v, "$.id", "string").alias("event_id"), F.to_timestamp(F.try_variant_get(v, "$.timestamp", "string")).alias("ts"), F.explode(F.from_json(F.to_json(F.try_variant_get(v, "$.data.modelMetrics", "variant")), metric)).alias("model", "m"))
-    return shown.select("file", "event_id", "ts", "model", F.col("m.requests.count").alias("requests"), F.col("m.usage.inputTokens").alias("input"), F.col("m.usage.outputTokens").alias("output"), F.col("m.usage.cacheReadTokens").alias("cached"))
+    shown = rows.select("file", F.try_variant_get(v, "$.id", "string").alias("event_id"), F.to_timestamp(F.try_variant_get(v, "$.timestamp", "string")).alias("ts"), F.explode(F.try_variant_get(v, "$.data.modelMetrics", "map<string,variant>")).alias("model", "m"))
+    return shown.withColumn("c", counters_of(F.col("m"), SESSION)).select("file", "event_id", "ts", "model", "c.requests", "c.input", "c.output", "c.cached", "c.malformed")
+
+
+CHAT = ("input", "output", "cached", "thoughts", "tool")
 
 
 def _chat_record(v: Column) -> list[Column]:
     text = lambda p: F.try_variant_get(v, p, "string")
-    return [text("$.sessionId").alias("session"), text("$.id").alias("message_id"), text("$.type").alias("type"), F.to_timestamp(text("$.timestamp")).alias("ts"), text("$.model").alias("model"), *[counter(v, f"$.tokens.{c}").alias(c) for c in ("input", "output", "cached", "thoughts", "tool")]]
+    return [text("$.sessionId").alias("session"), text("$.id").alias("message_id"), text("$.type").alias("type"), F.to_timestamp(text("$.timestamp")).alias("ts"), text("$.model").alias("model"), *[counter(v, f"$.tokens.{c}").alias(c) for c in CHAT], counters_of(v, {c: f"$.tokens.{c}" for c in CHAT})["malformed"].alias("malformed")]
 
 
 def read_chat_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -128,8 +131,15 @@ def read_task_messages(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
     m = whole.select("file", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("m"))
     m = m.where(F.try_variant_get("m", "$.say", "string") == "api_req_started").withColumn("t", F.try_parse_json(F.try_variant_get("m", "$.text", "string")))
-    t = F.col("t")
-    return m.select("file", F.timestamp_millis(F.try_variant_get("m", "$.ts", "bigint")).alias("ts"), counter(t, "$.tokensIn").alias("input"), counter(t, "$.tokensOut").alias("output"), counter(t, "$.cacheWrites").alias("cache_write"), counter(t, "$.cacheReads").alias("cached"))
+    c = counters_of(F.col("t"), {"input": "$.tokensIn", "output": "$.tokensOut", "cache_write": "$.cacheWrites", "cached": "$.cacheReads"})
+    return m.withColumn("c", c).select("file", F.timestamp_millis(F.try_variant_get("m", "$.ts", "bigint")).alias("ts"), "c.*")
+
+
+def with_task_models(messages: DataFrame, history: DataFrame) -> DataFrame:
+    """Requests with the model of their task, by the last folder of their file; ``history``: task (folder), model."""
+    task = F.element_at(F.split("file", "/"), -2)
+    known = history.where("task is not null").groupBy("task").agg(F.max("model").alias("model"))
+    return messages.withColumn("task", task).join(known, "task", "left")
 
 
 def usage_from_tables(usage: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -138,10 +148,10 @@ def usage_from_tables(usage: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def messages_from_kv(rows: DataFrame) -> DataFrame:
-    """Messages of a key/value store (key, value): bubbles with counts above zero."""
+    """Messages of a key/value store (key, value): bubbles with counts above zero, or with a malformed one."""
     v = F.try_parse_json("value")
-    found = rows.where(F.col("key").startswith("bubbleId:")).select("key", F.to_timestamp(F.try_variant_get(v, "$.createdAt", "string")).alias("ts"), counter(v, "$.tokenCount.inputTokens").alias("input"), counter(v, "$.tokenCount.outputTokens").alias("output"), F.try_variant_get(v, "$.modelInfo.modelName", "string").alias("model"))
-    return found.where("coalesce(input, 0) + coalesce(output, 0) > 0")
+    found = rows.where(F.col("key").startswith("bubbleId:")).select("key", F.to_timestamp(F.try_variant_get(v, "$.createdAt", "string")).alias("ts"), counter(v, "$.tokenCount.inputTokens").alias("input"), counter(v, "$.tokenCount.outputTokens").alias("output"), F.try_variant_get(v, "$.modelInfo.modelName", "string").alias("model"), counters_of(v, {"input": "$.tokenCount.inputTokens", "output": "$.tokenCount.outputTokens"})["malformed"].alias("malformed"))
+    return found.where("coalesce(input, 0) + coalesce(output, 0) > 0 or size(malformed) > 0")
 
 
 def decode_threads(threads: DataFrame) -> DataFrame:
@@ -183,15 +193,19 @@ def read_export_messages(spark: SparkSession, paths: str | list[str]) -> DataFra
 
 
 def read_usage_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Results of landed usage-report pages of shape ``a`` (ISO starts) or ``b`` (epoch starts)."""
+    """Results of landed usage-report pages of shape ``a`` (ISO starts) or ``b`` (epoch starts), with malformed paths."""
     pages = json_lines(spark, path).select(F.explode(F.try_variant_get("v", "$.data", "array<variant>")).alias("b"))
     r = pages.select("b", F.explode(F.try_variant_get("b", "$.results", "array<variant>")).alias("r"))
     v = F.col("r")
     if kind == "a":
         total, reported = cache_writes(F.try_variant_get(v, "$.cache_creation", "map<string,bigint>"), counter(v, "$.cache_creation_input_tokens"))
         writes = F.when(reported, total)
-        return r.select(F.to_timestamp(F.try_variant_get("b", "$.starting_at", "string")).alias("ts"), F.try_variant_get(v, "$.model", "string").alias("model"), counter(v, "$.uncached_input_tokens").alias("input"), writes.alias("cache_write"), counter(v, "$.cache_read_input_tokens").alias("cached"), counter(v, "$.output_tokens").alias("output"), F.lit(None).cast("bigint").alias("calls"))
-    return r.select(F.timestamp_seconds(F.try_variant_get("b", "$.start_time", "bigint")).alias("ts"), F.try_variant_get(v, "$.model", "string").alias("model"), counter(v, "$.input_tokens").alias("input"), F.lit(None).cast("bigint").alias("cache_write"), counter(v, "$.input_cached_tokens").alias("cached"), counter(v, "$.output_tokens").alias("output"), counter(v, "$.num_model_requests").alias("calls"))
+        odd = lambda x: (F.schema_of_variant(x) != "BIGINT") | ~F.coalesce(F.try_variant_get(x, "$", "bigint").between(0, SAFE), F.lit(False))
+        parts = F.map_values(F.try_variant_get(v, "$.cache_creation", "map<string,variant>"))
+        malformed_a = F.array_compact(F.array_append(counters_of(v, {c: f"$.{c}" for c in ("uncached_input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens")})["malformed"], F.when(F.exists(parts, odd), F.lit("$.cache_creation"))))
+        return r.select(F.to_timestamp(F.try_variant_get("b", "$.starting_at", "string")).alias("ts"), F.try_variant_get(v, "$.model", "string").alias("model"), counter(v, "$.uncached_input_tokens").alias("input"), writes.alias("cache_write"), counter(v, "$.cache_read_input_tokens").alias("cached"), counter(v, "$.output_tokens").alias("output"), F.lit(None).cast("bigint").alias("calls"), malformed_a.alias("malformed"))
+    malformed_b = counters_of(v, {c: f"$.{c}" for c in ("input_tokens", "input_cached_tokens", "output_tokens", "num_model_requests")})["malformed"]
+    return r.select(F.timestamp_seconds(F.try_variant_get("b", "$.start_time", "bigint")).alias("ts"), F.try_variant_get(v, "$.model", "string").alias("model"), counter(v, "$.input_tokens").alias("input"), F.lit(None).cast("bigint").alias("cache_write"), counter(v, "$.input_cached_tokens").alias("cached"), counter(v, "$.output_tokens").alias("output"), counter(v, "$.num_model_requests").alias("calls"), malformed_b.alias("malformed"))
 
 
 def read_cost_pages(spark: SparkSession, path: str) -> DataFrame:
