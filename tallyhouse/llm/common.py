@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -30,6 +30,20 @@ _ODD = U64(0x9E3779B97F4A7C15)
 _BASE = U64(0xD6E8FEB86659FD93)
 
 
+#: How the tables that a Python worker keeps from task to task are dropped, by operator.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    """Say that this worker now keeps tables for operator ``name``; those of other operators go.
+
+    Workers outlive a stage. Without this the tables of one stage of a pipeline stay while the next fills its own.
+    """
+    for other in [n for n in _kept if n != name]:
+        _kept.pop(other)()
+    _kept[name] = drop
+
+
 def prepare(spark: SparkSession) -> None:
     """Bound what Spark hands to a Python worker at once, and let local workers find this package."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

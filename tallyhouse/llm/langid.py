@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyhouse.llm.common import U64, blocks, mix, stored, utf8
+from tallyhouse.llm.common import U64, blocks, keeps, mix, stored, utf8
 
 UNKNOWN = "und"
 
@@ -178,6 +178,7 @@ def identify_languages(docs: DataFrame, model: LanguageFilter, text: str = "text
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("langid", lambda: None)
         m = shared.value
         for batch in batches:
             texts = utf8(batch.column(text))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import stored, utf8
+from tallyhouse.llm.common import keeps, stored, utf8
 
 #: What a chunk may not hold to be lower-cased and cut here. Chunks end at blanks, tabs and line ends only;
 #: whatever else a tokenizer takes as white space stays inside a chunk.
@@ -50,20 +50,30 @@ class PackParams:
     group_pieces: int = 200_000
 
 
+#: Bytes of the tables of words and of chunks that a worker keeps, and the longest text that gets an entry.
+WORD_BYTES, CHUNK_BYTES, LONG = 80 << 20, 112 << 20, 256
+#: What an entry takes beside its text and its ids.
+_ENTRY = 190
+
+
 class _Table(dict):
-    """A dict that makes and keeps a missing key's value; keys not asked for while half of ``most`` came in anew go."""
+    """A dict that makes and keeps a missing key's value, at most ``most`` bytes of them; keys not asked for while half
+    of that came in anew go. Long keys are made each time."""
 
     def __init__(self, make: Callable[[str], bytes], most: int) -> None:
         super().__init__()
-        self.make, self.half, self.older = make, most // 2, {}
+        self.make, self.half, self.held, self.older = make, most // 2, 0, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.half:
-            self.older = dict(self)
+            if len(key) > LONG:
+                return value
+        if self.held >= self.half:
+            self.older, self.held = dict(self), 0
             self.clear()
+        self.held += _ENTRY + len(key) + len(value)
         self[key] = value
         return value
 
@@ -71,13 +81,13 @@ class _Table(dict):
 class ChunkTokenizer:
     """Token ids of whole texts by a lower-casing byte-level BPE that drops white space, a distinct chunk at a time.
 
-    Chunks between blanks and their words are encoded once and remembered, at most ``most`` words. Texts of Latin
+    Chunks between blanks and their words are encoded once and remembered, within WORD_BYTES and CHUNK_BYTES. Texts of Latin
     letters and printable ASCII, whose normal form is just their lower case, go word by word to the
     tokenizer's BPE model, cut by the tokenizer's own pattern; all others, and texts that may hold a
     special token, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, word_bytes: int = WORD_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -90,7 +100,7 @@ class ChunkTokenizer:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.alphabet = {b: b if b in own else next(rest) for b in range(256)}
-        self.known, self.chunks = _Table(self._word, most), _Table(self._chunk, most + most // 2)
+        self.known, self.chunks = _Table(self._word, word_bytes), _Table(self._chunk, chunk_bytes)
 
     def _word(self, word: str) -> bytes:
         text = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
@@ -129,6 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer: Callable[[], ChunkTokenizer], end_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("packing", shared_tokenizer.cache_clear)
         encoder, end, step = tokenizer(), np.array([end_id], "<u4").tobytes(), 4 * most
         for batch in batches:
             texts = [t.decode("utf-8", "replace") for t in utf8(batch.column("text"))]

@@ -22,20 +22,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyhouse.llm.common import stored, table_bytes, utf8
+from tallyhouse.llm.common import keeps, stored, table_bytes, utf8
 
 MARK = "▁"
 _WORDS = re.compile(" *[^ ]+| +")
 #: Distinct words that a counting task holds before it hands its counts on.
 HELD = 500_000
+#: Longer words are rare (text without blanks): they get no entry in any table and are segmented where they stand.
+LONG = 64
+#: Bytes of the rare words that a worker remembers, and what an entry takes beside its texts.
+RARE_BYTES, _ENTRY = 96 << 20, 300
 #: Most bytes of the table that is sent to every task.
 TABLE_BYTES = 128 << 20
 
 
 class ChunkPieces:
-    """Exact encode and decode of whole texts for a model of marked words; ``most``: rare chunks remembered."""
+    """Exact encode and decode of whole texts for a model of marked words; ``most``: bytes of rare chunks remembered."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = RARE_BYTES) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -43,6 +47,7 @@ class ChunkPieces:
         # a lone blank has no text behind the model's own marker, so encode() would drop it
         self.blank = {" ": (np.array([self.model.piece_to_id(MARK)], "<u4").tobytes(), " ")}
         self.known: dict[str, tuple[bytes, str]] = dict(self.blank)
+        self.held = 0
         self.separable = not any(MARK in self.model.id_to_piece(i).lstrip(MARK) for i in range(len(self.model)))
 
     def chunks(self, text: str) -> list[str]:
@@ -70,15 +75,19 @@ class ChunkPieces:
         table = table or {}
         chunks = [self.chunks(t) for t in texts]
         rare = {c for one in chunks for c in one if c not in table}
-        new = [c for c in rare if c not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = dict(self.blank)
-            new = [c for c in rare if c not in self.known]
-        self.known.update((c, (i, b)) for c, i, b in self.segment(new))
+        if self.held > self.most:
+            self.known, self.held = dict(self.blank), 0
+        once = {}  # long chunks are forgotten with this batch
+        for c, i, b in self.segment([c for c in rare if c not in self.known]):
+            if len(c) > LONG:
+                once[c] = (i, b)
+            else:
+                self.known[c] = (i, b)
+                self.held += _ENTRY + 2 * len(c) + len(i)
         known, get = self.known, table.get
         out = []
         for one in chunks:
-            found = [get(c) or known[c] for c in one]
+            found = [get(c) or known.get(c) or once[c] for c in one]
             out.append((begin + b"".join([f[0] for f in found]) + end, "".join([f[1] for f in found])[1:]))
         return out
 
@@ -97,6 +106,7 @@ def chunk_table(docs: DataFrame, model_path: str, most: int = 300_000, text: str
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("pieces", shared_pieces.cache_clear)
         coder, held = shared_pieces(model_path), Counter()
 
         def told() -> pa.RecordBatch:
@@ -108,7 +118,7 @@ def chunk_table(docs: DataFrame, model_path: str, most: int = 300_000, text: str
             return
         for batch in batches:
             for t in utf8(batch.column("text")):
-                held.update(coder.chunks(t.decode("utf-8", "replace")))
+                held.update([c for c in coder.chunks(t.decode("utf-8", "replace")) if len(c) <= LONG])
                 if len(held) > HELD:
                     yield told()
         yield told()
@@ -140,6 +150,7 @@ def _coded(docs: DataFrame, model_path: str, text: str, made: Callable[[list[tup
     source = docs.select(*keep, F.col(text).alias("_piece_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps("pieces", shared_pieces.cache_clear)
         coder = shared_pieces(model_path)
         for batch in batches:
             found = coder.encode([t.decode("utf-8", "replace") for t in utf8(batch.column("_piece_text"))], shared.value)

@@ -260,7 +260,7 @@ def test_tokenizers_on_any_text(text):
     assert ids == np.array(want, "<u4").tobytes() and back == chunks.model.decode(want)
 
 
-CODERS = (packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"), most=50), pieces.ChunkPieces(public_tokenizers.path("piece_bpe_32k.model"), most=50))
+CODERS = (packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"), word_bytes=12_000, chunk_bytes=12_000), pieces.ChunkPieces(public_tokenizers.path("piece_bpe_32k.model"), most=20_000))
 
 
 def test_piece_digests(llm, texts):

@@ -9,8 +9,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import chat, langid, lm, neardup, packing, pieces, quality, queries, secrets, toxicity
-from tallyhouse.operators import ledger
-from tallyhouse.plans import registry
 
 
 def test_near_copies_with_unequal_repeat_counts(llm):
