@@ -54,31 +54,44 @@ def response_tokens(prompt: Column, completion: Column, total: Column) -> tuple[
     return F.greatest(parts, F.coalesce(total, parts)), F.coalesce(total < parts, F.lit(False))
 
 
-def source_of(model: Column, provider: Column) -> Column:
-    """Local models by family, hosted ones by provider."""
-    m = F.lower(model)
-    family = F.when(m.rlike("llama"), "local_llama").when(m.rlike("qwen"), "local_qwen").when(m.rlike("mistral|mixtral"), "local_mistral").when(m.rlike("gemma"), "local_gemma").otherwise("local_other")
-    return F.when(F.lower(provider).isin("ollama", "local"), family).otherwise(F.concat(F.lit("hosted_"), slug(provider, "_")))
+# How a local model's name begins, and the source of its family; and the providers that run models locally.
+FAMILIES = (("qwen", "qwen_local"), ("gemma", "gemma_local"), ("llama", "llama_local"), ("deepseek", "deepseek_local"), ("gpt[-_]?oss", "gpt_oss"))
+LOCAL_PROVIDERS = ("ollama", "lmstudio", "mlx", "llamacpp")
 
 
-# Pattern of a saved configuration's whole name, and the model it stands for.
-CONFIG_MODELS = (
-    (r"^(anthropic - |claude )?opus 4\.6$", "claude-opus-4-6"),
-    (r"^(anthropic - |claude )?opus 4\.5$", "claude-opus-4-5"),
-    (r"^(anthropic - |claude )?sonnet 4\.6$", "claude-sonnet-4-6"),
-    (r"^(anthropic - |claude )?sonnet 4\.5$", "claude-sonnet-4-5"),
-    (r"^gemini 3\.1 pro preview$", "gemini-3.1-pro-preview"),
-    (r"^gemini 3( pro preview)?$", "gemini-3-pro-preview"),
-    (r"^gemini flash$", "gemini-3-flash-preview"),
-)
+def local_source(model: Column, provider: Column) -> Column:
+    """Source of a local model: its family's, else its own name with ``_local``; of an unknown provider the provider's id."""
+    own = F.when(F.lower(provider).isin(*LOCAL_PROVIDERS), F.concat(slug(model, "_"), F.lit("_local"))).otherwise(F.coalesce(slug(provider, "_"), slug(model, "_")))
+    for pattern, source in reversed(FAMILIES):
+        own = F.when(F.lower(model).rlike(f"^{pattern}"), source).otherwise(own)
+    return own
+
+
+def source_of(model: Column, provider: Column, prefix: str = "hosted_") -> Column:
+    """Local models by family or name, hosted ones by provider; without a provider a model is local."""
+    named = F.coalesce(F.nullif(provider, F.lit("")), F.lit(LOCAL_PROVIDERS[0]))
+    return F.when(F.lower(named).isin(*LOCAL_PROVIDERS), local_source(model, named)).otherwise(F.concat(F.lit(prefix), slug(named, "_")))
+
+
+# The whole names of saved configurations, and the model each stands for.
+CONFIG_MODELS = {
+    "opus 4.6": "claude-opus-4-6", "anthropic - opus 4.6": "claude-opus-4-6", "claude opus 4.6": "claude-opus-4-6",
+    "opus 4.5": "claude-opus-4-5", "anthropic - opus 4.5": "claude-opus-4-5", "claude opus 4.5": "claude-opus-4-5",
+    "sonnet 4.6": "claude-sonnet-4-6", "anthropic - sonnet 4.6": "claude-sonnet-4-6", "claude sonnet 4.6": "claude-sonnet-4-6",
+    "sonnet 4.5": "claude-sonnet-4-5", "anthropic - sonnet 4.5": "claude-sonnet-4-5", "claude sonnet 4.5": "claude-sonnet-4-5",
+    "gemini 3.1 pro preview": "gemini-3.1-pro-preview", "gemini 3": "gemini-3-pro-preview", "gemini 3 pro preview": "gemini-3-pro-preview",
+    "gemini flash": "gemini-3-flash-preview",
+}
+
+
+def looked_up(key: Column, table: dict[str, str]) -> Column:
+    """The value of ``table`` for a key; null for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
 def model_of_config(name: Column) -> Column:
     """Model that a configuration's whole name stands for; an unknown name gives null, not a guess."""
-    known, out = F.lower(F.trim(name)), F.lit(None).cast("string")
-    for pattern, model in CONFIG_MODELS:
-        out = F.when(known.rlike(pattern), model).otherwise(out)
-    return out
+    return looked_up(F.lower(F.trim(name)), CONFIG_MODELS)
 
 
 def compatible_tokens(prompt: Column, completion: Column, nested: Column, flat: Column) -> Column:
@@ -103,8 +116,15 @@ def slug(text: Column, joiner: str = "-") -> Column:
 
 
 def origin_kind(origin: Column) -> Column:
-    """machine, account or unattributed."""
-    return F.when(origin.startswith("machine/"), "machine").when(origin.startswith("account/"), "account").otherwise("unattributed")
+    """account for ``account/...``, unattributed for null or that word, and machine for everything else."""
+    return F.when(origin.startswith("account/"), "account").when(F.coalesce(origin, F.lit("unattributed")) == "unattributed", "unattributed").otherwise("machine")
+
+
+def origin_parts(origin: Column) -> Column:
+    """kind, machine and profile of an origin ``machine/profile``; an account has neither, a bare machine no profile."""
+    kind, parts = origin_kind(origin), F.split(origin, "/")
+    machine, profile = F.get(parts, F.lit(0)), F.nullif(F.get(parts, F.lit(1)), F.lit(""))
+    return F.struct(kind.alias("kind"), F.when(kind == "machine", machine).alias("machine"), F.when(kind == "machine", profile).alias("profile"))
 
 
 def is_calendar_date(text: Column) -> Column:
@@ -118,6 +138,12 @@ def to_instant(number: Column) -> Column:
     return F.when(number > 1e10, F.timestamp_millis(number.cast("bigint"))).otherwise(F.timestamp_seconds(number))
 
 
+def any_instant(text: Column) -> Column:
+    """A timestamp from text: seconds or milliseconds since the epoch, or a date with or without a time; null for others."""
+    number = F.try_to_number(F.when(text.rlike(r"^[0-9]{1,15}(\.[0-9]{1,6})?$"), text), F.lit("999999999999999.999999")).cast("double")
+    return F.when(number.isNotNull(), to_instant(number)).otherwise(F.try_to_timestamp(text))
+
+
 def request_key(text: Column) -> Column:
     """One-way key of a request identity."""
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
@@ -134,9 +160,10 @@ def js_round(x: Column) -> Column:
 
 
 def format_tokens(n: Column) -> Column:
-    """1.2M, 3.4K or the plain number."""
-    tenth = lambda d: F.concat(F.floor(n * 10 / d / 10).cast("string"), F.lit("."), (F.floor(n * 10 / d) % 10).cast("string"))
-    return F.when(n >= 1_000_000, F.concat(tenth(1_000_000), F.lit("M"))).when(n >= 1_000, F.concat(tenth(1_000), F.lit("K"))).otherwise(n.cast("string"))
+    """1.2M from a million on, 3K from a thousand on, else the plain number; halves go up."""
+    tenths = js_round(n * 10 / 1_000_000).cast("bigint")
+    million = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("M"))
+    return F.when(n >= 1_000_000, million).when(n >= 1_000, F.concat(js_round(n / 1_000).cast("bigint").cast("string"), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def share_text(value: Column, total: Column) -> Column:
@@ -150,9 +177,20 @@ def delta_percent(now: Column, before: Column) -> Column:
     return js_round(100.0 * (now - before) / F.nullif(before, F.lit(0))).cast("bigint")
 
 
+# Labels of known sources.
+SOURCE_LABELS = {
+    "chatgpt": "ChatGPT", "claude_api": "Claude API", "claude_chat": "Claude Chat", "claude_code": "Claude Code", "claude_cowork": "Claude Cowork", "claude_design": "Claude Design", "cline": "Cline", "codex": "Codex",
+    "copilot_cli": "Copilot CLI", "cursor": "Cursor", "deepseek_api": "DeepSeek API", "deepseek_local": "DeepSeek local", "gemini": "Gemini", "gemini_cli": "Gemini CLI", "gemma_local": "Gemma local", "gpt_oss": "GPT-OSS", "grok": "Grok",
+    "groq_api": "Groq API", "kilo": "Kilo Code", "llama_local": "Llama local", "local_deepseek": "DeepSeek local", "local_gemma": "Gemma local", "local_llama": "Llama local", "local_qwen": "Qwen local", "mistral_api": "Mistral API",
+    "openai_api": "OpenAI API", "openrouter_api": "OpenRouter API", "perplexity": "Perplexity", "perplexity_api": "Perplexity API", "perplexity_chat": "Perplexity Chat", "qwen_code": "Qwen Code", "qwen_local": "Qwen local",
+    "roo_code": "Roo Code", "snapdev": "Snapdev", "together_api": "Together API", "typesafe_api": "TypeSafe API", "xai_api": "xAI API", "zed_agent": "Zed agent",
+}
+
+
 def source_label(source: Column) -> Column:
-    """A readable label: title case of the id."""
-    return F.initcap(F.regexp_replace(source, "_", " "))
+    """The label of a known source, else its id with each part's first letter in upper case."""
+    first = lambda part: F.concat(F.upper(F.substring(part, 1, 1)), F.substring(part, 2, 1 << 20))
+    return F.coalesce(looked_up(source, SOURCE_LABELS), F.array_join(F.transform(F.split(source, "_"), first), " "))
 
 
 def authority_rank(authority: Column) -> Column:

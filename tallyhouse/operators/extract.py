@@ -171,11 +171,15 @@ def since(rows: DataFrame, first: str | None) -> DataFrame:
 
 
 def report_receipts(results: DataFrame) -> DataFrame:
-    """Daily receipts of a usage report per account: endpoints and models as sorted sets."""
+    """Daily receipts of a usage report per account: endpoints and models as sorted sets.
+
+    Tokens are input, cache writes and output; calls are summed as reported (null where no result reports any), never counted
+    from rows.
+    """
     as_set = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    tokens = F.coalesce("input", F.lit(0)) + F.coalesce("cache_write", F.lit(0)) + F.coalesce("output", F.lit(0))
     return results.groupBy("day", "account").agg(
-        F.sum(F.col("input") + F.col("output")).alias("tokens"), F.count("*").alias("calls"), as_set("source").alias("models"), as_set("origin").alias("endpoints"),
-        sum_if_complete(F.col("cached")).alias("cached_input_tokens"),
+        F.sum(tokens).alias("tokens"), F.sum("calls").alias("calls"), as_set("source").alias("models"), as_set("origin").alias("endpoints"), sum_if_complete(F.col("cached")).alias("cached_input_tokens"),
     )
 
 

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rule name and pattern; each runs alike in Java's and RE2's engines.
+# Rule name and pattern. Word boundaries are written out, as engines differ on letters beyond ASCII.
 TEXT_RULES = (
-    ("absolute_path", r"/(Users|home)/[A-Za-z0-9._-]+"),
-    ("authorization", r"(?i)authorization\s*:"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-    ("markup", r"<[a-zA-Z/][^>]*>"),
-    ("secret", r"(sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,}"),
-    ("url", r"https?://"),
+    ("absolute_path", r"(?i)(/(users|home)/[^/\s]+|[a-z]:\\users\\[^\\\s]+)"),
+    ("authorization", r"(?i)(^|[^a-z0-9_])bearer\s+([^\s$]|\$([^{]|$))"),
+    ("email", r"[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}([^A-Za-z0-9_]|$)"),
+    ("markup", r"(?i)</?[a-z][^>]*>"),
+    ("secret", r"(^|[^A-Za-z0-9_])(sk-|pplx-|ghp_|github_pat_)[A-Za-z0-9_-]{15,}[A-Za-z0-9_]([^A-Za-z0-9_]|$)"),
+    ("url", r"(?i)(https?|file)://"),
 )
+#: A model marker of synthetic events, which is no markup.
+SYNTHETIC = "<synthetic>"
 
 
 def privacy_findings(text: Column) -> Column:
-    """Names of the rules that a text breaks, sorted and joined by commas."""
-    return F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(text.rlike(p), F.lit(False)), n) for n, p in TEXT_RULES])), ",")
+    """Names of the rules that a text breaks, sorted and joined by commas. A placeholder behind ``Bearer`` names a variable."""
+    plain = F.replace(text, F.lit(SYNTHETIC), F.lit("synthetic"))
+    return F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(plain.rlike(p), F.lit(False)), n) for n, p in TEXT_RULES])), ",")
 
 
 def receipt_privacy(receipts: DataFrame, allowed: list[str], label_limit: int = 180, provenance_limit: int = 500) -> DataFrame:

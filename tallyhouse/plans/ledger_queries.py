@@ -23,11 +23,21 @@ add("p8_horizon", ["receipts"], "select day, source, scope, origin, tokens from
 
 
 def _find(column):
-    return "concat_ws(',', " + ", ".join(f"case when regexp_matches({column}, '{p}') then '{n}' end" for n, p in privacy.TEXT_RULES) + ")"
+    rules = (
+        ("absolute_path", r"(?i)/(Users|home)/[^/\s]+|(?i)[A-Z]:\\Users\\[^\\\s]+"), ("authorization", r"(?i)\bBearer\s+([^\s$]|\$[^{]|\$$)"), ("email", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
+        ("markup", r"(?i)</?[a-z][^>]*>"), ("secret", r"\b(sk-|pplx-|ghp_|github_pat_)[A-Za-z0-9_-]{16,}\b"), ("url", r"(?i)(https?|file)://"),
+    )
+    plain = f"replace({column}, '<synthetic>', 'synthetic')"
+    return "concat_ws(',', " + ", ".join(f"case when regexp_matches({plain}, '{p}') then '{n}' end" for n, p in rules) + ")"
 
 
 add_table("p14_privacy", ["documents", "pages"], f"select 'd' || doc_id as id, {_find('text')} as findings from documents union all select 'p' || page_id, {_find('html')} from pages")(
     lambda d, p: d.select(F.concat(F.lit("d"), "doc_id").alias("id"), privacy.privacy_findings(F.col("text")).alias("findings")).union(p.select(F.concat(F.lit("p"), "page_id"), privacy.privacy_findings(F.col("html")))))
+#: Texts at the edges of the rules, by doc_id modulo 11, in SQL that both engines run.
+ODD = ("'mail ' || doc_id || '@b.co'", "'Bearer ${key}'", "'bearer abc' || doc_id", "'C:' || chr(92) || 'Users' || chr(92) || 'me'", "'file://x'", "'pplx-abcdefghijklmnop' || doc_id", "'<synthetic> only'", "'xsk-abcdefghijklmnopq'", "'a@b.co_x /home/'", "'sk-abcdefghijklmno-'")
+ODD_SQL = "case doc_id % 11 " + " ".join(f"when {k} then {v}" for k, v in enumerate(ODD)) + " else 'plain' end"
+add_table("p14_odd_texts", ["documents"], f"select doc_id, {_find('t')} as findings from (select doc_id, {ODD_SQL} as t from documents)")(
+    lambda d: d.select("doc_id", privacy.privacy_findings(F.expr(ODD_SQL)).alias("findings")))
 add("p16_labels", ["daily"], "select day, source, case when driver is null then 'missing' when driver not in ('feature', 'bugfix', 'unknown', 'unreviewed') then 'unknown_label' else 'unreviewed' end as why from daily where driver is null or driver = 'unreviewed'")(
     lambda d: privacy.label_errors(d, ["feature", "bugfix", "unknown", "unreviewed"], True).select("day", "source", "why"))
 

@@ -46,8 +46,9 @@ add("f3_convention", ["calls"], "select source, cast(sum(case when cached > 0 th
     lambda c: c.groupBy("source").agg(F.sum(u.table_tokens(F.col("input"), F.col("output"), F.lit(None).cast("bigint"), F.col("cached"), "inclusive")).alias("inclusive"), F.count_if(u.table_tokens(F.col("input"), F.col("output"), F.lit(None).cast("bigint"), F.col("cached"), None).isNull()).alias("undecided")))
 add("f4_tie_break", ["calls"], "select source, cast(sum(case when cache_write = 0 and cached = 0 then input + output when input < cached + cache_write then input + cache_write + output else greatest(0, input - cached) + output end) as bigint) as tokens from calls group by 1")(
     lambda c: c.groupBy("source").agg(F.sum(u.task_tokens(F.col("input"), F.col("output"), F.col("cache_write"), F.col("cached"), "inclusive")).alias("tokens")))
-add_table("f5_model_source", ["part"], "select case when p_partkey % 3 = 0 then case when lower(p_name) like '%llama%' then 'local_llama' when lower(p_name) like '%qwen%' then 'local_qwen' when regexp_matches(lower(p_name), 'mistral|mixtral') then 'local_mistral' when lower(p_name) like '%gemma%' then 'local_gemma' else 'local_other' end else 'hosted_' || regexp_replace(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') end as source, count(*) as n from part group by 1")(
-    lambda p: p.groupBy(u.source_of(F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, "local").otherwise(F.col("p_brand"))).alias("source")).agg(F.count("*").alias("n")))
+LOCAL = "case when regexp_matches(m, '^qwen') then 'qwen_local' when regexp_matches(m, '^gemma') then 'gemma_local' when regexp_matches(m, '^llama') then 'llama_local' when regexp_matches(m, '^deepseek') then 'deepseek_local' when regexp_matches(m, '^gpt[-_]?oss') then 'gpt_oss' else trim(regexp_replace(m, '[^a-z0-9]+', '_', 'g'), '_') || '_local' end"
+add_table("f5_model_source", ["part"], f"select case when p_partkey % 3 < 2 then {LOCAL} else 'hosted_' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') end as source, count(*) as n from (select *, case p_partkey % 7 when 0 then 'qwen3:8b' when 1 then 'gemma-2' when 2 then 'llama3' when 3 then 'deepseek r1' when 4 then 'gpt-oss:20b' when 5 then 'my llama' else lower(p_name) end as m from part) group by 1")(
+    lambda p: p.groupBy(u.source_of(F.coalesce(F.try_element_at(F.array(*map(F.lit, ("Qwen3:8b", "Gemma-2", "LLAMA3", "DeepSeek R1", "gpt-oss:20b", "my llama"))), (F.col("p_partkey") % 7 + 1).cast("int")), F.col("p_name")), F.when(F.col("p_partkey") % 3 == 0, "LMStudio").when(F.col("p_partkey") % 3 == 2, F.col("p_brand"))).alias("source")).agg(F.count("*").alias("n")))
 add("f7_response_total", ["calls"], "select source, cast(sum(greatest(input + output, cached + output)) as bigint) as tokens, count(case when cached + output < input + output then 1 end) as errors from calls group by 1")(
     lambda c: c.groupBy("source").agg(F.sum(u.response_tokens(F.col("input"), F.col("output"), F.col("cached") + F.col("output"))[0]).alias("tokens"), F.count_if(u.response_tokens(F.col("input"), F.col("output"), F.col("cached") + F.col("output"))[1]).alias("errors")))
 add_table("f11_utf16", ["documents"], "select doc_id, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) as units from documents")(
@@ -58,13 +59,19 @@ add_table("f14_slug", ["customer"], "select c_custkey, regexp_replace(regexp_rep
     lambda c: c.select("c_custkey", u.slug(F.col("c_name")).alias("slug")))
 add("f16_date", ["receipts"], "select count(*) as n, count(case when try_cast(t as date) is not null then 1 end) as real_days from (select case when tokens % 3 = 0 then substr(cast(day as varchar), 1, 8) || '31' else cast(day as varchar) end as t from receipts)")(
     lambda r: r.select(F.when(F.col("tokens") % 3 == 0, F.concat(F.substring(F.col("day").cast("string"), 1, 8), F.lit("31"))).otherwise(F.col("day").cast("string")).alias("t")).agg(F.count("*").alias("n"), F.count_if(u.is_calendar_date(F.col("t"))).alias("real_days")))
-TENTH = "cast(t * 10 // {0} // 10 as varchar) || '.' || cast((t * 10 // {0}) % 10 as varchar)"
-add("f18_format", ["daily"], f"select source, t as tokens, case when t >= 1000000 then {TENTH.format(1000000)} || 'M' when t >= 1000 then {TENTH.format(1000)} || 'K' else cast(t as varchar) end as text, case when p = 0 then '0%' when p < 1 then '<1%' else cast(cast(floor(p + 0.5) as bigint) as varchar) || '%' end as share from (select source, t, 100.0 * t / sum(t) over () as p from (select source, cast(sum(tokens) as bigint) t from daily group by 1))")(
+TOKENS = "case when t >= 1000000 then cast(cast(floor(t * 10 / 1000000 + 0.5) as bigint) // 10 as varchar) || '.' || cast(cast(floor(t * 10 / 1000000 + 0.5) as bigint) % 10 as varchar) || 'M' when t >= 1000 then cast(cast(floor(t / 1000 + 0.5) as bigint) as varchar) || 'K' else cast(t as varchar) end"
+add("f18_format", ["daily"], f"select source, t as tokens, {TOKENS} as text, case when p = 0 then '0%' when p < 1 then '<1%' else cast(cast(floor(p + 0.5) as bigint) as varchar) || '%' end as share from (select source, t, 100.0 * t / sum(t) over () as p from (select source, cast(sum(tokens) as bigint) t from daily group by 1))")(
     lambda d: (lambda s: s.crossJoin(F.broadcast(s.agg(F.sum("tokens").alias("all_tokens")))).select("source", "tokens", u.format_tokens(F.col("tokens")).alias("text"), u.share_text(F.col("tokens"), F.col("all_tokens")).alias("share")))(d.groupBy("source").agg(F.sum("tokens").alias("tokens"))))
+add("f18_small_numbers", ["calls"], f"select request_id, origin, t as tokens, {TOKENS} as text from (select distinct request_id, origin, case when input % 3 = 0 then input else output end as t from calls)")(
+    lambda c: (lambda t: c.select("request_id", "origin", t.alias("tokens"), u.format_tokens(t).alias("text")).distinct())(F.when(F.col("input") % 3 == 0, F.col("input")).otherwise(F.col("output"))))
+add("f15_origin_parts", ["receipts"], "select distinct o as origin, case when o is null then 'unattributed' when starts_with(o, 'account/') then 'account' else 'machine' end as kind, case when not starts_with(o, 'account/') then split_part(o, '/', 1) end as machine, case when not starts_with(o, 'account/') then nullif(split_part(o, '/', 2), '') end as profile from (select case when tokens % 4 = 0 then 'account/' || source when tokens % 4 = 1 then source else origin end as o from receipts)")(
+    lambda r: (lambda o: r.select(o.alias("origin"), u.origin_parts(o).alias("p")).select("origin", "p.*").distinct())(F.when(F.col("tokens") % 4 == 0, F.concat(F.lit("account/"), "source")).when(F.col("tokens") % 4 == 1, F.col("source")).otherwise(F.col("origin"))))
+add("f17_texts", ["counters"], "select event_id, cast(floor(epoch(ts)) as bigint) as seconds from (select event_id, case when k % 4 < 3 then ts end as ts from counters)")(
+    lambda c: c.select("event_id", F.unix_timestamp(u.any_instant(F.when(F.col("k") % 4 == 0, F.unix_timestamp("ts").cast("string")).when(F.col("k") % 4 == 1, F.unix_millis("ts").cast("string")).when(F.col("k") % 4 == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("no time"))).alias("seconds")))
 add_table("f20_round", ["lineitem"], "select cast(floor((l_discount - 0.05) * 10 + 0.5) as bigint) as r, count(*) as n from lineitem group by 1")(
     lambda t: t.groupBy(u.js_round((F.col("l_discount") - 0.05) * 10).cast("bigint").alias("r")).agg(F.count("*").alias("n")))
-add("f24_label", ["calls"], "select distinct source, upper(substr(split_part(source, '_', 1), 1, 1)) || substr(split_part(source, '_', 1), 2) || ' ' || upper(split_part(source, '_', 2)) as label from calls")(
-    lambda c: c.select("source").distinct().select("source", u.source_label(F.col("source")).alias("label")))
+add("f24_label", ["calls"], "select distinct s as source, case s when 'openai_api' then 'OpenAI API' when 'gpt_oss' then 'GPT-OSS' when 'zed_agent' then 'Zed agent' else array_to_string(list_transform(string_split(s, '_'), lambda p: upper(p[1]) || p[2:]), ' ') end as label from (select case input % 7 when 0 then 'openai_api' when 1 then 'gpt_oss' when 2 then 'zed_agent' when 3 then 'myNew_thing' else source end as s from calls)")(
+    lambda c: c.select(F.coalesce(F.try_element_at(F.array(*map(F.lit, ("openai_api", "gpt_oss", "zed_agent", "myNew_thing"))), (F.col("input") % 7 + 1).cast("int")), F.col("source")).alias("source")).distinct().withColumn("label", u.source_label(F.col("source"))))
 
 add("w1_latest", ["calls"], f", {LATEST} select source, request_id, day, input, output, cached from latest")(
     lambda c: extract.latest_per_request(c).select("source", "request_id", "day", "input", "output", "cached"))
@@ -120,7 +127,8 @@ add("f8_compatible", ["calls"], "select source, cast(sum(case when c <= input th
     lambda c: (lambda t: c.groupBy("source").agg(F.sum(t).alias("tokens"), F.count_if(t.isNull()).alias("refused")))(u.compatible_tokens(F.col("input"), F.col("output"), F.when(F.col("cached") % 2 == 0, F.col("cached")), F.when(F.col("cache_write") % 3 != 0, F.col("cache_write")))))
 add("f9_cache_writes", ["calls"], "select source, cast(sum(case when cached % 2 = 0 then cached + cache_write when cached % 3 = 0 then cache_write else 0 end) as bigint) as writes, count(case when cached % 2 = 0 or cached % 3 = 0 then 1 end) as reported from calls group by 1")(
     lambda c: (lambda w, told: c.groupBy("source").agg(F.sum(w).alias("writes"), F.count_if(told).alias("reported")))(*u.cache_writes(F.when(F.col("cached") % 2 == 0, F.create_map(F.lit("a"), F.col("cached"), F.lit("b"), F.col("cache_write"), F.lit("c"), F.lit(None).cast("bigint"))), F.when(F.col("cached") % 3 == 0, F.col("cache_write")))))
-add("a15_report_daily", ["calls"], "select day, account, cast(sum(input + output) as bigint) as tokens, count(*) as calls, array_to_string(list_sort(list(distinct source)), ',') as models, array_to_string(list_sort(list(distinct origin)), ',') as endpoints, cast(sum(cached) as bigint) as cached_input_tokens from calls group by 1, 2")(extract.report_receipts)
+add("a15_report_daily", ["calls"], "select day, account, cast(sum(input + cache_write + output) as bigint) as tokens, cast(sum(case when cached % 5 = 0 then 2 end) as bigint) as calls, array_to_string(list_sort(list(distinct source)), ',') as models, array_to_string(list_sort(list(distinct origin)), ',') as endpoints, cast(sum(cached) as bigint) as cached_input_tokens from calls group by 1, 2")(
+    lambda c: extract.report_receipts(c.withColumn("calls", F.when(F.col("cached") % 5 == 0, 2).cast("bigint"))))
 add("a16_months", ["daily"], "select cast(date_trunc('month', day) as date) as month, count(distinct day) as days, cast(sum(tokens) as bigint) as tokens, min(day) as first_day, max(day) as last_day from daily group by 1")(extract.report_months)
 add("s9_ledger_join", ["calls"], "select c.source, coalesce(s.scope, 'none') as provider, count(*) as n, cast(sum(c.input) as bigint) as input from calls c left join (select distinct account, 'p' || account as scope from calls where account <> 'a2') s on c.account = s.account group by 1, 2")(
     lambda c: c.join(c.where("account <> 'a2'").select("account", F.concat(F.lit("p"), "account").alias("scope")).distinct(), "account", "left").groupBy("source", F.coalesce("scope", F.lit("none")).alias("provider")).agg(F.count("*").alias("n"), F.sum("input").alias("input")))
