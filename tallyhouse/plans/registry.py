@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_MODULES = ("usage_queries", "ledger_queries", "acceptance_queries", "evidence_queries", "receipt_queries", "source_queries", "landed_queries", "analytics_queries", "stream_queries")
+_MODULES = ("usage_queries", "ledger_queries", "acceptance_queries", "evidence_queries", "receipt_queries", "source_queries", "landed_queries", "analytics_queries", "panel_queries", "stream_queries")
 
 
 def register(name: str, query: Query, sql: str | None = None) -> None:
