@@ -227,7 +227,8 @@ class ImportPlan:
 def import_receipts(receipts: DataFrame, ledger: DataFrame, daily: DataFrame, as_of: str, window_start: str, settled: DataFrame | None = None, exclusions: DataFrame | None = None, horizon: int | None = None, corrections: DataFrame | None = None) -> ImportPlan:
     """The whole import as one plan: validation, cut-off, horizon, settled and excluded entries, snapshots, shared
     identities, acceptance, daily entries, and no decrease of an exact figure. The steps are tables in the shared
-    folder; the dataset and the ledger are not touched.
+    folder; the dataset and the ledger are not touched. This is the short form, for receipts whose identities fit in an array
+    and entries of tokens and calls; imports.plan_import is the whole one (histories, legacy entries, components, origins).
 
     ``receipts`` has the columns of this module and of validate_receipts, each receipt_id once.
     """
@@ -248,9 +249,10 @@ def import_receipts(receipts: DataFrame, ledger: DataFrame, daily: DataFrame, as
         report(rules.policy_overlap(settled, exclusions), "policy", F.lit("settled_and_excluded"))
     if settled is not None:
         report(rules.check_settled(daily, settled), "settled", F.col("why"))
-        rows = rules.drop_settled(rows, settled)
-    if exclusions is not None:
-        rows = rows.join(exclusions.select("day", "source").distinct(), ["day", "source"], "left_anti")
+        named = daily.select("day", "source", F.explode(F.map_keys("by_origin")).alias("origin")) if "by_origin" in daily.columns else daily.select("day", "source", F.lit(None).cast("string").alias("origin")).limit(0)
+        split = rules.split_settled(rows, settled, named)
+        report(split.where("state = 'foreign_origin'"), "settled", F.col("state"))
+        rows = split.where("state = 'kept'").drop("state")
     rows = stored(rows, "import")
     snapshots = stored(reconcile_snapshots(rows), "import")
     report(snapshots.where("errors <> ''"), "snapshot", F.col("errors"))
@@ -278,9 +280,15 @@ def import_receipts(receipts: DataFrame, ledger: DataFrame, daily: DataFrame, as
     rebuilt, mismatches = rebuild_entries(ledger, after, daily)
     rebuilt = stored(rebuilt, "import")
     report(mismatches, "ledger", F.col("why"))
+    gone = daily.select("day", "source").limit(0)
+    if exclusions is not None:  # what is excluded is the merged entry, and only with the very figures that were named
+        judged = stored(rules.apply_exclusions(rebuilt, exclusions), "import")
+        report(judged.where("state = 'mismatch'"), "exclusion", F.col("state"))
+        gone = judged.where("state = 'excluded'").select("day", "source")
+        rebuilt = rebuilt.join(gone, ["day", "source"], "left_anti")
     # what a stronger receipt replaced was held against it by accept_receipts; nothing else may fall
     replaced = ledger.join(outcomes.where("outcome = 'promoted'").select(F.col("entry").alias("receipt_id")), "receipt_id", "left_semi").select("day", "source").distinct()
-    lowered = exact_decreases(daily, rebuilt).join(replaced, ["day", "source"], "left_anti")
+    lowered = exact_decreases(daily, rebuilt).join(replaced.unionByName(gone), ["day", "source"], "left_anti")
     if corrections is not None:
         fixed = after.join(corrections.select("receipt_id"), "receipt_id", "left_semi").select("day", "source").distinct()
         lowered = lowered.join(fixed, ["day", "source"], "left_anti")

@@ -80,10 +80,10 @@ def test_whole_import(spark, tmp_path):
 def test_import_reports_every_kind_of_error(spark, tmp_path):
     ledger = whole(spark, [receipt("L1", "s1", ["a"]), receipt("L2", "s2", ["b"], source="other", tokens=7)]).withColumn("disposition", F.lit(None).cast("string"))
     daily = spark.createDataFrame([(D, "tool", 11, 2, "exact"), (D, "other", 7, 2, "exact")], "day date, source string, tokens long, calls long, fidelity string")
-    settled = spark.createDataFrame([(D, "other", 8)], "day date, source string, tokens long")
+    settled = spark.createDataFrame([(D, "other", 8, 2)], "day date, source string, tokens long, calls long")
     rows = [receipt("bad", "v", tokens=-1), receipt("future", "w", day=datetime.date(2025, 3, 1)), receipt("x1", "x", tokens=5, calls=9), receipt("x2", "x", tokens=9, calls=5), receipt("p1", "y", ["m", "n"]), receipt("p2", "z", ["n"]), receipt("c", "s1", ["a"], tokens=20, calls=1), receipt("u", "s3", ["q"], source="tool", tokens=3)]
-    plan = a.import_receipts(whole(spark, rows), ledger, daily, "2025-01-20", "2024-12-01", settled=settled, exclusions=settled.select("day", "source"))
+    plan = a.import_receipts(whole(spark, rows), ledger, daily, "2025-01-20", "2024-12-01", settled=settled, exclusions=settled)
     got = {(r.step, r.why) for r in plan.errors.collect()}
-    assert {("validate", "tokens"), ("window", "date"), ("snapshot", "crossing"), ("identity", "partial"), ("accept", "crossing"), ("policy", "settled_and_excluded"), ("settled", "changed"), ("ledger", "differ")} <= got
+    assert {("validate", "tokens"), ("window", "date"), ("snapshot", "crossing"), ("identity", "partial"), ("accept", "crossing"), ("policy", "settled_and_excluded"), ("settled", "changed"), ("exclusion", "mismatch"), ("ledger", "differ")} <= got
     with pytest.raises(ValueError):
         a.write_import(plan, str(tmp_path))
