@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tallyhouse.sources.scratch import shared_dir
 
@@ -71,6 +73,64 @@ def increments_stream(calls: DataFrame, keep: str | None = None) -> DataFrame:
     return rows.groupBy("session").applyInPandasWithState(step, "session long, event_id long, fresh boolean, d_k long", "k long", "append", timeout)
 
 
+class OrderedIncreases(StatefulProcessor):
+    """Increases of one session's counter, in order of time even where rows come late by less than the watermark's delay.
+
+    Rows wait in state until the watermark has passed them, so that nothing older can still come; then they are taken in order
+    of (ts, event_id) and the counter moves. A timer a waiting time does this. ``forget`` milliseconds after the latest row
+    that was taken, another timer clears the session; the next row begins afresh.
+    """
+
+    def __init__(self, forget: int) -> None:
+        self.forget = forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "k long, ms long")
+        self.waiting = handle.getListState("waiting", "ms long, event_id long, k long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))
+        ms = (new["ts"].astype("int64") // 1_000_000 if str(new["ts"].dtype).endswith("[ns]") else new["ts"].astype("datetime64[ms]").astype("int64")).tolist()
+        for one in zip(ms, new["event_id"].tolist(), new["k"].tolist(), strict=True):
+            self.waiting.appendValue(one)
+        for at in sorted(set(ms)):
+            self.handle.registerTimer(at + 1)
+        yield pd.DataFrame({"session": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "fresh": pd.Series(dtype=bool), "d_k": pd.Series(dtype="int64")})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        upto = expiredTimerInfo.getExpiryTimeInMs()
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in held if r[0] < upto], [r for r in held if r[0] >= upto]
+        out = []
+        last = self.last.get() if self.last.exists() else None
+        for ms, event_id, k in due:
+            fresh = last is None or k < last[0] or ms - last[1] > self.forget
+            out.append((key[0], event_id, fresh, k if fresh else k - last[0]))
+            last = (k, ms)
+        if due:
+            self.last.update(last)
+            self.handle.registerTimer(last[1] + self.forget)
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        elif last is not None and upto >= last[1] + self.forget:
+            self.last.clear()
+        yield pd.DataFrame(out, columns=["session", "event_id", "fresh", "d_k"]).astype({"session": "int64", "event_id": "int64", "fresh": bool, "d_k": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_increments(calls: DataFrame, delay: str = DELAY, forget_days: int = 90) -> DataFrame:
+    """Increases of every session's counter, each row once the watermark of ``delay`` has passed it (OrderedIncreases).
+
+    Rows later than the watermark are dropped, as in every append stream. The state store is RocksDB's, so that the waiting
+    rows of many sessions do not live in the heap.
+    """
+    calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = calls.select("session", "ts", "event_id", "k").withWatermark("ts", delay)
+    return rows.groupBy("session").transformWithStateInPandas(OrderedIncreases(forget_days * 86_400_000), "session long, event_id long, fresh boolean, d_k long", "append", "eventTime")
+
+
 def late_split(calls: DataFrame, as_of: str, days: int) -> DataFrame:
     """Each call with whether it is older than the horizon; nothing is dropped unseen."""
     return calls.withColumn("late", F.col("ts").cast("date") < F.date_sub(F.lit(as_of).cast("date"), days))
