@@ -1,8 +1,8 @@
 """Readers of usage logs and conversation exports.
 
 Lines are parsed as VARIANT, so that a counter that is missing, zero or malformed stays told apart: a value
-counts only if it is a whole number in the accepted range, anything else is malformed, and one malformed
-counter makes its source unknown.
+counts only if it is a whole number in the accepted range, anything else is malformed. Readers name the malformed paths
+of a row; ``lines.gate`` makes a source with one of them unknown.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.usage import SAFE, cache_writes
-from tallyhouse.sources.lines import SESSION, counters_of
+from tallyhouse.sources.lines import SESSION, counters_of, numbered_json
 
 RECEIPT_FIELDS = {
     "date": "string", "timezone": "string", "source": "string", "provider": "string", "surface": "string", "account_alias": "string", "origin": "string", "machine_alias": "string", "snapshot_key": "string",
@@ -39,17 +39,17 @@ def malformed(v: Column, path: str) -> Column:
 
 
 def json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, line, v): every line of text files, plain or compressed; v is null if it is not JSON."""
+    """(file, line, v): the text of every line that is not blank, of plain or compressed files; v is null if it is no JSON."""
     rows = spark.read.option("recursiveFileLookup", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
     return rows.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
 
 
 def read_receipts(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    """Receipts, and the lines that fail: not JSON, or with a malformed counter. Any of these fails an import.
+    """Receipts, and the lines that fail, with file and number: not JSON, or with a malformed counter. Any of these fails an import.
 
     Cost amounts are taken from the text, so that their digits stay as written.
     """
-    rows = json_lines(spark, paths)
+    rows = numbered_json(spark, paths).withColumnRenamed("value", "line")
     v = F.col("v")
     bad = v.isNull() | malformed(v, "$.tokens") | malformed(v, "$.calls")
     for c in COMPONENTS:
@@ -59,7 +59,7 @@ def read_receipts(spark: SparkSession, paths: str | list[str]) -> tuple[DataFram
         counter(v, "$.tokens").alias("tokens"), counter(v, "$.calls").alias("calls"), F.struct(*[counter(v, f"$.token_components.{c}").alias(c) for c in COMPONENTS]).alias("token_components"),
         F.nullif(F.regexp_extract("line", r'"amount"\s*:\s*"?(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)', 1), F.lit("")).alias("cost_amount"),
     )
-    return good, rows.where(bad).select("file", "line")
+    return good, rows.where(bad).select("file", "line_no", "line")
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -208,14 +208,30 @@ def read_usage_pages(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return r.select(F.timestamp_seconds(F.try_variant_get("b", "$.start_time", "bigint")).alias("ts"), F.try_variant_get(v, "$.model", "string").alias("model"), counter(v, "$.input_tokens").alias("input"), F.lit(None).cast("bigint").alias("cache_write"), counter(v, "$.input_cached_tokens").alias("cached"), counter(v, "$.output_tokens").alias("output"), counter(v, "$.num_model_requests").alias("calls"), malformed_b.alias("malformed"))
 
 
-def read_cost_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(day, amount, currency) of cost pages, one bucket a line: days with exactly one result, amount as written."""
+def read_cost_pages(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(day, amount, currency) of days with exactly one result, the amount's digits as written.
+
+    Without ``kind`` a line is one bucket. Pages hold buckets in ``data``: of shape ``a`` (starting_at, amount and currency) or
+    ``b`` (start_time in seconds, amount with value and currency). A page's amounts are read off its text in order and dealt
+    to its buckets by how many results each has; a page whose amounts are not as many as its results is left out.
+    """
     rows = json_lines(spark, path)
-    results = F.try_variant_get("v", "$.results", "array<variant>")
-    amount = F.regexp_extract("line", r'"(?:amount|value)"\s*:\s*"?(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)', 1)
-    r = F.get(results, F.lit(0))
-    currency = F.upper(F.coalesce(F.try_variant_get(r, "$.currency", "string"), F.try_variant_get(r, "$.amount.currency", "string")))
-    return rows.where(F.size(results) == 1).select(F.to_date(F.try_variant_get("v", "$.starting_at", "string")).alias("day"), amount.alias("amount"), currency.alias("currency"))
+    number = r'"?(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)'
+    money = lambda r: F.upper(F.coalesce(F.try_variant_get(r, "$.currency", "string"), F.try_variant_get(r, "$.amount.currency", "string")))
+    if kind is None:
+        results = F.try_variant_get("v", "$.results", "array<variant>")
+        amount = F.regexp_extract("line", r'"(?:amount|value)"\s*:\s*' + number, 1)
+        return rows.where(F.size(results) == 1).select(F.to_date(F.try_variant_get("v", "$.starting_at", "string")).alias("day"), amount.alias("amount"), money(F.get(results, F.lit(0))).alias("currency"))
+    field = "amount" if kind == "a" else "value"
+    every = F.regexp_extract_all("line", F.lit(rf'"{field}"\s*:\s*' + number), F.lit(1))
+    results_of = lambda b: F.try_variant_get(b, "$.results", "array<variant>")
+    pages = rows.select(every.alias("amounts"), F.try_variant_get("v", "$.data", "array<variant>").alias("data"))
+    pages = pages.withColumn("sizes", F.transform("data", lambda b: F.coalesce(F.size(results_of(b)), F.lit(0))))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    pages = pages.where(total(F.col("sizes")) == F.size("amounts")).select("amounts", "sizes", F.posexplode("data").alias("at", "b"))
+    one = pages.where(F.get("sizes", F.col("at")) == 1).withColumn("before", total(F.slice("sizes", F.lit(1), F.col("at"))))
+    start = F.to_date(F.try_variant_get("b", "$.starting_at", "string")) if kind == "a" else F.to_date(F.timestamp_seconds(F.try_variant_get("b", "$.start_time", "bigint")))
+    return one.select(start.alias("day"), F.get("amounts", F.col("before")).alias("amount"), money(F.get(results_of(F.col("b")), F.lit(0))).alias("currency"))
 
 
 def read_responses(rows: DataFrame, kind: str) -> DataFrame:
