@@ -25,6 +25,17 @@ add("w7_scanned_week", ["daily"], T + ", m as (select max(day) - cast(dayofweek(
     lambda d: a.scanned_week(d, "1998-08-03"))
 add("w8_weekly", ["daily"], T + ", w as (select distinct cast(date_trunc('week', cast(x as date)) as date) as week from range(date '1994-01-01', date '1995-12-31' + interval 1 day, interval 1 day) r(x)) select w.week, cast(sum(total) as bigint) as total from w left join t on cast(date_trunc('week', t.day) as date) = w.week and t.day between date '1994-01-01' and date '1995-12-31' group by 1")(
     lambda d: a.weekly_series(d, "1994-01-01", "1995-12-31"))
+
+
+def _bounds(d):
+    """First and last day of a table: one row, so that a series covers all of it."""
+    r = d.agg(F.min("day").cast("string").alias("a"), F.max("day").cast("string").alias("b")).first()
+    return r["a"], r["b"]
+
+
+DAYS = "b as (select min(day) as d0, max(day) as d1 from daily), c as (select cast(x as date) as day from b, range(d0, d1 + interval 1 day, interval 1 day) r(x))"
+add("w8_weekly_all", ["daily"], T + ", " + DAYS + ", w as (select distinct cast(date_trunc('week', day) as date) as week from c) select w.week, cast(sum(total) as bigint) as total from w left join t on cast(date_trunc('week', t.day) as date) = w.week group by 1")(
+    lambda d: a.weekly_series(d, *_bounds(d)))
 add("w9_runs", ["daily"], ", g as (select day, day - cast(row_number() over (order by day) as int) as g from (select distinct day from daily where source = 'urgent')) select min(day) as first_day, max(day) as last_day, count(*) as days from g group by g")(
     lambda d: a.day_runs(d.where("source = 'urgent'")))
 add("w10_adjacent_dup", ["daily"], ", r as (select day, source, tokens % 20 as tokens, calls % 2 as calls from daily), p as (select *, lag(day) over w as pd, lag(tokens) over w as pt, lag(calls) over w as pc from r window w as (partition by source order by day)) select day, source, tokens from p where day - pd = 1 and tokens = pt and calls is not distinct from pc")(
@@ -68,6 +79,8 @@ def _intervals(d):
 
 add("j15_interval_join", ["daily"], IV + ", c as (select cast(x as date) as day from range(date '1994-01-01', date '1994-12-31' + interval 1 day, interval 1 day) r(x)) select iv.source, c.day, max(case status when 'covered' then 3 when 'known_empty' then 2 else 1 end) as rank from iv join c on c.day between iv.f and iv.t group by 1, 2")(
     lambda d: a.interval_days(_intervals(d), "1994-01-01", "1994-12-31"))
+add("j15_interval_join_all", ["daily"], IV + ", " + DAYS + " select iv.source, c.day, max(case status when 'covered' then 3 when 'known_empty' then 2 else 1 end) as rank from iv join c on c.day between iv.f and iv.t group by 1, 2")(
+    lambda d: a.interval_days(_intervals(d), *_bounds(d)))
 add("j16_missing", ["daily"], IV + " select source, count(*) as days from daily d where not exists (select 1 from iv where iv.source = d.source and iv.status = 'covered' and d.day between iv.f and iv.t) group by 1")(
     lambda d: a.missing_coverage(d, _intervals(d)))
 add("j17_reference", ["daily"], "select count(*) as shared from daily where day(day) % 2 = 1")(
