@@ -11,6 +11,10 @@ score so far. Survivors are scored exactly on original vectors.
 Lists are put together to cells of about ``block`` rows (a longer list is cut into several), so that a
 query goes once to each cell that holds a list it probes, and a cell's rows once to every ``query_block``
 queries that come to it.
+
+A query visits its cells in rounds, the most promising first. Every round looks at a few times as many
+candidates as all before, and begins with the k-th best score of those as its bar. So a round yields about
+k times that factor rows a query, and all rounds together k times the logarithm of the table's size.
 """
 
 from __future__ import annotations
@@ -34,7 +38,8 @@ class SearchParams:
     lost with chance 0.006 a test). sparse: share of live pairs below which single pairs are followed
     instead of whole blocks. rows_at_once, block: candidates scanned between two updates, and in a cell.
     query_block: queries in a task. first_look: sampled candidates that a query meets at first; the k-th
-    best of them bounds its k-th best of all from below, and none gets fewer than k neighbours.
+    best of them bounds its k-th best of all from below, and none gets fewer than k neighbours. widen: how many
+    times more candidates a query has met after each round.
     """
 
     k: int = 20
@@ -50,6 +55,7 @@ class SearchParams:
     block: int = 8192
     first_look: int = 2048
     query_block: int = 4096
+    widen: int = 4
     seed: int = 7
 
 
@@ -145,6 +151,34 @@ def cut_cells(sizes: dict[int, int], n_lists: int, block: int) -> tuple[np.ndarr
     return first, parts
 
 
+def round_ends(n_cells: int, cell_rows: int, p: SearchParams) -> np.ndarray:
+    """Places, in a query's order of cells, at which a new round begins; the first look counts as a round."""
+    ends, c = [], max(1, p.widen * p.first_look // cell_rows)
+    while c < n_cells:
+        ends.append(c)
+        c *= p.widen
+    return np.array(ends, np.int64)
+
+
+def searched(cand: DataFrame, asked: DataFrame, turn: np.ndarray, p: SearchParams) -> DataFrame:
+    """(query_id, vec_id, score): the best k rows of every cell of ``cand`` that reach the bar, for each query sent there.
+
+    ``cand``: cell, list, id, e. ``asked``: cell, asker, v, bar, lists.
+    """
+    shared = cand.sparkSession.sparkContext.broadcast(turn)
+    deals = small(stored(asked.groupBy("cell").agg(F.ceil(F.count("*") / p.query_block).cast("int").alias("deals"))))
+    cand = cand.join(deals, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("turn"), "list", "id", "e")
+    asked = asked.join(deals, "cell").select(F.col("cell").alias("of"), F.pmod(F.xxhash64("asker"), F.col("deals")).cast("int").alias("deal"), "asker", "v", "bar", "lists")
+
+    def search(c: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(a):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        qi, found, score = search_cell(c, a, shared.value, p)
+        return pd.DataFrame({"query_id": a["asker"].to_numpy()[qi], "vec_id": found, "score": score})
+
+    return cand.groupBy("cell", "turn").cogroup(asked.groupBy("of", "deal")).applyInPandas(search, "query_id long, vec_id long, score double")
+
+
 def search_cell(c: pd.DataFrame, a: pd.DataFrame, turn: np.ndarray, p: SearchParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, vec_id, score): the best k rows of a cell for each of its queries, list by list."""
     c = c.sort_values(["list", "id"])
@@ -223,21 +257,24 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, vec_id: str = "vec_i
     listed = stored(rows.withColumn("list", list_of("e")))
     sizes = {r["list"]: r["count"] for r in listed.groupBy("list").count().collect()}  # at most most_lists rows
     # a small table is cut into about 64 cells, so that many tasks have some
-    first_cell, parts = cut_cells(sizes, len(centre), min(p.block, max(p.block // 8, dims["count"] // 64)))
-    cells = spark.sparkContext.broadcast((first_cell, parts))
+    cell_rows = min(p.block, max(p.block // 8, dims["count"] // 64))
+    first_cell, parts = cut_cells(sizes, len(centre), cell_rows)
+    cells = spark.sparkContext.broadcast((first_cell, parts, round_ends(int((first_cell + parts).max()), cell_rows, p)))
 
-    @F.pandas_udf("array<struct<cell:int,lists:array<int>>>")
+    @F.pandas_udf("array<struct<cell:int,round:int,lists:array<int>>>")
     def probed(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype=object)
-        first_cell, parts = cells.value
+        first_cell, parts, ends = cells.value
         out = []
         for near in np.argsort(-(np.stack(v.to_numpy()) @ index.value[0].T), axis=1, kind="stable")[:, :probes]:
             own = np.repeat(first_cell[near], parts[near]) + np.concatenate([np.arange(n, dtype=np.int32) for n in parts[near]])
             lists = np.repeat(near, parts[near]).astype(np.int32)
             order = np.argsort(own, kind="stable")
             there, edge = np.unique(own[order], return_index=True)
-            out.append([{"cell": int(c), "lists": x} for c, x in zip(there, np.split(lists[order], edge[1:]))])
+            place = np.argsort(np.argsort(order[edge]))  # a cell is as promising as its best list
+            when = np.searchsorted(ends, place, side="right")
+            out.append([{"cell": int(c), "round": int(t), "lists": x} for c, t, x in zip(there, when, np.split(lists[order], edge[1:]))])
         return pd.Series(out)
 
     of_list = spark.createDataFrame([(i, int(first_cell[i]), int(parts[i])) for i in range(len(centre))], "list int, first int, parts int")
@@ -245,20 +282,14 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, vec_id: str = "vec_i
     cand = listed.join(F.broadcast(of_list), "list").select(in_cell.alias("cell"), "list", "id", "e")
     asking = listed.where(F.coalesce(F.col("asks"), F.lit(False))).select(F.col("id").alias("asker"), F.col("e").alias("v"))
     asking = stored(asking.withColumn("met", met("asker", "v")))
-    asked = stored(asking.select("asker", "v", F.col("met.bar").alias("bar"), F.explode(probed("v")).alias("to")).select("asker", "v", "bar", "to.cell", "to.lists"))
-    deals = small(stored(asked.groupBy("cell").agg(F.ceil(F.count("*") / p.query_block).cast("int").alias("deals"))))
-    cand = cand.join(deals, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("turn"), "list", "id", "e")
-    asked = asked.join(deals, "cell").select(F.col("cell").alias("of"), F.pmod(F.xxhash64("asker"), F.col("deals")).cast("int").alias("deal"), "asker", "v", "bar", "lists")
-
-    def search(c: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(a):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        qi, found, score = search_cell(c, a, index.value[1], p)
-        return pd.DataFrame({"query_id": a["asker"].to_numpy()[qi], "vec_id": found, "score": score})
-
-    found = cand.groupBy("cell", "turn").cogroup(asked.groupBy("of", "deal")).applyInPandas(search, "query_id long, vec_id long, score double")
+    asked = stored(asking.select("asker", "v", F.explode(probed("v")).alias("to")).select("asker", "v", "to.cell", "to.round", "to.lists"))
     first = asking.select(F.col("asker").alias("query_id"), F.explode(F.arrays_zip(F.col("met.ids").alias("i"), F.col("met.scores").alias("s"))).alias("x")).select("query_id", F.col("x.i").alias("vec_id"), F.col("x.s").alias("score")).where(F.col("vec_id") != F.col("query_id"))
-    found = found.union(first).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.k)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best, bars = first, asking.select("asker", F.col("met.bar").alias("bar"))
+    for no in sorted(r["round"] for r in asked.select("round").distinct().collect()):
+        sent = asked.where(F.col("round") == no).join(bars, "asker", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+        found = best.union(searched(cand, sent, turn, p)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = stored(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k).drop("rank"))
+        bars = best.groupBy(F.col("query_id").alias("asker")).agg(F.when(F.count("*") == p.k, F.min("score")).alias("bar"))
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -325,6 +325,26 @@ def test_few_lists_are_probed_where_vectors_cluster(llm):
     assert first.tolist() == [0, 1, 4, 4, 4] and parts.tolist() == [1, 3, 1, 1, 1]
 
 
+def test_rows_found_follow_the_queries_not_the_square(llm, monkeypatch):
+    """Cells yield a few rows for each neighbour of a query, however many cells there are, and lose none."""
+    x = np.random.default_rng(6).normal(size=(6000, 8))
+    df = llm.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    p, plain, made = neighbours.SearchParams(probes=1 << 20, block=800, first_look=64, spread=100.0), neighbours.searched, []
+
+    def counted(*args):
+        made.append(plain(*args).count())
+        return plain(*args)
+
+    monkeypatch.setattr(neighbours, "searched", counted)
+    got = defaultdict(list)
+    for r in neighbours.nearest_neighbours(df, F.col("vec_id") % 100 == 0, params=p).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    assert len(got) == 60 and all([i for _, i in sorted(got[q])] == np.argsort(-score[q], kind="stable")[:20].tolist() for q in got)
+    assert len(made) > 2 and sum(made) < 60 * 20 * p.widen * len(made)  # in one round: about 1,000 a query
+
+
 def test_ledger_scans_only_what_is_new(llm, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     one = llm.createDataFrame([(1, "token: abcdef"), (2, "token: abcdef"), (3, "none")], "doc_id long, text string")
