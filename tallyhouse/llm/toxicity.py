@@ -5,8 +5,9 @@ into 2^bits coordinates. Each coordinate has its own learning rate; L1 makes mos
 rows are dealt to shards by a hash of the id and ordered inside a shard; in each round every shard runs
 FTRL over its rows from the common state. A coordinate then moves by the mean change of the shards that
 changed it, so a word that one shard alone holds is learned at full strength. All changes are handed on, as
-packed float32 segments of coordinates that Spark's tasks add up segment by segment. Shards and their order
-do not depend on partitions, so neither do the weights.
+packed segments of coordinates that Spark's tasks add up segment by segment: a bit tells which coordinates
+moved, and a pair of float32 how far; rows that meet new words give many equal pairs, which compress.
+Shards and their order do not depend on partitions, so neither do the weights.
 """
 
 from __future__ import annotations
@@ -64,6 +65,16 @@ def weights(z: np.ndarray, n: np.ndarray, p: ToxicParams) -> np.ndarray:
     return -shrunk / ((p.beta + np.sqrt(n)) / p.alpha + p.l2)
 
 
+def packed(moved: np.ndarray, pairs: np.ndarray) -> tuple[bytes, bytes]:
+    """Which coordinates of a segment moved (bool[SEGMENT]), and float32 pairs of the moved ones."""
+    return np.packbits(moved).tobytes(), np.ascontiguousarray(pairs, np.float32).tobytes()
+
+
+def unpacked(at: bytes, change: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a segment, and the pair of each."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(at, np.uint8))), np.frombuffer(change, np.float32).reshape(-1, 2)
+
+
 def _round(rows: DataFrame, z: np.ndarray, n: np.ndarray, p: ToxicParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Coordinates that changed, and the means of the shards' changes of z and n, over the shards that changed each.
 
@@ -71,13 +82,18 @@ def _round(rows: DataFrame, z: np.ndarray, n: np.ndarray, p: ToxicParams) -> tup
     """
     state = rows.sparkSession.sparkContext.broadcast((z, n))
 
+    def batch_of(segment: int, moved: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+        at, change = packed(moved, pairs)
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([at], pa.binary()), pa.array([change], pa.binary())], names=["segment", "at", "change"])
+
     def changes(z: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         z0, n0 = state.value
-        moved = np.flatnonzero((n != n0) | (z != z0))
-        change = np.stack([z[moved] - z0[moved], n[moved] - n0[moved], np.ones(len(moved))]).astype(np.float32)
-        edge = np.searchsorted(moved, np.arange(0, len(z) + SEGMENT, SEGMENT))
-        for s in np.flatnonzero(np.diff(edge)):
-            yield packed(s, moved[edge[s] : edge[s + 1]] - s * SEGMENT, change[:, edge[s] : edge[s + 1]])
+        moved = np.zeros(-(-len(z) // SEGMENT) * SEGMENT, bool)
+        moved[: len(z)] = (n != n0) | (z != z0)
+        for s, own in enumerate(moved.reshape(-1, SEGMENT)):
+            if own.any():
+                i = np.flatnonzero(own) + s * SEGMENT
+                yield batch_of(s, own, np.stack([z[i] - z0[i], n[i] - n0[i]], axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z0, n0 = state.value
@@ -102,28 +118,25 @@ def _round(rows: DataFrame, z: np.ndarray, n: np.ndarray, p: ToxicParams) -> tup
         if shard >= 0:
             yield from changes(z, n)
 
-    def packed(segment: int, at: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
-        made = [pa.array([segment], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([change.astype(np.float32).tobytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(made, names=["segment", "at", "change"])
-
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for s, at, x in zip(*(batch.column(c).to_pylist() for c in ("segment", "at", "change"))):
-                sums = held.setdefault(s, np.zeros((3, SEGMENT)))
-                sums[:, np.frombuffer(at, np.uint16)] += np.frombuffer(x, np.float32).reshape(3, -1)
+            for s, at, change in zip(*(batch.column(c).to_pylist() for c in ("segment", "at", "change"))):
+                sums, (i, pairs) = held.setdefault(s, np.zeros((SEGMENT, 3))), unpacked(at, change)
+                sums[i, :2] += pairs
+                sums[i, 2] += 1
         for s, sums in held.items():
-            at = np.flatnonzero(sums[2])
-            yield packed(s, at, sums[:, at])
+            moved = sums[:, 2] > 0
+            yield batch_of(s, moved, sums[moved, :2] / sums[moved, 2:])
 
     schema = "segment int, at binary, change binary"
     found = rows.mapInArrow(run, schema).repartition("segment").mapInArrow(total, schema).toArrow().to_pylist()
     state.unpersist()
     if not found:
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-    i = np.concatenate([np.frombuffer(r["at"], np.uint16).astype(np.int64) + r["segment"] * SEGMENT for r in found])
-    dz, dn, shards = np.concatenate([np.frombuffer(r["change"], np.float32).reshape(3, -1) for r in found], axis=1).astype(np.float64)
-    return i, dz / shards, dn / shards
+    parts = [(r["segment"] * SEGMENT, *unpacked(r["at"], r["change"])) for r in found]
+    dz, dn = np.concatenate([pairs for _, _, pairs in parts]).T.astype(np.float64)
+    return np.concatenate([base + at for base, at, _ in parts]), dz, dn
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams()) -> np.ndarray:

@@ -33,6 +33,17 @@ def test_small_changes_are_handed_on(llm):
 
 
 
+def test_changes_are_small_and_whole():
+    """A moved coordinate takes a bit of each place and a pair of float32, and comes back exactly."""
+    rng = np.random.default_rng(1)
+    moved = rng.random(toxicity.SEGMENT) < 0.7
+    pairs = rng.normal(size=(moved.sum(), 2)).astype(np.float32)
+    at, change = toxicity.packed(moved, pairs)
+    i, got = toxicity.unpacked(at, change)
+    assert (i == np.flatnonzero(moved)).all() and (got == pairs).all()
+    assert len(at) + len(change) <= 8 * len(i) + toxicity.SEGMENT // 8  # 14 bytes a moved coordinate before
+
+
 def test_turns_that_agree_on_64_characters(llm):
     """Order within a turn and role is that of whole texts, nulls last, as in SQL."""
     head = "h" * 64
