@@ -51,7 +51,7 @@ class PackParams:
 
 
 #: Bytes of the tables of words and of chunks that a worker keeps, and the longest text that gets an entry.
-WORD_BYTES, CHUNK_BYTES, LONG = 80 << 20, 112 << 20, 256
+WORD_BYTES, CHUNK_BYTES, LONG = 40 << 20, 56 << 20, 256
 #: What an entry takes beside its text and its ids.
 _ENTRY = 190
 

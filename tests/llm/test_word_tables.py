@@ -50,3 +50,14 @@ def test_another_operator_drops_the_tables():
     assert packing.shared_tokenizer.cache_info().currsize == 1
     common.keeps("langid", lambda: None)
     assert packing.shared_tokenizer.cache_info().currsize == 0
+
+
+def test_a_new_operator_begins_with_little_memory():
+    """Arrays of the stage before go, and the tables of all workers of an executor fit beside its heap."""
+    common.keeps("langid", lambda: None)
+    common._power(1000)
+    common.keeps("packing", packing.shared_tokenizer.cache_clear)
+    assert not common._powers and 2 * (packing.WORD_BYTES + packing.CHUNK_BYTES) <= 200 << 20
+    common._power(1000)
+    common.keeps("packing", packing.shared_tokenizer.cache_clear)
+    assert common._powers  # the same operator goes on with what it has
