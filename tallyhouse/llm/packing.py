@@ -12,10 +12,10 @@ each group is packed on its own. A group leaves at most a few bins unfilled, out
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -26,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import keeps, stored, utf8
+from tallyhouse.llm.common import U64, blocks, byte_table, joined, keeps, mix, span_hash, stored, utf8, words
 
 #: What a chunk may not hold to be lower-cased and cut here. Chunks end at blanks, tabs and line ends only;
 #: whatever else a tokenizer takes as white space stays inside a chunk.
 _OTHER = re.compile("[^\x20-\x7e\xa1-\u012f\u0131-\u017f]")
-#: Marks that are a word of their own behind letters.
-_STOPS = frozenset(".,;:!?")
 
 
 @dataclass(frozen=True)
@@ -50,41 +48,85 @@ class PackParams:
     group_pieces: int = 200_000
 
 
-#: Bytes of the tables of words and of chunks that a worker keeps, and the longest text that gets an entry.
+#: Bytes of the ids and of the places of the table of chunks that a worker keeps, and the longest chunk that gets a place.
 WORD_BYTES, CHUNK_BYTES, LONG = 40 << 20, 56 << 20, 256
-#: What an entry takes beside its text and its ids.
-_ENTRY = 190
+#: UTF-8 bytes of the texts that are encoded together.
+AT_ONCE = 2 << 20
+#: What a chunk ends at; END stands between texts.
+_BLANK = byte_table(b"\x20\x09\x0a\x0d\xff")
 
 
-class _Table(dict):
-    """A dict that makes and keeps a missing key's value, at most ``most`` bytes of them; keys not asked for while half
-    of that came in anew go. Long keys are made each time."""
+class _Table:
+    """Ids of chunks in arrays of bounded bytes, looked up many at once; it begins anew when it is full.
 
-    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
-        super().__init__()
-        self.make, self.half, self.held, self.older = make, most // 2, 0, {}
+    A chunk is known by a 64-bit hash of its bytes and a 32-bit one of its first eight.
+    """
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-            if len(key) > LONG:
-                return value
-        if self.held >= self.half:
-            self.older, self.held = dict(self), 0
-            self.clear()
-        self.held += _ENTRY + len(key) + len(value)
-        self[key] = value
-        return value
+    def __init__(self, id_bytes: int, place_bytes: int) -> None:
+        self.size = max(8, place_bytes // 17)
+        self.key, self.check = np.zeros(self.size, U64), np.zeros(self.size, np.uint32)
+        self.at, self.n = np.zeros(self.size, np.uint32), np.zeros(self.size, np.uint8)
+        self.ids = np.zeros(id_bytes // 2, np.uint16)
+        self.used = self.count = 0
+
+    @property
+    def held(self) -> int:
+        """Bytes of the places that are taken."""
+        return 17 * self.count
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        """The ids of each chunk that is kept."""
+        return (self.ids[self.at[i] : int(self.at[i]) + int(self.n[i])] for i in np.flatnonzero(self.key))
+
+    def _first(self, key: np.ndarray) -> np.ndarray:
+        return ((key >> U64(32)) * U64(self.size) >> U64(32)).astype(np.int64)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The place of each chunk, -1 if it has none."""
+        at = self._first(key)
+        own = self.key[at]
+        hit = (own == key) & (self.check[at] == check)
+        found = np.where(hit, at, -1)
+        left = np.flatnonzero((own != 0) & ~hit)
+        while len(left):
+            at[left] = (at[left] + 1) % self.size
+            own = self.key[at[left]]
+            hit = (own == key[left]) & (self.check[at[left]] == check[left])
+            found[left[hit]] = at[left[hit]]
+            left = left[(own != 0) & ~hit]
+        return found
+
+    def add(self, key: np.ndarray, check: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        """Take in different chunks that have no place; ``ids``: one chunk's after the other's."""
+        if 3 * len(n) > 2 * self.size or len(ids) > len(self.ids):
+            return
+        if 3 * (self.count + len(n)) > 2 * self.size or self.used + len(ids) > len(self.ids):
+            self.key[:] = 0
+            self.used = self.count = 0
+        self.ids[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(n) - n
+        at, left = self._first(key), np.arange(len(key))
+        while len(left):
+            free = left[self.key[at[left]] == 0]
+            free = free[np.unique(at[free], return_index=True)[1]]
+            to = at[free]
+            self.key[to], self.check[to], self.at[to], self.n[to] = key[free], check[free], start[free], n[free]
+            left = np.setdiff1d(left, free, assume_unique=True)
+            at[left] = (at[left] + 1) % self.size
+        self.used, self.count = self.used + len(ids), self.count + len(n)
+
+
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each of the spans, one after the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class ChunkTokenizer:
     """Token ids of whole texts by a lower-casing byte-level BPE that drops white space, a distinct chunk at a time.
 
-    Chunks between blanks and their words are encoded once and remembered, within WORD_BYTES and CHUNK_BYTES. Texts of Latin
-    letters and printable ASCII, whose normal form is just their lower case, go word by word to the
-    tokenizer's BPE model, cut by the tokenizer's own pattern; all others, and texts that may hold a
-    special token, go through the whole tokenizer.
+    Chunks between blanks are encoded once and remembered, within WORD_BYTES and CHUNK_BYTES. Those of Latin letters and
+    printable ASCII, whose normal form is just their lower case, go word by word to the tokenizer's BPE model, cut by
+    the tokenizer's own pattern; all others, and chunks that may hold a special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str, word_bytes: int = WORD_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
@@ -93,36 +135,63 @@ class ChunkTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.encoder = Tokenizer.from_file(path)
+        self.model = self.encoder.model
         with open(path, encoding="utf-8") as f:
             steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.words = regex.compile(steps[0]["pattern"]["Regex"] + "| ").findall
         # bytes as the byte-level alphabet writes them: printable ones as themselves, others from code point 256
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
-        self.alphabet = {b: b if b in own else next(rest) for b in range(256)}
-        self.known, self.chunks = _Table(self._word, word_bytes), _Table(self._chunk, chunk_bytes)
-
-    def _word(self, word: str) -> bytes:
-        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.encoder.model.tokenize(text)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha() and chunk.isascii():  # one run of letters is one word
-            return self.known[chunk.lower()]
-        if _OTHER.search(chunk) or "<|" in chunk:
-            ids = self.encoder.encode(chunk, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        low = chunk.lower()
-        if low.isalpha():
-            return self.known[low]
-        if low[-1:] in _STOPS and low[:-1].isalpha():
-            return self.known[low[:-1]] + self.known[low[-1]]
-        return b"".join(map(self.known.__getitem__, self.words(low)))
+        self.alphabet = {b: b if b in own else next(rest) for b in range(256)} | {32: 32}
+        self.chunks = _Table(word_bytes, chunk_bytes)
+        span_hash(np.zeros(1, np.uint8), np.array([0]), np.array([1]))  # its powers are made here, once
+
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of different chunks; each of printable characters has a word, so that words stand one blank apart, chunks three."""
+        whole = "".join(chunks)
+        odd = [bool(_OTHER.search(c) or "<|" in c) for c in chunks] if _OTHER.search(whole) or "<|" in whole else [False] * len(chunks)
+        text = " ".join(self.words(" ".join([c for c, o in zip(chunks, odd) if not o]).lower()))
+        text = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+        tokenize, plain = self.model.tokenize, iter(text.split("   ") if text else ())
+        made = [self.encoder.encode(c, add_special_tokens=False).ids if o else [t.id for word in next(plain).split(" ") for t in tokenize(word)] for c, o in zip(chunks, odd)]
+        if next(plain, None) is not None:
+            raise ValueError("a chunk without a word among printable ones")
+        return made
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian unsigned 32-bit integers."""
+        texts = [t.decode("utf-8", "replace").encode() if b"\xff" in t else t for t in texts]
+        data, ends = joined(texts)
+        start, stop, doc = words(data, ends, _BLANK)
+        if not len(start):
+            return [b""] * len(texts)
+        key = span_hash(data, start, stop) | U64(1)
+        eight = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))[start]
+        short = np.minimum(stop - start, 8).astype(U64)
+        check = (mix(eight << (U64(8) * (U64(8) - short))) >> U64(32)).astype(np.uint32)
+        at = self.chunks.find(key, check)
+        new = at < 0
+        n = self.chunks.n[at].astype(np.int64)
+        _, first, own = np.unique(key[new], return_index=True, return_inverse=True)
+        lone = np.flatnonzero(new)[first]
+        raw = data.tobytes()
+        made = self._encoded([raw[a:b].decode("utf-8", "replace") for a, b in zip(start[lone].tolist(), stop[lone].tolist())])
+        n_made = np.fromiter(map(len, made), np.int64, len(made))
+        ids_made = np.fromiter(itertools.chain.from_iterable(made), np.uint32, n_made.sum())
+        n[new] = n_made[own]
+        edge = np.cumsum(n)
+        out, of_new = np.empty(edge[-1], "<u4"), np.repeat(new, n)
+        out[~of_new] = self.chunks.ids[_spans(self.chunks.at[at[~new]].astype(np.int64), n[~new])]
+        out[of_new] = ids_made[_spans((np.cumsum(n_made) - n_made)[own], n[new])]
+        kept = (n_made < 256) & (stop[lone] - start[lone] <= LONG)
+        self.chunks.add(key[lone[kept]], check[lone[kept]], n_made[kept], ids_made[np.repeat(kept, n_made)])
+        cut = 4 * np.append(0, edge)[np.searchsorted(doc, np.arange(len(texts) + 1))]
+        raw = out.tobytes()
+        return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        return self.encode_all([text.encode()])[0]
 
 
 @functools.lru_cache(maxsize=1)
@@ -142,9 +211,10 @@ def token_pieces(docs: DataFrame, tokenizer: Callable[[], ChunkTokenizer], end_i
         keeps("packing", shared_tokenizer.cache_clear)
         encoder, end, step = tokenizer(), np.array([end_id], "<u4").tobytes(), 4 * most
         for batch in batches:
-            texts = [t.decode("utf-8", "replace") for t in utf8(batch.column("text"))]
+            texts, numbers = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
+            made = itertools.chain.from_iterable(encoder.encode_all(texts[lo:hi]) for lo, hi in blocks(texts, AT_ONCE))
             rows: list[tuple] = []
-            for no, ids in zip(batch.column("doc_id").to_pylist(), map(encoder.encode, texts)):
+            for no, ids in zip(numbers, made):
                 ids += end
                 rows += [(no, k, at // 4, (min(len(ids), at + step) - at) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
             cols = list(zip(*rows)) or [()] * 5

@@ -61,3 +61,14 @@ def test_a_new_operator_begins_with_little_memory():
     common._power(1000)
     common.keeps("packing", packing.shared_tokenizer.cache_clear)
     assert common._powers  # the same operator goes on with what it has
+
+
+def test_a_worker_remembers_some_hundred_thousand_chunks():
+    """A second pass over 300,000 chunks asks the model for none: within the same bytes a chunk takes some twenty, not two hundred."""
+    coder = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"ab{k:x}!" for k in range(lo, lo + 5000)) for lo in range(0, 300_000, 5000)]
+    first = [coder.encode(t) for t in texts]
+    asked, cut = [], coder.words
+    coder.words = lambda text: asked.append(len(text)) or cut(text)
+    assert [coder.encode(t) for t in texts] == first and sum(asked) == 0
+    assert list(memoryview(first[7]).cast("I")) == coder.encoder.encode(texts[7], add_special_tokens=False).ids
