@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyhouse.llm.common import U64, blocks, keeps, mix, stored, utf8
+from tallyhouse.llm.common import U64, blocks, keeps, mix, stored, tidy, utf8
 
 UNKNOWN = "und"
 
@@ -131,7 +131,7 @@ def learn_languages(docs: DataFrame, text: str = "text", lang: str = "lang", par
                 key, own = distinct(key, langs[lo:hi][doc], counts := [])
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(counts[0])], names=["lang", "gram", "df"])
 
-    counted = drawn.mapInArrow(count, "lang int, gram long, df long").groupBy("lang", "gram").agg(F.sum("df").alias("df"))
+    counted = drawn.mapInArrow(tidy(count), "lang int, gram long, df long").groupBy("lang", "gram").agg(F.sum("df").alias("df"))
     drawn_sizes = F.array(*[F.lit(float(max(1, taken.get(k, 0)))) for k in languages])
     share = counted.withColumn("share", F.col("df") / drawn_sizes[F.col("lang")]).where((F.col("share") >= params.least_share) & (F.col("df") >= 2))
     best = share.groupBy("gram").agg(F.max("share").alias("best"), F.collect_list(F.struct("lang", "share")).alias("found"))
@@ -188,4 +188,4 @@ def identify_languages(docs: DataFrame, model: LanguageFilter, text: str = "text
             yield pa.RecordBatch.from_arrays([*batch.columns, lang, score, n], names=[*names, "lang_pred", "lang_score", "lang_grams"])
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("lang_score", "double").add("lang_grams", "long")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

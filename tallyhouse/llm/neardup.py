@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import LOWER, U64, blocks, hot_keys, joined, mix, small, span_hash, spread_join, stored, utf8, words
+from tallyhouse.llm.common import LOWER, U64, blocks, hot_keys, joined, mix, small, span_hash, spread_join, stored, tidy, utf8, words
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def _signed(texts: DataFrame, p: NearDupParams) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(use.sum() + 1, dtype=np.int32) * p.bands), pa.array(key[use].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][use]), lists], names=["id", "keys"])
 
-    return texts.mapInArrow(run, "id long, keys array<long>")
+    return texts.mapInArrow(tidy(run), "id long, keys array<long>")
 
 
 def _sets(texts: DataFrame, p: NearDupParams) -> DataFrame:
@@ -185,7 +185,7 @@ def _sets(texts: DataFrame, p: NearDupParams) -> DataFrame:
                 sets = [packed[cut[i] : cut[i + 1]] for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([x.size for x in sets], pa.int64())], names=["id", "set", "size"])
 
-    return texts.mapInArrow(run, "id long, set binary, size long")
+    return texts.mapInArrow(tidy(run), "id long, set binary, size long")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -293,7 +293,7 @@ def _links_in_blocks(mixed: DataFrame, p: NearDupParams) -> DataFrame:
             held, kept = {c: v[edge[-1] :] for c, v in held.items()}, kept[edge[-1] :]
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").select(*names, "keys", "set").mapInArrow(run, "a long, b long")
+    return dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").select(*names, "keys", "set").mapInArrow(tidy(run), "a long, b long")
 
 
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

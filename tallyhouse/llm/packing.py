@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import U64, blocks, byte_table, joined, keeps, mix, span_hash, stored, utf8, words
+from tallyhouse.llm.common import U64, blocks, byte_table, joined, keeps, mix, span_hash, stored, tidy, utf8, words
 
 #: What a chunk may not hold to be lower-cased and cut here. Chunks end at blanks, tabs and line ends only;
 #: whatever else a tokenizer takes as white space stays inside a chunk.
@@ -49,9 +49,9 @@ class PackParams:
 
 
 #: Bytes of the ids and of the places of the table of chunks that a worker keeps, and the longest chunk that gets a place.
-WORD_BYTES, CHUNK_BYTES, LONG = 40 << 20, 56 << 20, 256
+WORD_BYTES, CHUNK_BYTES, LONG = 16 << 20, 24 << 20, 256
 #: UTF-8 bytes of the texts that are encoded together.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 19
 #: What a chunk ends at; END stands between texts.
 _BLANK = byte_table(b"\x20\x09\x0a\x0d\xff")
 
@@ -136,8 +136,7 @@ class ChunkTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.encoder = Tokenizer.from_file(path)
         self.model = self.encoder.model
-        with open(path, encoding="utf-8") as f:
-            steps = json.load(f)["pre_tokenizer"]["pretokenizers"]
+        steps = json.loads(self.encoder.pre_tokenizer.__getstate__())["pretokenizers"]
         self.words = regex.compile(steps[0]["pattern"]["Regex"] + "| ").findall
         # bytes as the byte-level alphabet writes them: printable ones as themselves, others from code point 256
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -221,7 +220,7 @@ def token_pieces(docs: DataFrame, tokenizer: Callable[[], ChunkTokenizer], end_i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(length: np.ndarray, p: PackParams) -> tuple[np.ndarray, np.ndarray]:

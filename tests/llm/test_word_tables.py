@@ -72,3 +72,20 @@ def test_a_worker_remembers_some_hundred_thousand_chunks():
     coder.words = lambda text: asked.append(len(text)) or cut(text)
     assert [coder.encode(t) for t in texts] == first and sum(asked) == 0
     assert list(memoryview(first[7]).cast("I")) == coder.encoder.encode(texts[7], add_special_tokens=False).ids
+
+
+def test_a_worker_takes_little_beside_an_executors_heap():
+    """Tables, tokenizer and what it is made from stay below 80 MB; a task's freed memory goes back when it ends."""
+    tracemalloc.start()
+    coder = packing.ChunkTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 << 20 and coder.words("ab c") == ["ab", " ", "c"]
+
+
+def test_a_task_ends_with_its_memory_given_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    made = common.tidy(lambda batches: (2 * b for b in batches))(iter([1, 2]))
+    assert next(made) == 2 and not calls
+    assert list(made) == [4] and calls == [1]
