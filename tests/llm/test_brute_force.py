@@ -355,3 +355,14 @@ def test_ledger_scans_only_what_is_new(llm, tmp_path):
     assert llm.read.parquet(ledger).count() == 4 and llm.read.parquet(ledger).select("blob").distinct().count() == 4
     secrets.scan_ledger(two, ledger, rules=(*secrets.RULES, secrets.Rule("vault", r"hvs\.[A-Za-z0-9]{20,}"))).count()
     assert llm.read.parquet(ledger).count() == 8
+
+
+def test_probabilities_of_different_texts_stay_below_one(llm):
+    """Known spellings of several classes together weigh over one; new units must not gain from that."""
+    rng = np.random.default_rng(5)
+    forms = [w + end for w in ("ab", "ba", "aab") for end in ("", ".", ",", "7", "Z")]
+    train = [(2 * k, " ".join(rng.choice(forms, 40))) for k in range(100)]
+    new = [(2 * k + 1, a + b) for k, (a, b) in enumerate((a, b) for a in ("a", "b", "ab", "ba", "aab") for b in ("a", "b", "bb", "Z.", "77", "b.", "b,", "b7"))]
+    new = [(k, w) for k, w in {w: (k, w) for k, w in new}.values() if w not in forms]
+    got = lm.score_texts(llm.createDataFrame(train + new, "doc_id long, text string"), F.col("doc_id") % 2 == 0).where("held_out").collect()
+    assert len(got) == len(new) and sum(10**r.score for r in got) <= 1 + 1e-6
