@@ -222,6 +222,28 @@ def test_model_is_a_distribution():
     assert abs((10**got).sum() - 1) < 1e-5
 
 
+def test_bytes_that_units_share_are_worked_once(llm):
+    """Bits of bytes that units share stand once, with their weight; tables and costs equal those of single units."""
+    made = [b"\1the ", b"\1then ", b"\1there,\n", b"\2the ", b"\1\n", b"\0th\xc3\xa9 ", b"\1The "] + [b"\1w%d " % i for i in range(500)]
+    model = lm.huffman(np.arange(256.0))
+    b = lm.Bits(made, model)
+    size = lambda u: sum(model.lengths[x] for x in u[1:])
+    assert len(b.bit) == sum(model.lengths[u[-1]] for u in {u[:j] for u in made for j in range(2, len(u) + 1)}) < sum(map(size, made))
+    n = np.arange(len(made)) + 1
+    assert b.weights(n).sum() == sum(size(u) * k for u, k in zip(made, n)) and b.whole == sum(map(size, made))
+    want = np.zeros((2, lm.BASES[-1]))
+    for u in made:
+        one = lm.Bits([u], model)
+        for s in one.slots:
+            np.add.at(want, (one.bit, s), 1)
+    counted = llm.createDataFrame([(u, 2, True) for u in made] + [(b"\1heldout ", 0, True), (b"\x09record..", 1, False)], "unit binary, n long, coded boolean")
+    got = lm.count_bits(counted, model, lm.MixParams(text_bytes=2000, units_at_once=64))
+    assert (np.stack(got) == want).all()
+    model.logit, model.seen = lm._stretch(*want).astype(np.float16), lm._level(want.sum(axis=0))
+    model.refine = np.random.default_rng(1).normal(size=512 * lm.STEPS).astype(np.float32)
+    assert np.allclose(lm.log10_units(made, model), [lm.log10_units([u], model)[0] for u in made], rtol=1e-9)
+
+
 def test_packing_is_tight(llm, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = rows(llm, "op4_best_fit_packing")
