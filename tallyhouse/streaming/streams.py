@@ -74,11 +74,12 @@ def increments_stream(calls: DataFrame, keep: str | None = None) -> DataFrame:
 
 
 class OrderedIncreases(StatefulProcessor):
-    """Increases of one session's counter, in order of time even where rows come late by less than the watermark's delay.
+    """Increases of the counters of a bucket of sessions, in order of time even where rows come late by less than the watermark's delay.
 
     Rows wait in state until the watermark has passed them, so that nothing older can still come; then they are taken in order
-    of (ts, event_id) and the counter moves. A timer a waiting time does this. ``forget`` milliseconds after the latest row
-    that was taken, another timer clears the session; the next row begins afresh.
+    of (ts, event_id) and their sessions' counters move. A bucket has one timer for the earliest row that waits and takes all
+    that is due when it fires, so calls to the state store go by buckets and not by rows. ``forget`` milliseconds after the
+    latest row that was taken, another timer forgets a session; the next row begins afresh.
     """
 
     def __init__(self, forget: int) -> None:
@@ -86,49 +87,65 @@ class OrderedIncreases(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "k long, ms long")
-        self.waiting = handle.getListState("waiting", "ms long, event_id long, k long")
+        self.last = handle.getValueState("last", "session array<long>, k array<long>, us array<long>")
+        self.waiting = handle.getListState("waiting", "session array<long>, us array<long>, event_id array<long>, k array<long>")
+
+    def _wait(self, *columns: np.ndarray) -> None:
+        self.waiting.appendValue(tuple(c.tolist() for c in columns))
+        self.handle.registerTimer(int(columns[1].min()) // 1000 + 1)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows))
-        ms = (new["ts"].astype("int64") // 1_000_000 if str(new["ts"].dtype).endswith("[ns]") else new["ts"].astype("datetime64[ms]").astype("int64")).tolist()
-        for one in zip(ms, new["event_id"].tolist(), new["k"].tolist(), strict=True):
-            self.waiting.appendValue(one)
-        for at in sorted(set(ms)):
-            self.handle.registerTimer(at + 1)
-        yield pd.DataFrame({"session": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "fresh": pd.Series(dtype=bool), "d_k": pd.Series(dtype="int64")})
+        for new in rows:
+            self._wait(*[new[c].to_numpy() for c in ("session", "us", "event_id", "k")])
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        upto = expiredTimerInfo.getExpiryTimeInMs()
-        held = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due, rest = [r for r in held if r[0] < upto], [r for r in held if r[0] >= upto]
-        out = []
-        last = self.last.get() if self.last.exists() else None
-        for ms, event_id, k in due:
-            fresh = last is None or k < last[0] or ms - last[1] > self.forget
-            out.append((key[0], event_id, fresh, k if fresh else k - last[0]))
-            last = (k, ms)
-        if due:
-            self.last.update(last)
-            self.handle.registerTimer(last[1] + self.forget)
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        elif last is not None and upto >= last[1] + self.forget:
+        upto = timerValues.getCurrentWatermarkInMs()
+        held = list(self.waiting.get())
+        waiting = [np.concatenate([np.asarray(h[c], "int64") for h in held] or [np.empty(0, "int64")]) for c in range(4)]
+        known = [np.asarray(c, "int64") for c in (self.last.get() if self.last.exists() else ([], [], []))]
+        due = waiting[1] // 1000 < upto
+        if due.any():
+            self.waiting.clear()
+            if not due.all():
+                self._wait(*[c[~due] for c in waiting])
+            session, us, ids, k = (c[due] for c in waiting)
+            at = np.lexsort((ids, us, session))
+            session, us, ids, k = session[at], us[at], ids[at], k[at]
+            first = np.append(True, session[1:] != session[:-1])
+            before, since = np.append(0, k[:-1]), np.append(0, us[:-1])
+            fresh = first.copy()
+            if len(known[0]):  # sessions are in order there
+                place = np.minimum(np.searchsorted(known[0], session), len(known[0]) - 1)
+                again = first & (known[0][place] == session)
+                before, since = np.where(again, known[1][place], before), np.where(again, known[2][place], since)
+                fresh &= ~again
+            fresh |= (k < before) | (us // 1000 - since // 1000 >= self.forget)
+            ends = np.append(first[1:], True)
+            stays = ~np.isin(known[0], session)
+            known = [np.append(old[stays], new[ends]) for old, new in zip(known, (session, k, us), strict=True)]
+            yield pd.DataFrame({"session": session, "event_id": ids, "fresh": fresh, "d_k": np.where(fresh, k, k - before)})
+        kept = known[2] // 1000 + self.forget > upto
+        if not kept.any():
             self.last.clear()
-        yield pd.DataFrame(out, columns=["session", "event_id", "fresh", "d_k"]).astype({"session": "int64", "event_id": "int64", "fresh": bool, "d_k": "int64"})
+        elif due.any() or not kept.all():
+            at = np.argsort(known[0][kept])
+            self.last.update(tuple(c[kept][at].tolist() for c in known))
+            self.handle.registerTimer(int(known[2][kept].min()) // 1000 + self.forget)
 
     def close(self) -> None:
         pass
 
 
-def ordered_increments(calls: DataFrame, delay: str = DELAY, forget_days: int = 90) -> DataFrame:
+def ordered_increments(calls: DataFrame, delay: str = DELAY, forget_days: int = 90, buckets: int = 4096) -> DataFrame:
     """Increases of every session's counter, each row once the watermark of ``delay`` has passed it (OrderedIncreases).
 
     Rows later than the watermark are dropped, as in every append stream. The state store is RocksDB's, so that the waiting
-    rows of many sessions do not live in the heap.
+    rows of many sessions do not live in the heap; a worker holds the sessions of one of the ``buckets`` at a time.
     """
     calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = calls.select("session", "ts", "event_id", "k").withWatermark("ts", delay)
-    return rows.groupBy("session").transformWithStateInPandas(OrderedIncreases(forget_days * 86_400_000), "session long, event_id long, fresh boolean, d_k long", "append", "eventTime")
+    rows = calls.select(F.pmod(F.hash("session"), F.lit(buckets)).alias("bucket"), "session", "ts", F.unix_micros("ts").alias("us"), "event_id", "k").withWatermark("ts", delay)
+    return rows.groupBy("bucket").transformWithStateInPandas(OrderedIncreases(forget_days * 86_400_000), "session long, event_id long, fresh boolean, d_k long", "append", "eventTime")
 
 
 def late_split(calls: DataFrame, as_of: str, days: int) -> DataFrame:

@@ -30,3 +30,18 @@ def test_late_rows_and_forgotten_sessions(spark, tmp_path):
         want[u, e] = (fresh, k if fresh else k - known[0])
         last[u] = (k, h)
     assert got == want and got[7, 3] == (False, 15) and got[7, 2] == (False, 15) and got[8, 9] == (True, 9)
+
+
+def test_sessions_share_buckets(spark, tmp_path):
+    """300 rows of 30 sessions in two buckets, in order within a millisecond."""
+    rows = [(e, T0 + datetime.timedelta(hours=e % 50, microseconds=299 - e), e % 30, "view", 1.0, f'{{"k": {e * 7 % 90}}}') for e in range(300)]
+    rows.append((300, T0 + datetime.timedelta(days=9), 99, "view", 1.0, '{"k": 1}'))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = s.run_available(s.ordered_increments(s.capture_stream(spark, f"file://{tmp_path}/in", "*.parquet"), buckets=2), "bucketed").collect()
+    want, last = {}, {}
+    for e, _, u, *_ in sorted(rows[:300], key=lambda r: (r[1], r[0])):
+        k = e * 7 % 90
+        fresh = u not in last or k < last[u]
+        want[u, e] = (fresh, k if fresh else k - last[u])
+        last[u] = k
+    assert {(r.session, r.event_id): (r.fresh, r.d_k) for r in out} == want and len(out) == 300
