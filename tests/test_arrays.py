@@ -37,3 +37,34 @@ def test_items_equal_the_whole_parse(spark, tmp_path, size):
             spark.conf.set(k, v)
     assert {n: [v for _, v in sorted(d.items())] for n, d in got.items()} == {n: i for n, i in files.items() if i}
     assert all(sorted(d) == list(range(len(d))) for d in got.values())
+
+
+def test_whole_items_are_not_shuffled_and_marks_in_texts_do_not_count(spark, tmp_path):
+    """Items in many ranges, a blank array, an item longer than a range; only items that span ranges are grouped."""
+    items = [{"id": k, "note": '}],{"\\' * (k % 5), "deep": [[k], {"a": "x" * (k % 40 * 30)}]} for k in range(400)]
+    (tmp_path / "a.json").write_text("[" + "\n,".join(map(json.dumps, items)) + "\n]")
+    (tmp_path / "b.json").write_text("[ \n\t ]")
+    keys = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        got = arrays.array_items(spark, f"file://{tmp_path}")
+        assert [json.loads(r.item) for r in got.orderBy("item_no").collect()] == items
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("size", [None, 300])
+def test_landing_gathers_no_more_than_a_document(spark, tmp_path, size):
+    from pyspark.sql import functions as F
+
+    from tallyhouse.plans import source_queries as q
+
+    df = spark.range(0, 200, 1, 2)
+    path = q._documents(df, q._named(id=F.col("id")), size=size)
+    texts = [r.value for r in spark.read.text(path, wholetext=True).collect()]
+    assert sorted(x["id"] for t in texts for x in json.loads(t)) == list(range(200)) and (len(texts) == 2 if size is None else len(texts) >= 6 and max(map(len, texts)) < 400)
+    texts = [r.value for r in spark.read.option("pathGlobFilter", "*.json").text(q._sessions(df, q._named(id=F.col("id")), "messages", 30), wholetext=True).collect()]
+    assert sorted(x["id"] for t in texts for x in json.loads(t)["messages"]) == list(range(200)) and len(texts) == 8
