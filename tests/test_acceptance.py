@@ -87,3 +87,13 @@ def test_import_reports_every_kind_of_error(spark, tmp_path):
     assert {("validate", "tokens"), ("window", "date"), ("snapshot", "crossing"), ("identity", "partial"), ("accept", "crossing"), ("policy", "settled_and_excluded"), ("settled", "changed"), ("exclusion", "mismatch"), ("ledger", "differ")} <= got
     with pytest.raises(ValueError):
         a.write_import(plan, str(tmp_path))
+
+
+def test_policy_overlap_is_a_set_of_pairs(spark):
+    """Copies of a pair never meet each other, and a missing day equals a missing day, as in INTERSECT."""
+    from tallyhouse.operators import ledger
+
+    some = spark.range(60_000).selectExpr("case when id % 3 < 2 then id % 3 end as day", "'s' as source")
+    other = spark.range(60_000).selectExpr("case when id % 3 < 2 then 1 + id % 3 end as day", "'s' as source")
+    assert sorted((r.day, r.source) for r in ledger.policy_overlap(some, other).where("day is not null").collect()) == [(1, "s")]
+    assert ledger.policy_overlap(some, other).where("day is null").count() == 1
