@@ -246,7 +246,9 @@ def read_responses(rows: DataFrame, kind: str) -> DataFrame:
         "compatible": ("$.usage.prompt_tokens", "$.usage.completion_tokens", None, "$.usage.prompt_tokens_details.cached_tokens"), "evaluation": ("$.usage.input_tokens", "$.usage.output_tokens", None, None),
     }[kind]
     got = [(counter(v, p) if p else F.lit(None).cast("bigint")).alias(n) for p, n in zip(paths, ("prompt", "completion", "total", "cached"))]
-    out = rows.select(F.try_variant_get(v, "$.id", "string").alias("id"), F.try_variant_get(v, "$.model", "string").alias("model"), *got, counter(v, "$.usage.prompt_cache_hit_tokens").alias("_flat"))
+    told = F.struct(F.try_variant_get(v, "$.id", "string").alias("id"), F.try_variant_get(v, "$.model", "string").alias("model"), *got, counter(v, "$.usage.prompt_cache_hit_tokens").alias("_flat"))
+    # a generator's output: the condition below is not pushed under it, where each use would parse the response again
+    out = rows.select(F.inline(F.array(told)))
     if kind == "compatible":
         out = out.withColumn("cached", F.coalesce("cached", "_flat")).where("cached is null or prompt is null or cached <= prompt")
     return out.drop("_flat")

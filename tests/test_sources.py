@@ -93,3 +93,11 @@ def test_gzip_lines_are_read(spark, tmp_path):
     with gzip.open(tmp_path / "z.jsonl.gz", "wt") as f:
         f.write('{"a": 1}\n')
     assert logs.json_lines(spark, str(tmp_path)).count() == 1
+
+
+def test_responses_are_parsed_once(spark):
+    """The condition on cached input is not pushed to where every use of a counter parses the response again."""
+    v = F.parse_json(F.concat(F.lit('{"id":"'), F.col("id").cast("string"), F.lit('","usage":{"prompt_tokens":5,"prompt_cache_hit_tokens":'), F.col("id").cast("string"), F.lit("}}")))
+    out = logs.read_responses(spark.range(9).select(v.alias("v")), "compatible")
+    assert sorted((r.id, r.cached) for r in out.collect()) == [(str(k), k) for k in range(6)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count('{"id":"') == 1
